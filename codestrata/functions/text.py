@@ -6,6 +6,8 @@ becomes a look-around on ASCII word characters, and ``(?md)`` lets only a newlin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,12 +37,26 @@ STANDARD_LINE_LIMIT = 64 * 1024
 LONG_LINE_LIMIT = 1024 * 1024
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A column of an earlier ``select`` gives no such promise: the optimizer may copy its
+    expression to every place of use, also into lambdas that run once per element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_space(value: Column) -> Column:
     return F.btrim(value, F.lit(SPACE_CHARACTERS))
 
 
 def clear_marks(text: Column) -> Column:
-    return F.translate(text, MARK + MARK_2 + MARK_3, NO_MARK * 3)
+    """Replace the mark characters; a text without any is passed on as it is."""
+    marked = F.contains(text, F.lit(MARK))
+    for mark in (MARK_2, MARK_3):
+        marked = marked | F.contains(text, F.lit(mark))
+    cleared = F.translate(text, MARK + MARK_2 + MARK_3, NO_MARK * 3)
+    return F.when(marked, cleared).otherwise(text)
 
 
 def count_of(value: Column, char: str) -> Column:
@@ -59,15 +75,22 @@ def scanned_text(text: Column, max_line_bytes: int = LONG_LINE_LIMIT) -> Column:
     One carriage return before each line end is dropped.  A line of ``max_line_bytes`` or more
     bytes ends the text before it.
     """
-    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
-    raw = F.split(body, "\n", -1)
-    too_long = F.array_position(
-        F.transform(raw, lambda line: F.octet_length(line) >= max_line_bytes), True
+    body = F.regexp_replace(text, r"\n\z", "")
+
+    def before_long_line(raw: Column) -> Column:
+        too_long = F.array_position(
+            F.transform(raw, lambda line: F.octet_length(line) >= max_line_bytes), True
+        )
+        return let(
+            too_long.cast("int"),
+            lambda at: F.array_join(
+                F.when(at > 0, F.slice(raw, F.lit(1), at - 1)).otherwise(raw), "\n"
+            ),
+        )
+
+    whole = F.when(F.octet_length(text) < max_line_bytes, body).otherwise(
+        let(F.split(body, "\n", -1), before_long_line)
     )
-    cut = F.when(
-        too_long > 0, F.array_join(F.slice(raw, F.lit(1), (too_long - 1).cast("int")), "\n")
-    ).otherwise(body)
-    whole = F.when(F.octet_length(text) < max_line_bytes, body).otherwise(cut)
     return F.when(
         F.contains(text, F.lit("\r")), F.regexp_replace(whole, r"\r(?=\n|\z)", "")
     ).otherwise(whole)
@@ -86,13 +109,22 @@ def normalize_text(scanned: Column) -> Column:
     """Normalise every line of a scanned text.
 
     Each line is trimmed, cut at its first ``//`` and then at its first ``#`` unless the line
-    starts with it, and its runs of white space become one space.
+    starts with it, and its runs of white space become one space.  All white space is made a
+    plain space first, so that most of the work is literal replacement.
     """
-    trimmed = F.regexp_replace(scanned, f"(?md)^{SPACE}++|(?<!{SPACE}){SPACE}++$", "")
-    no_slashes = F.regexp_replace(trimmed, r"(?md)^((?!//).+?)//.*$", "$1")
-    no_hashes = F.regexp_replace(no_slashes, r"(?md)^([^#\n].*?)#.*$", "$1")
-    no_tail = F.regexp_replace(no_hashes, f"(?md)(?<!{SPACE}){SPACE}++$", "")
-    return F.regexp_replace(no_tail, f"{SPACE}++", " ")
+    spaces = SPACE_CHARACTERS.replace("\n", "")
+    single = F.regexp_replace(F.translate(scanned, spaces, " " * len(spaces)), " {2,}", " ")
+    trimmed = F.btrim(F.replace(F.replace(single, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
+
+    def cut(text: Column, mark: str) -> Column:
+        # The first alternative keeps a line that starts with the mark as it is.
+        return F.when(
+            F.contains(text, F.lit(mark)),
+            F.regexp_replace(text, f"(?md)^({mark}.*)$|{mark}.*$", "$1"),
+        ).otherwise(text)
+
+    uncommented = let(let(trimmed, lambda text: cut(text, "//")), lambda text: cut(text, "#"))
+    return F.rtrim(F.replace(uncommented, F.lit(" \n"), F.lit("\n")))
 
 
 def normalize_line(line: Column) -> Column:
@@ -142,15 +174,22 @@ def line_of_matches(text: Column, pattern: str, limit: int) -> Column:
     ``pattern`` must not match an empty string and must not hold groups that are referred to.
     The text is read once to mark the matches; only a text with matches is cut at the marks.
     """
-    marked = F.regexp_replace(clear_marks(text), f"({pattern})", MARK + "$1")
-    newlines = F.transform(
-        F.split(marked, MARK, limit + 1), lambda piece: count_of(piece, "\n")
-    )
-    return F.aggregate(
-        newlines,
-        F.array().cast("array<int>"),
-        lambda seen, n: F.concat(
-            seen, F.array(F.coalesce(F.get(seen, F.size(seen) - 1), F.lit(1)) + n)
-        ),
-        lambda seen: F.slice(seen, F.lit(1), F.size(seen) - 1),
+    none = F.array().cast("array<int>")
+
+    def lines_of(marked: Column) -> Column:
+        pieces = let(
+            F.split(marked, MARK, limit + 1),
+            lambda found: F.slice(found, F.lit(1), F.size(found) - 1),
+        )
+        return F.aggregate(
+            F.transform(pieces, lambda piece: count_of(piece, "\n")),
+            none,
+            lambda seen, n: F.concat(
+                seen, F.array(F.coalesce(F.get(seen, F.size(seen) - 1), F.lit(1)) + n)
+            ),
+        )
+
+    return let(
+        F.regexp_replace(clear_marks(text), f"({pattern})", MARK + "$1"),
+        lambda marked: F.when(F.contains(marked, F.lit(MARK)), lines_of(marked)).otherwise(none),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ class Rule:
     title: str
     description: str
     suggestion: str
+    # Every match holds one of these literals; texts without them are not searched.
+    literals: tuple[str, ...] = ()
 
 
 _ALL = ("Go", "Python", "Java", "TypeScript", "JavaScript")
@@ -32,7 +35,7 @@ RULES = [
         "silent-error",
         CRITICAL,
         ("Go",),
-        rf"{WORD_START}_{RE_SPACE}*={RE_SPACE}*{WORD}+\.{WORD}+\(",
+        rf"_(?<!{WORD}_){RE_SPACE}*={RE_SPACE}*{WORD}+\.{WORD}+\(",
         "Result of a call thrown away",
         "A call's result is assigned to the blank name, so a failure leaves no trace.",
         "Check the returned error and log, wrap or return it.",
@@ -41,10 +44,11 @@ RULES = [
         "bare-panic",
         WARNING,
         ("Go",),
-        rf"{WORD_START}panic\(",
+        rf"p(?<!{WORD}p)anic\(",
         "Panic instead of an error value",
         "The code stops the process where a caller could have handled an error.",
         "Return an error and let the caller decide.",
+        ("panic(",),
     ),
     Rule(
         "broad-except",
@@ -54,21 +58,23 @@ RULES = [
         "Handler that catches everything",
         "An except clause without a specific type hides faults that nobody expected.",
         "Name the exception types this code can deal with.",
+        ("except",),
     ),
     Rule(
         "print-debug",
         INFO,
         ("Go", "Python", "Java"),
-        rf"{WORD_START}(fmt\.Println|fmt\.Printf|print\(|System\.out\.print)",
+        rf"(?=[fpS]){WORD_START}(fmt\.Println|fmt\.Printf|print\(|System\.out\.print)",
         "Output by print statement",
         "Text goes straight to standard output and bypasses the logger.",
         "Write through the project's logger at a fitting level.",
+        ("fmt.Print", "print(", "System.out.print"),
     ),
     Rule(
         "hardcoded-secret",
         CRITICAL,
         _ALL,
-        rf"(?iu:(api_?key|secret|password|token|passwd){RE_SPACE}*[:=]{RE_SPACE}*"
+        rf"(?iu:(?=[aspt])(api_?key|secret|password|token|passwd){RE_SPACE}*[:=]{RE_SPACE}*"
         rf"[\"'][A-Za-z0-9+/=_\-]{{10,}}[\"'])",
         "Secret written into the source",
         "A literal next to a credential's name looks like a real key or password.",
@@ -78,7 +84,7 @@ RULES = [
         "todo-fixme-critical",
         INFO,
         _ALL,
-        rf"{WORD_START}(?iu:TODO|FIXME|HACK|XXX){WORD_END}",
+        rf"(?iu:(?=[tfhx])){WORD_START}(?iu:TODO|FIXME|HACK|XXX){WORD_END}",
         "Open marker comment",
         "A marker for unfinished work was left in the code.",
         "Move it to the issue tracker and delete the marker.",
@@ -135,8 +141,11 @@ def with_hits(
     hits = []
     for rule in rules:
         found = line_of_matches(F.col("text"), rule.pattern, max_locations)
-        if not any_language:
-            found = F.when(F.col("lang").isin(*rule.languages), found)
+        applies = F.lit(True) if any_language else F.col("lang").isin(*rule.languages)
+        if rule.literals:
+            held = [F.contains(F.col("text"), F.lit(literal)) for literal in rule.literals]
+            applies = applies & reduce(lambda a, b: a | b, held)
+        found = F.when(applies, found)
         hits.append(F.struct(F.lit(RULE_NO[rule.rule_id]).alias("rule_no"), found.alias("lines")))
     kept = F.filter(F.array(*hits), lambda hit: F.size(hit.lines) > 0)
     return files.withColumn("hits", kept)

@@ -17,18 +17,19 @@ from codestrata.functions.text import (
     NON_SPACE,
     RE_BLANK,
     SPACE,
+    STANDARD_LINE_LIMIT,
     WORD,
     WORD_END,
     WORD_START,
     block_hash,
     clear_marks,
     count_of,
+    let,
     normalize_text,
     preview,
     scanned_text,
     trim_space,
 )
-from codestrata.functions.text import STANDARD_LINE_LIMIT
 from codestrata.schema import BRACE_LANGUAGES
 
 _SPANS = "array<struct<start:int,n:int>>"
@@ -145,35 +146,53 @@ def indent_spans(scanned: Column, min_lines: int) -> Column:
     return F.aggregate(skeleton, _start_state(), next_line, finish)
 
 
-def with_blocks(files: DataFrame, min_lines: int = 8) -> DataFrame:
-    """Add ``blocks array<struct<line,line_count,hash,preview>>`` to ``(…, lang, text)``.
+_BLOCKS = "array<struct<line:int,line_count:int,hash:string,preview:string>>"
+
+
+def function_blocks(text: Column, lang: Column, min_lines: int = 8) -> Column:
+    """Blocks of a file as ``array<struct<line,line_count,hash,preview>>``.
 
     The normalised text is cut only in files that have a block.
     """
-    scanned = files.withColumn("_scanned", scanned_text(F.col("text")))
-    text = F.col("_scanned")
-    spans = (
-        F.when(F.col("lang").isin(BRACE_LANGUAGES), brace_spans(text, min_lines))
-        .when(F.col("lang") == "Python", indent_spans(text, min_lines))
-        .otherwise(F.array().cast(_SPANS))
-    )
-    cut = scanned.withColumn("_spans", spans).withColumn(
-        "_normal",
-        F.when(F.size("_spans") > 0, F.split(normalize_text(text), "\n", -1)),
-    )
+    none = F.array().cast(_BLOCKS)
+
+    def cut(spans: Column, normal: Column) -> Column:
+        def block(span: Column) -> Column:
+            return let(
+                F.slice(normal, span.start + 1, span.n),
+                lambda body: F.struct(
+                    (span.start + 1).alias("line"),
+                    span.n.alias("line_count"),
+                    block_hash(F.array_join(body, "\n")).alias("hash"),
+                    preview(body).alias("preview"),
+                ),
+            )
 
-    def block(span: Column) -> Column:
-        body = F.slice(F.col("_normal"), span.start + 1, span.n)
-        return F.struct(
-            (span.start + 1).alias("line"),
-            span.n.alias("line_count"),
-            block_hash(F.array_join(body, "\n")).alias("hash"),
-            preview(body).alias("preview"),
+        return F.transform(spans, block)
+
+    def of_lines(scanned: Column) -> Column:
+        spans = F.when(lang == "Python", indent_spans(scanned, min_lines)).otherwise(
+            brace_spans(scanned, min_lines)
+        )
+        return let(
+            spans,
+            lambda found: F.when(
+                F.size(found) > 0,
+                let(
+                    F.split(normalize_text(scanned), "\n", -1),
+                    lambda normal: cut(found, normal),
+                ),
+            ).otherwise(none),
         )
 
-    return cut.withColumn("blocks", F.transform("_spans", block)).drop(
-        "_scanned", "_spans", "_normal"
-    )
+    return F.when(
+        lang.isin(*BRACE_LANGUAGES, "Python"), let(scanned_text(text), of_lines)
+    ).otherwise(none)
+
+
+def with_blocks(files: DataFrame, min_lines: int = 8) -> DataFrame:
+    """Add ``blocks`` to ``(…, lang, text)``."""
+    return files.withColumn("blocks", function_blocks(F.col("text"), F.col("lang"), min_lines))
 
 
 def blocks_of(files_with_blocks: DataFrame) -> DataFrame:
@@ -259,30 +278,45 @@ def _god_indent(scanned: Column, max_lines: int) -> Column:
     return _first_long(skeleton, ends, max_lines)
 
 
+def god_functions(text: Column, lang: Column, max_lines: int = 80) -> Column:
+    """``array<struct<line,length,name>>`` with the first function over the limit, or empty."""
+    openings = {
+        "Go": rf"(?md)^{SPACE}*+func{RE_BLANK}++(?={WORD})",
+        "Java": "(?md)^(?=.*?" + GOD_FUNCTION_STARTS["Java"].removeprefix("(?d)") + ")",
+    }
+
+    def named(scanned: Column, found: Column, pattern: str) -> Column:
+        opening = trim_space(F.get(F.split(scanned, "\n", -1), found.start))
+        return F.struct(
+            (found.start + 1).alias("line"),
+            found.n.alias("length"),
+            F.regexp_extract(opening, pattern, 1).alias("name"),
+        )
+
+    def of_language(name: str) -> Column:
+        def of_lines(scanned: Column) -> Column:
+            if name == "Python":
+                found = _god_indent(scanned, max_lines)
+            else:
+                found = _god_brace(scanned, openings[name], max_lines)
+            some = F.filter(F.array(found), lambda span: span.isNotNull())
+            return F.transform(
+                some, lambda span: named(scanned, span, GOD_FUNCTION_STARTS[name])
+            )
+
+        return let(scanned_text(text, STANDARD_LINE_LIMIT), of_lines)
+
+    cases = F.when(lang == "Go", of_language("Go"))
+    for name in ("Python", "Java"):
+        cases = cases.when(lang == name, of_language(name))
+    return cases.otherwise(F.array().cast("array<struct<line:int,length:int,name:string>>"))
+
+
 def with_god_function(files: DataFrame, max_lines: int = 80) -> DataFrame:
-    """Add ``god struct<line,length,name>``: the first function longer than ``max_lines``."""
-    scanned = files.withColumn("_scanned", scanned_text(F.col("text"), STANDARD_LINE_LIMIT))
-    text = F.col("_scanned")
-    go = rf"(?md)^{SPACE}*+func{RE_BLANK}++(?={WORD})"
-    java = GOD_FUNCTION_STARTS["Java"].removeprefix("(?d)")
-    found = (
-        F.when(F.col("lang") == "Go", _god_brace(text, go, max_lines))
-        .when(F.col("lang") == "Java", _god_brace(text, f"(?md)^(?=.*?{java})", max_lines))
-        .when(F.col("lang") == "Python", _god_indent(text, max_lines))
-    )
-    opening = trim_space(F.element_at(F.split(text, "\n", -1), F.col("_found.start") + 1))
-    name = F.coalesce(
-        *[
-            F.when(F.col("lang") == lang, F.regexp_extract(opening, pattern, 1))
-            for lang, pattern in GOD_FUNCTION_STARTS.items()
-        ]
-    )
-    god = F.when(
-        F.col("_found").isNotNull(),
-        F.struct(
-            (F.col("_found.start") + 1).alias("line"),
-            F.col("_found.n").alias("length"),
-            name.alias("name"),
-        ),
-    )
-    return scanned.withColumn("_found", found).withColumn("god", god).drop("_scanned", "_found")
+    """Add ``god``, an array of at most one function."""
+    return files.withColumn("god", god_functions(F.col("text"), F.col("lang"), max_lines))
+
+
+def god_functions_of(files_with_god: DataFrame) -> DataFrame:
+    """``(repo, path, line, length, name)`` of the over-long functions."""
+    return files_with_god.select("repo", "path", F.inline("god"))

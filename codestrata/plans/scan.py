@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.operators.boundaries import crossing_imports, imports_of
+from codestrata.operators.boundaries import crossing_imports
 from codestrata.operators.deadcode import dead_code
 from codestrata.operators.duplicates import duplicate_blocks, severity_of_copies
 from codestrata.operators.languages import detect_language, source_files
 from codestrata.operators.naming import naming_go, naming_python
 from codestrata.operators.patterns import RULE_NO, RULES, capped_refs, hits_of
-from codestrata.operators.segment import blocks_of
+from codestrata.operators.segment import blocks_of, god_functions_of
 from codestrata.options import ScanOptions
 from codestrata.plans.facts import file_facts
 from codestrata.scale import materialize
@@ -130,7 +130,7 @@ def detect_patterns(facts: DataFrame, options: ScanOptions) -> Found:
 def detect_god_functions(facts: DataFrame, options: ScanOptions) -> Found:
     """At most one violation per file."""
     rule = RULES[RULE_NO["god-function"]]
-    rows = facts.filter("god IS NOT NULL").select("repo", "path", "god.*")
+    rows = god_functions_of(facts)
     found = _violations(
         rows,
         ANTI_PATTERN,
@@ -196,7 +196,7 @@ def detect_naming(facts: DataFrame, options: ScanOptions) -> Found:
 
 def detect_boundaries(facts: DataFrame, options: ScanOptions) -> Found:
     """One violation per forbidden import."""
-    rows = crossing_imports(imports_of(facts), options.root)
+    rows = crossing_imports(facts, options.root)
     found = _violations(
         rows,
         BOUNDARY,

@@ -226,7 +226,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived corpus, stored once per session and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        _stored[key] = materialize(build_corpus(spark, sf_dir), "corpus")
+        # The texts compress well, so by bytes alone they would make too few read tasks.
+        files = spark.sparkContext.defaultParallelism * 4
+        _stored[key] = materialize(build_corpus(spark, sf_dir).repartition(files), "corpus")
     return _stored[key]
 
 
