@@ -64,6 +64,7 @@ def _with_refs(found: DataFrame, ref_lists: Column) -> Found:
         "repo", "severity", *VIOLATION_ORDER, F.posexplode(ref_lists).alias("ref_no", "ref")
     )
     refs = refs.withColumn("ref_path", F.substring_index("ref", ":", 1))
+    refs = refs.withColumn("ref_at", F.lit(""))
     return found.select(*VIOLATION_COLUMNS), refs.select(*REF_COLUMNS)
 
 
@@ -93,8 +94,9 @@ def detect_duplicates(facts: DataFrame, options: ScanOptions) -> Found:
         F.lit(0).alias("rule_no"),
         F.lit(0).alias("line"),
         key.alias("vkey"),
-        F.col("path").alias("ref_path"),
+        F.col("path").alias("ref_at"),
         F.col("line").alias("ref_no"),
+        F.col("path").alias("ref_path"),
         F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("ref"),
     )
     return violations, refs

@@ -41,8 +41,10 @@ VIOLATION_COLUMNS = [
 # Order of the violations of one repository ("path" sorts by its components).
 VIOLATION_ORDER = ["detector", "path", "rule_no", "line", "vkey"]
 
-# A reference carries the place of its violation, so that reports need no join.
-REF_COLUMNS = ["repo", "severity", *VIOLATION_ORDER, "ref_path", "ref_no", "ref"]
+# A reference carries the place of its violation, so that reports need no join.  Within a
+# violation, references are in the order of "ref_at" (a path, or '') and "ref_no"; "ref_path" is
+# the file they count for.
+REF_COLUMNS = ["repo", "severity", *VIOLATION_ORDER, "ref_at", "ref_no", "ref_path", "ref"]
 
 CRITICAL, WARNING, INFO = "CRITICAL", "WARNING", "INFO"
 SEVERITIES = [CRITICAL, WARNING, INFO]

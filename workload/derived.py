@@ -253,8 +253,9 @@ CORPUS_SQL = (
     + """,
 fn AS (
   SELECT *, n_body + n_marks AS n_inner,
-    head_lines + 1 + coalesce(sum(n_body + n_marks + 2) OVER before, 0) AS start_line,
-    strlen(head) + coalesce(sum(strlen(fn_text)) OVER before, 0) AS start_byte,
+    CAST(head_lines + 1 + coalesce(sum(n_body + n_marks + 2) OVER before, 0) AS INT)
+      AS start_line,
+    CAST(strlen(head) + coalesce(sum(strlen(fn_text)) OVER before, 0) AS BIGINT) AS start_byte,
     row_number() OVER (PARTITION BY repo, path ORDER BY l_orderkey, l_linenumber, fn_text)
       AS place
   FROM f_3

@@ -154,7 +154,7 @@ body_lines AS (
   FROM sfn WHERE lang <> 'Rust'
 ),
 blocks AS (
-  SELECT repo, path, lang, CAST(start_line AS INT) AS line,
+  SELECT repo, path, lang, start_line AS line,
     CAST(n_inner + CASE WHEN lang = 'Python' THEN 1 ELSE 2 END AS INT) AS line_count,
     substr(sha256(normalized), 1, 24) AS hash,
     '    ' || array_to_string(string_split(normalized, chr(10))[1:4], chr(10) || '    ')
@@ -168,7 +168,7 @@ groups AS (
   FROM blocks GROUP BY repo, hash HAVING count(*) >= 2
 ),
 gods AS (
-  SELECT repo, path, CAST(start_line AS INT) AS line, CAST(n_inner + 1 AS INT) AS length, name
+  SELECT repo, path, start_line AS line, CAST(n_inner + 1 AS INT) AS length, name
   FROM (
     SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY start_line) AS nth
     FROM sfn WHERE lang IN ('Go', 'Java', 'Python') AND n_inner + 1 > 80
@@ -208,7 +208,7 @@ crossing AS (
   SELECT * FROM layered WHERE (from_layer, to_layer) IN (('presentation', 'infrastructure'),
     ('presentation', 'domain'), ('application', 'infrastructure'))
 ),
-defs AS (SELECT repo, path, CAST(start_line AS INT) AS line, name FROM sfn WHERE lang <> 'Rust'),
+defs AS (SELECT repo, path, start_line AS line, name FROM sfn WHERE lang <> 'Rust'),
 dead AS (
   SELECT repo, path, line, name FROM (
     SELECT d.*, row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/'), line) AS nth
@@ -295,27 +295,27 @@ v AS (
 refs AS (
   SELECT repo, severity, 0 AS detector, '' AS path, 0 AS rule_no, 0 AS line,
     'duplicate:' || hash AS vkey, b.path AS ref_path, b.line AS ref_no,
-    b.path || ':' || b.line AS ref
+    b.path || ':' || b.line AS ref, b.path AS ref_at
   FROM blocks b JOIN groups USING (repo, hash)
   UNION ALL
   SELECT repo, {_rule("severity")}, 1, path, rule_no, 0, {_rule("rule_id")} || ':' || path, path,
-    nth - 1, path || ':' || line
+    nth - 1, path || ':' || line, ''
   FROM hits WHERE nth <= 5
   UNION ALL
   SELECT repo, {_rule("severity")}, 1, path, rule_no, 0, {_rule("rule_id")} || ':' || path, '...',
-    5, '...'
+    5, '...', ''
   FROM hits WHERE nth = 5
   UNION ALL
-  SELECT repo, 'WARNING', 1, path, 6, line, 'god-function:' || path, path, 0, path || ':' || line
+  SELECT repo, 'WARNING', 1, path, 6, line, 'god-function:' || path, path, 0, path || ':' || line, ''
   FROM gods
   UNION ALL
-  SELECT repo, 'WARNING', 2, '', 0, 0, 'naming-go', 'multiple files', 0, 'multiple files'
+  SELECT repo, 'WARNING', 2, '', 0, 0, 'naming-go', 'multiple files', 0, 'multiple files', ''
   FROM go_names
   UNION ALL
-  SELECT repo, 'WARNING', 2, '', 0, 0, 'naming-python', 'multiple files', 0, 'multiple files'
+  SELECT repo, 'WARNING', 2, '', 0, 0, 'naming-python', 'multiple files', 0, 'multiple files', ''
   FROM py_names
   UNION ALL
-  SELECT repo, 'CRITICAL', 3, path, 0, ord, 'boundary:' || path || ':' || ord, path, 0, path
+  SELECT repo, 'CRITICAL', 3, path, 0, ord, 'boundary:' || path || ':' || ord, path, 0, path, ''
   FROM crossing
 ),
 counted AS (
@@ -382,7 +382,7 @@ _CONVENTIONS = (
 )
 
 _ROW = (
-    "repo, section, sev, detector, path, rule_no, line, vkey, item, ref_path, ref_no, text"
+    "repo, section, sev, detector, path, rule_no, line, vkey, item, ref_at, ref_no, text"
 )
 
 
@@ -444,7 +444,7 @@ _MARKDOWN = _document(
             "sev",
             _PLACE,
             31,
-            "ref_path, ref_no",
+            "ref_at, ref_no",
         ),
         _doc_row(
             "'## Recommendations'", "(SELECT DISTINCT repo FROM advice)", 2, ref="'', -1"
@@ -483,11 +483,11 @@ _JSON = _document(
         _doc_row(
             f"CASE WHEN nth = 1 THEN '' ELSE ',' END || {_j('ref')}",
             "(SELECT *, row_number() OVER (PARTITION BY repo, vkey ORDER BY "
-            "string_split(ref_path, '/'), ref_no) AS nth FROM refs)",
+            "string_split(ref_at, '/'), ref_no) AS nth FROM refs)",
             1,
             at=_PLACE,
             item=10,
-            ref="ref_path, ref_no",
+            ref="ref_at, ref_no",
         ),
         _doc_row(
             "CASE WHEN violation_count > 0 THEN ']' ELSE '' END || ',\"Suggestions\":' || "
