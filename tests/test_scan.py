@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import results
 from codestrata.options import ScanOptions
 from codestrata.plans import report
 from codestrata.plans.scan import Scan, scan
+from codestrata.scale import materialize
 from codestrata.schema import REF_COLUMNS, VIOLATION_COLUMNS
 
 BODY = "func copied() {\n" + "\tx := 1\n" * 7 + "}\n"
@@ -20,8 +22,18 @@ CORPUS = {
 }
 
 
-def test_scan(files):
-    found = scan(files(CORPUS))
+@pytest.fixture(scope="module")
+def found(spark):
+    rows = [(repo, path, text) for (repo, path), text in CORPUS.items()]
+    result = scan(spark.createDataFrame(rows, "repo string, path string, text string"))
+    return Scan(
+        materialize(result.repos, "repos"),
+        materialize(result.violations, "violations"),
+        materialize(result.refs, "refs"),
+    )
+
+
+def test_scan(found):
     assert found.violations.columns == VIOLATION_COLUMNS
     assert found.refs.columns == REF_COLUMNS
     rows = {row.vkey: row for row in found.violations.filter("repo = 'shop'").collect()}
@@ -46,8 +58,7 @@ def test_scan(files):
     assert copies == ["api/a.go:4", "lib/b.go:1"]
 
 
-def test_results(files):
-    found = scan(files(CORPUS))
+def test_results(found):
     totals = results.summary(found.repos, found.violations)
     scores = {row.repo: (row.score, row.label) for row in results.health_score(totals).collect()}
     assert scores == {
@@ -81,17 +92,13 @@ def test_score_floor_and_labels(spark):
 
 
 def test_toggles_and_thresholds(files):
-    corpus = files(CORPUS)
-    only = ScanOptions(duplication=False, anti_patterns=False, naming=False)
-    assert {row.category for row in scan(corpus, only).violations.collect()} == {
-        "BoundaryViolation"
-    }
-    longer = scan(corpus, ScanOptions(duplicate_min_lines=10)).violations
-    assert longer.filter("category = 'Duplication'").count() == 0
-    short = scan(corpus, ScanOptions(god_function_lines=7)).violations
-    assert short.filter("rule_id = 'god-function'").count() == 2
-    dead = scan(corpus, ScanOptions(dead_code=True)).violations.filter("category = 'DeadCode'")
-    assert [row.vkey for row in dead.collect()] == ["dead-code:lib/b.go:12"]
+    options = ScanOptions(
+        duplicate_min_lines=10, god_function_lines=7, naming=False, boundaries=False, dead_code=True
+    )
+    rows_ = scan(files(CORPUS), options).violations.collect()
+    assert {row.category for row in rows_} == {"AntiPattern", "DeadCode"}
+    assert sum(row.rule_id == "god-function" for row in rows_) == 2
+    assert [row.vkey for row in rows_ if row.category == "DeadCode"] == ["dead-code:lib/b.go:12"]
 
 
 def test_one_file_is_no_ranking(spark):
@@ -102,10 +109,12 @@ def test_one_file_is_no_ranking(spark):
     assert [(row.repo, row.file, row.n) for row in found] == [("s", "a", 2), ("s", "b", 1)]
 
 
-def test_rules_are_distinct_by_title(files):
-    found = scan(files({**CORPUS, ("shop", "z.go"): "panic(2)"}))
-    rules = results.guardrail_rules(found.violations).filter("title LIKE 'Panic%'").collect()
-    assert [(row.vkey, row.reason[-1]) for row in rules] == [("bare-panic:api/a.go", ".")]
+def test_rules_are_distinct_by_title(found):
+    again = found.violations.withColumn("path", F.concat(F.lit("z/"), "path"))
+    rules = results.guardrail_rules(found.violations.unionByName(again))
+    assert rules.count() == 5
+    first = rules.filter("title LIKE 'Panic%'").first()
+    assert (first.path, first.reason[-1]) == ("api/a.go", ".")
 
 
 def text_of(document, repo):
@@ -113,8 +122,7 @@ def text_of(document, repo):
     return [row.text for row in rows]
 
 
-def test_json_document(files):
-    found = scan(files(CORPUS))
+def test_json_document(found):
     document = report.report_json(found)
     shop = json.loads("".join(text_of(document, "shop")))
     assert list(shop) == [
@@ -136,8 +144,7 @@ def test_json_document(files):
     assert clean["Violations"] is None and clean["Suggestions"] is None
 
 
-def test_markdown_documents(files):
-    found = scan(files(CORPUS))
+def test_markdown_documents(found):
     shop = "\n".join(text_of(report.report_markdown(found), "shop"))
     assert shop.index("## CRITICAL (3)") < shop.index("## WARNING (2)") < shop.index("## INFO (1)")
     assert shop.index("- `api/a.go:17`") < shop.index("- `...`") < shop.index("## Recommendations")
@@ -149,8 +156,7 @@ def test_markdown_documents(files):
     assert notes.count("- **Import from") == 2 and "Open marker" not in notes
 
 
-def test_written_documents_and_tables(spark, files, tmp_path):
-    found = scan(files(CORPUS))
+def test_written_documents_and_tables(spark, found, tmp_path):
     report.write_documents(report.report_json(found), str(tmp_path / "json"))
     texts: dict[str, str] = {}
     for part in sorted((tmp_path / "json").glob("part-*.parquet")):
@@ -165,17 +171,11 @@ def rows(frame):
     return sorted(map(str, frame.collect()))
 
 
-def test_partitioning_does_not_matter(files):
-    corpus = files(CORPUS)
-    once, again = scan(corpus), scan(corpus.repartition(7, "text"))
-    assert rows(once.violations) == rows(again.violations)
-    assert rows(once.refs) == rows(again.refs)
-
-
-def test_repositories_are_independent(files):
-    moved = {("other", path): text for (_, path), text in CORPUS.items() if _ == "shop"}
-    both = scan(files({**CORPUS, **moved}))
-    assert isinstance(both, Scan)
-    as_shop = both.violations.withColumn("repo", F.lit("shop"))
-    first = as_shop.exceptAll(scan(files(CORPUS)).violations)
-    assert first.count() == 6
+def test_repositories_are_independent_of_each_other_and_of_partitions(files, found):
+    moved = {("other", path): text for (repo, path), text in CORPUS.items() if repo == "shop"}
+    both = scan(files({**CORPUS, **moved}).repartition(7, "text"))
+    for mine, theirs in ((both.violations, found.violations), (both.refs, found.refs)):
+        alone = rows(theirs)
+        assert rows(mine.filter("repo <> 'other'")) == alone
+        copies = mine.filter("repo = 'other'").withColumn("repo", F.lit("shop"))
+        assert rows(copies) == alone

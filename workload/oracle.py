@@ -747,7 +747,7 @@ ORACLE: dict[str, str] = {
     "changed_sources": _CHANGES + "SELECT repo, path, op, event_id FROM changed",
     "debounce": _CHANGES
     + f""", gaps AS (
-      SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER by_time < {EVENT_PAUSE_MS * 1000}
+      SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER by_time <= {EVENT_PAUSE_MS * 1000}
         THEN 0 ELSE 1 END AS starts
       FROM changed WINDOW by_time AS (PARTITION BY repo ORDER BY ts, path)
     ),
