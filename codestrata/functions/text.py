@@ -7,6 +7,7 @@ becomes a look-around on ASCII word characters, and ``(?md)`` lets only a newlin
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ _SPACES = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 SPACE = f"[{_SPACES}]"
+# White space at the start of a line; most of it is found without the large class.
+INDENT = rf"[ \t]*+{SPACE}*+"
 NON_SPACE = f"[^{_SPACES}\\n]"
 SPACE_CHARACTERS = "\t\n\x0b\f\r " + "".join(
     map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -75,7 +78,7 @@ def scanned_text(text: Column, max_line_bytes: int = LONG_LINE_LIMIT) -> Column:
     One carriage return before each line end is dropped.  A line of ``max_line_bytes`` or more
     bytes ends the text before it.
     """
-    body = F.regexp_replace(text, r"\n\z", "")
+    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
 
     def before_long_line(raw: Column) -> Column:
         too_long = F.array_position(
@@ -105,6 +108,21 @@ def lines(text: Column, max_line_bytes: int = STANDARD_LINE_LIMIT) -> Column:
     )
 
 
+def plain_spaces(text: Column) -> Column:
+    """``text`` with a space for every other white space character but the newline."""
+    ascii_only = reduce(
+        lambda value, char: F.replace(value, F.lit(char), F.lit(" ")), "\t\x0b\f\r", text
+    )
+    # One range around the white space beyond ASCII is quicker to search for than its members.
+    may_hold_more = (F.octet_length(text) > F.length(text)) & text.rlike(
+        r"[\x{85}\x{A0}\x{1680}-\x{3000}]"
+    )
+    more = SPACE_CHARACTERS[6:]
+    return F.when(may_hold_more, F.translate(ascii_only, more, " " * len(more))).otherwise(
+        ascii_only
+    )
+
+
 def normalize_text(scanned: Column) -> Column:
     """Normalise every line of a scanned text.
 
@@ -112,8 +130,7 @@ def normalize_text(scanned: Column) -> Column:
     starts with it, and its runs of white space become one space.  All white space is made a
     plain space first, so that most of the work is literal replacement.
     """
-    spaces = SPACE_CHARACTERS.replace("\n", "")
-    single = F.regexp_replace(F.translate(scanned, spaces, " " * len(spaces)), " {2,}", " ")
+    single = F.regexp_replace(plain_spaces(scanned), " {2,}", " ")
     trimmed = F.btrim(F.replace(F.replace(single, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
 
     def cut(text: Column, mark: str) -> Column:

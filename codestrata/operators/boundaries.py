@@ -14,6 +14,7 @@ from codestrata.functions.text import (
     lines,
     trim_space,
 )
+from codestrata.scale import unnest
 from codestrata.schema import FORBIDDEN_PAIRS, LAYERS
 
 
@@ -117,9 +118,8 @@ def with_imports(files: DataFrame) -> DataFrame:
 
 def imports_of(files_with_imports: DataFrame) -> DataFrame:
     """One row per import: ``(repo, path, ord, target)``."""
-    return files_with_imports.select(
-        "repo", "path", F.posexplode("imports").alias("ord", "target")
-    )
+    generator = F.posexplode_outer("imports").alias("ord", "target")
+    return unnest(files_with_imports, ["repo", "path"], generator, "ord")
 
 
 def classify_imports(imports: DataFrame, root: str = "") -> DataFrame:
@@ -135,10 +135,10 @@ def crossing_imports(files_with_imports: DataFrame, root: str = "") -> DataFrame
     A path is classified once per file; files outside all layers drop out before their imports
     are looked at.
     """
-    layered = files_with_imports.withColumn("from_layer", layer_of_path(F.col("path"), root))
-    rows = layered.filter("from_layer IS NOT NULL").select(
-        "repo", "path", "from_layer", F.posexplode("imports").alias("ord", "target")
-    )
+    layer = layer_of_path(F.col("path"), root)
+    layered = files_with_imports.withColumn("from_layer", layer).filter("from_layer IS NOT NULL")
+    generator = F.posexplode_outer("imports").alias("ord", "target")
+    rows = unnest(layered, ["repo", "path", "from_layer"], generator, "ord")
     pairs = F.broadcast(forbidden_table(rows.sparkSession))
     return rows.withColumn("to_layer", layer_of(F.col("target"))).join(
         pairs, ["from_layer", "to_layer"]

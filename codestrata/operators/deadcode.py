@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import components
 from codestrata.functions.text import LONG_LINE_LIMIT, RE_BLANK, lines, scanned_text
-from codestrata.scale import fits_broadcast, materialize
+from codestrata.scale import fits_broadcast, materialize, unnest
 
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 
@@ -34,13 +34,9 @@ def definitions(files: DataFrame) -> DataFrame:
     for lang, pattern in DEFINITIONS.items():
         name = F.when(F.col("lang") == lang, F.regexp_extract(line, pattern, 1)).otherwise(name)
     may_define = F.contains(line, F.lit("("))
+    all_lines = F.posexplode_outer(lines(F.col("text"), LONG_LINE_LIMIT)).alias("_pos", "_line")
     return (
-        files.select(
-            "repo",
-            "path",
-            "lang",
-            F.posexplode(lines(F.col("text"), LONG_LINE_LIMIT)).alias("_pos", "_line"),
-        )
+        unnest(files, ["repo", "path", "lang"], all_lines, "_pos")
         .filter(may_define)
         .select("repo", "path", (F.col("_pos") + 1).alias("line"), name.alias("name"))
         .filter("name <> ''")
@@ -50,9 +46,8 @@ def definitions(files: DataFrame) -> DataFrame:
 def identifiers(files: DataFrame) -> DataFrame:
     """One row per identifier of the texts, comments and strings included."""
     text = scanned_text(F.col("text"), LONG_LINE_LIMIT)
-    return files.select(
-        "repo", F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))).alias("name")
-    )
+    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    return unnest(files, ["repo"], F.explode_outer(found).alias("name"), "name")
 
 
 def identifier_frequency(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import RE_SPACE, WORD, WORD_END, WORD_START, line_of_matches
+from codestrata.scale import unnest
 from codestrata.schema import CRITICAL, INFO, WARNING
 
 
@@ -153,7 +154,7 @@ def with_hits(
 
 def hits_of(files_with_hits: DataFrame) -> DataFrame:
     """One row per (file, rule): ``(repo, path, rule_no, lines)``."""
-    return files_with_hits.select("repo", "path", F.inline("hits"))
+    return unnest(files_with_hits, ["repo", "path"], F.inline_outer("hits"), "rule_no")
 
 
 def capped_refs(path: Column, lines: Column, n: int = 5) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.text import (
     FUNCTION_WORDS,
+    INDENT,
     MARK,
     MARK_2,
     MARK_3,
@@ -30,6 +31,7 @@ from codestrata.functions.text import (
     scanned_text,
     trim_space,
 )
+from codestrata.scale import unnest
 from codestrata.schema import BRACE_LANGUAGES
 
 _SPANS = "array<struct<start:int,n:int>>"
@@ -50,7 +52,7 @@ def brace_spans(scanned: Column, min_lines: int) -> Column:
     where the depth is not positive.  What is still open at the end is dropped.
     """
     marked = F.regexp_replace(
-        clear_marks(scanned), rf"(?md)^{SPACE}*+(?:{FUNCTION_WORDS}) (?=.*\{{)", MARK
+        clear_marks(scanned), rf"(?md)^{INDENT}(?:{FUNCTION_WORDS}) (?=.*\{{)", MARK
     )
     skeleton = F.split(F.regexp_replace(marked, f"[^{MARK}{{}}\n]++", ""), "\n", -1)
 
@@ -102,7 +104,7 @@ def indent_spans(scanned: Column, min_lines: int) -> Column:
     ``def``, unless the line starts with a comment, closing bracket or decorator.  The ending
     line may open the next block.  Blank lines before it belong to the block.
     """
-    blank = f"(?md)^{SPACE}++$"
+    blank = f"(?md)^(?=[^!-~\n]){INDENT}$"
     text = F.regexp_replace(clear_marks(scanned), blank, "")
     text = F.regexp_replace(
         text, rf"(?md)^([ \t]*+){SPACE}*+def (?=.*{NON_SPACE}).*$", f"$1{MARK}"
@@ -197,7 +199,7 @@ def with_blocks(files: DataFrame, min_lines: int = 8) -> DataFrame:
 
 def blocks_of(files_with_blocks: DataFrame) -> DataFrame:
     """One row per block: ``(repo, path, line, line_count, hash, preview)``."""
-    return files_with_blocks.select("repo", "path", F.inline("blocks"))
+    return unnest(files_with_blocks, ["repo", "path"], F.inline_outer("blocks"), "line")
 
 
 # How a function opens, per language, with its name as the group.
@@ -268,7 +270,7 @@ def _god_indent(scanned: Column, max_lines: int) -> Column:
         clear_marks(scanned), rf"(?md)^(?=[^ \t\n])(?=.*{NON_SPACE})", MARK_3
     )
     text = F.regexp_replace(
-        text, rf"(?md)^({MARK_3}?){SPACE}*+def{RE_BLANK}++(?={WORD})", f"$1{MARK}"
+        text, rf"(?md)^({MARK_3}?){INDENT}def{RE_BLANK}++(?={WORD})", f"$1{MARK}"
     )
     skeleton = F.split(F.regexp_replace(text, f"[^{MARK}{MARK_3}\n]++", ""), "\n", -1)
 
@@ -281,7 +283,7 @@ def _god_indent(scanned: Column, max_lines: int) -> Column:
 def god_functions(text: Column, lang: Column, max_lines: int = 80) -> Column:
     """``array<struct<line,length,name>>`` with the first function over the limit, or empty."""
     openings = {
-        "Go": rf"(?md)^{SPACE}*+func{RE_BLANK}++(?={WORD})",
+        "Go": rf"(?md)^{INDENT}func{RE_BLANK}++(?={WORD})",
         "Java": "(?md)^(?=.*?" + GOD_FUNCTION_STARTS["Java"].removeprefix("(?d)") + ")",
     }
 
@@ -319,4 +321,4 @@ def with_god_function(files: DataFrame, max_lines: int = 80) -> DataFrame:
 
 def god_functions_of(files_with_god: DataFrame) -> DataFrame:
     """``(repo, path, line, length, name)`` of the over-long functions."""
-    return files_with_god.select("repo", "path", F.inline("god"))
+    return unnest(files_with_god, ["repo", "path"], F.inline_outer("god"), "line")

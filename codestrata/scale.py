@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Most rows a side may have to be broadcast, after counting them.
@@ -53,6 +53,16 @@ def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def unnest(df: DataFrame, keep: list[str], generator: Column, required: str) -> DataFrame:
+    """Rows of an outer ``generator`` behind the columns to ``keep``, without its NULL rows.
+
+    ``required`` is a generated column that is never NULL in a real row.  For the generators
+    that are not outer the optimizer puts a filter on the array below them, which computes a
+    costly array twice.
+    """
+    return df.select(*keep, generator).filter(F.col(required).isNotNull())
+
+
 def attach(
     big: DataFrame,
     dim: DataFrame,

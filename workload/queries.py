@@ -37,7 +37,7 @@ from codestrata.plans import report
 from codestrata.plans.facts import file_facts
 from codestrata.plans.scan import Scan, count_sources, detect_dead_code, scan_facts
 from codestrata.options import ScanOptions
-from codestrata.scale import materialize, workspace
+from codestrata.scale import materialize, unnest, workspace
 from codestrata.sources.changes import read_changes
 from codestrata.sources.corpus import corpus_from_table, read_corpus
 from codestrata.streaming import watch
@@ -140,9 +140,8 @@ def text_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = documents(spark, sf_dir).select(
-        "path", F.posexplode(T.lines(F.col("text"))).alias("pos", "line")
-    )
+    generator = F.posexplode_outer(T.lines(F.col("text"))).alias("pos", "line")
+    listed = unnest(documents(spark, sf_dir), ["path"], generator, "pos")
     return listed.select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
@@ -236,7 +235,7 @@ def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = with_blocks(sources(spark, sf_dir))
-    return cut.select("repo", "path", "lang", F.inline("blocks"))
+    return unnest(cut, ["repo", "path", "lang"], F.inline_outer("blocks"), "line")
 
 
 def segment_brace(spark: SparkSession, sf_dir: str) -> DataFrame:
