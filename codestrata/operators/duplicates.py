@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.segment import blocks_of
 from codestrata.scale import attach, materialize
 
 
@@ -32,10 +33,14 @@ def duplicate_locations(
     return attach(members, groups.select(*keys, "n"), keys, "n")
 
 
-def duplicate_blocks(blocks: DataFrame, across_repos: bool = False) -> tuple[DataFrame, DataFrame]:
+def duplicate_blocks(
+    files_with_blocks: DataFrame, across_repos: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Groups and their locations; the groups are stored once and read by both."""
-    groups = materialize(duplicate_groups(blocks, across_repos), "duplicate-groups")
-    return groups, duplicate_locations(blocks, groups, across_repos)
+    groups = duplicate_groups(blocks_of(files_with_blocks, ["hash", "preview"]), across_repos)
+    groups = materialize(groups, "duplicate-groups")
+    members = blocks_of(files_with_blocks, ["line", "hash"])
+    return groups, duplicate_locations(members, groups, across_repos)
 
 
 def severity_of_copies(n):

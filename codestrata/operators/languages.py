@@ -81,14 +81,18 @@ def candidate_files(files: DataFrame, options: ScanOptions = ScanOptions()) -> D
     return kept.withColumn("lang", lang).filter(F.col("lang").isNotNull())
 
 
-def source_files(
-    files: DataFrame, languages: DataFrame, options: ScanOptions = ScanOptions()
-) -> DataFrame:
-    """Candidate files in the language of their repository.
+def in_language(rows: DataFrame, languages: DataFrame) -> DataFrame:
+    """Rows whose ``lang`` is the language of their repository.
 
     ``languages`` should be a stored table.  Up to a counted number of repositories it is
-    broadcast and no text is shuffled; beyond that hot repositories are.
+    broadcast and ``rows`` are not shuffled; beyond that those of hot repositories are not.
     """
-    candidates = candidate_files(files, options)
-    joined = attach(candidates, languages, ["repo"], "n_files")
+    joined = attach(rows, languages, ["repo"], "n_files")
     return joined.filter(F.col("lang") == F.col("language")).drop("language", "n_files")
+
+
+def source_files(
+    files: DataFrame, languages: DataFrame, options: ScanOptions = ScanOptions()
+) -> DataFrame:
+    """Candidate files in the language of their repository."""
+    return in_language(candidate_files(files, options), languages)

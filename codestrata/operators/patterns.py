@@ -117,9 +117,13 @@ def rules_table(spark: SparkSession) -> DataFrame:
 
 
 def rules_for(languages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules that apply to each row's ``language``; the rule table is a handful of rows."""
-    applies = F.array_contains(F.col("languages"), F.col("language"))
-    return languages.join(F.broadcast(rules), applies).drop("languages")
+    """Rules that apply to each row's ``language``.
+
+    The rule table is a handful of rows; with one row per rule and language it is joined by
+    equality.
+    """
+    single = rules.withColumn("language", F.explode("languages")).drop("languages")
+    return languages.join(F.broadcast(single), "language")
 
 
 def cap_locations(refs: Column, n: int = 5) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import components
@@ -135,8 +136,8 @@ def worst_offenders(refs: DataFrame, k: int = 5) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top = first_k_per_repo(counts, k, [F.col("n").desc(), F.col("file")])
-    several = top.groupBy("repo").agg(F.count(F.lit(1)).alias("files")).filter("files >= 2")
-    return top.join(several.select("repo"), "repo", "left_semi")
+    files = F.count(F.lit(1)).over(W.partitionBy("repo"))
+    return top.withColumn("files", files).filter("files >= 2").drop("files")
 
 
 def guardrail_rules(violations: DataFrame) -> DataFrame:

@@ -197,8 +197,14 @@ def with_blocks(files: DataFrame, min_lines: int = 8) -> DataFrame:
     return files.withColumn("blocks", function_blocks(F.col("text"), F.col("lang"), min_lines))
 
 
-def blocks_of(files_with_blocks: DataFrame) -> DataFrame:
-    """One row per block: ``(repo, path, line, line_count, hash, preview)``."""
+def blocks_of(files_with_blocks: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """One row per block: ``(repo, path, line, line_count, hash, preview)``.
+
+    With ``fields`` only these are read from stored blocks.
+    """
+    if fields:
+        zipped = F.arrays_zip(*[F.col(f"blocks.{name}").alias(name) for name in fields])
+        return unnest(files_with_blocks, ["repo", "path"], F.inline_outer(zipped), fields[0])
     return unnest(files_with_blocks, ["repo", "path"], F.inline_outer("blocks"), "line")
 
 

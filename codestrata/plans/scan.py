@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from codestrata.operators.boundaries import crossing_imports
 from codestrata.operators.deadcode import dead_code
 from codestrata.operators.duplicates import duplicate_blocks, severity_of_copies
-from codestrata.operators.languages import detect_language, source_files
+from codestrata.operators.languages import (
+    candidate_files,
+    detect_language,
+    in_language,
+    source_files,
+)
 from codestrata.operators.naming import naming_go, naming_python
 from codestrata.operators.patterns import RULE_NO, RULES, capped_refs, hits_of
-from codestrata.operators.segment import blocks_of, god_functions_of
+from codestrata.operators.segment import god_functions_of
 from codestrata.options import ScanOptions
 from codestrata.plans.facts import file_facts
-from codestrata.scale import materialize
+from codestrata.scale import fits_broadcast, materialize
 from codestrata.schema import (
     ANTI_PATTERN,
     BOUNDARY,
@@ -70,7 +75,7 @@ def _with_refs(found: DataFrame, ref_lists: Column) -> Found:
 
 def detect_duplicates(facts: DataFrame, options: ScanOptions) -> Found:
     """One violation per group of copies; its references are rows, however many there are."""
-    groups, places = duplicate_blocks(blocks_of(facts))
+    groups, places = duplicate_blocks(facts)
     key = F.concat(F.lit("duplicate:"), F.col("hash"))
     violations = _violations(
         groups.withColumn("path", F.lit("")),
@@ -290,6 +295,12 @@ def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
     """
     languages = materialize(detect_language(files), "languages")
     sources = source_files(files, languages, options)
-    facts = materialize(file_facts(sources, options), "facts")
+    if fits_broadcast(languages):
+        facts = materialize(file_facts(sources, options), "facts")
+    else:
+        # Texts are not shuffled to learn their repository's language; the small facts are.
+        candidates = file_facts(candidate_files(files, options), options)
+        facts = in_language(materialize(candidates, "candidate-facts"), languages)
+        facts = materialize(facts, "facts")
     extra = [detect_dead_code(sources, options)] if options.dead_code else []
     return scan_facts(facts, count_sources(languages, facts), options, extra)

@@ -92,8 +92,9 @@ def test_duplicates(spark, code):
     body = "func a() {\n" + "  x()  // n\n" * 7 + "}\n"
     other = "func b() {\n" + "  x()\n" * 7 + "}\n"
     frame = code("Go", body + body + other, other, "y\n" + body.replace(" // n", ""))
-    cut = blocks_of(with_blocks(frame))
-    groups, places = duplicate_blocks(cut)
+    facts = with_blocks(frame, 8)
+    cut = blocks_of(facts)
+    groups, places = duplicate_blocks(facts)
     assert sorted((row.n, row.preview.split("\n")[0]) for row in groups.collect()) == [
         (2, "    func b() {"),
         (3, "    func a() {"),

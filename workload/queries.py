@@ -172,14 +172,16 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one block: its whole normalised text."""
-    return documents(spark, sf_dir).select(
-        "repo",
-        "path",
+    """Each document with one block: its whole normalised text."""
+    block = F.struct(
         F.lit(1).alias("line"),
         T.block_hash(_normal(F.col("text"))).alias("hash"),
         F.lit("").alias("preview"),
     )
+    return materialize(
+        documents(spark, sf_dir).select("repo", "path", F.array(block).alias("blocks")),
+        "document-blocks",
+    )
 
 
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,17 +273,17 @@ def rule_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = duplicates.duplicate_groups(blocks_of(facts(spark, sf_dir)))
+    groups = duplicates.duplicate_groups(blocks_of(facts(spark, sf_dir), ["hash", "preview"]))
     return groups.withColumn("severity", duplicates.severity_of_copies(F.col("n")))
 
 
 def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, places = duplicates.duplicate_blocks(blocks_of(facts(spark, sf_dir)))
+    _, places = duplicates.duplicate_blocks(facts(spark, sf_dir))
     return places
 
 
 def duplicate_blocks_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, places = duplicates.duplicate_blocks(blocks_of(facts(spark, sf_dir)), across_repos=True)
+    _, places = duplicates.duplicate_blocks(facts(spark, sf_dir), across_repos=True)
     return places
 
 
