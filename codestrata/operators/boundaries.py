@@ -101,19 +101,23 @@ def _script_imports(text_lines: Column) -> Column:
     return F.filter(F.flatten(found), lambda target: target != "")
 
 
-def with_imports(files: DataFrame) -> DataFrame:
-    """Add ``imports array<string>`` in file order; a file without an import word has none."""
-    text_lines = lines(F.col("text"), STANDARD_LINE_LIMIT)
-    lang = F.col("lang")
-    found = (
-        F.when(~F.col("text").rlike("import|require|from"), F.array().cast("array<string>"))
+def import_targets(text: Column, lang: Column) -> Column:
+    """Imports of a file in order, as an array; a text without an import word has none."""
+    text_lines = lines(text, STANDARD_LINE_LIMIT)
+    none = F.array().cast("array<string>")
+    return (
+        F.when(~text.rlike("import|require|from"), none)
         .when(lang == "Go", _go_imports(text_lines))
         .when(lang == "Python", _python_imports(text_lines))
         .when(lang == "Java", _java_imports(text_lines))
         .when(lang.isin("TypeScript", "JavaScript"), _script_imports(text_lines))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(none)
     )
-    return files.withColumn("imports", found)
+
+
+def with_imports(files: DataFrame) -> DataFrame:
+    """Add ``imports`` to ``(…, lang, text)``."""
+    return files.withColumn("imports", import_targets(F.col("text"), F.col("lang")))
 
 
 def imports_of(files_with_imports: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import components
@@ -22,25 +22,27 @@ SNAKE_MORE_THAN = 2
 EXAMPLES = 3
 
 
-def with_naming(files: DataFrame) -> DataFrame:
-    """Add ``naming struct<caps,camel,camel_functions,snake_functions>`` per file."""
-    go = F.when(F.col("lang") == "Go", text_prefix(F.col("text"), GO_PREFIX))
-    python = F.when(F.col("lang") == "Python", text_prefix(F.col("text"), PYTHON_PREFIX))
-    return files.withColumn(
-        "naming",
-        F.struct(
-            go.rlike(CAPS_CONSTANT).alias("caps"),
-            go.rlike(CAMEL_CONSTANT).alias("camel"),
-            F.regexp_extract_all(python, F.lit(CAMEL_FUNCTION), F.lit(1)).alias(
-                "camel_functions"
-            ),
-            F.regexp_extract_all(python, F.lit(SNAKE_FUNCTION), F.lit(1)).alias(
-                "snake_functions"
-            ),
-        ),
+def naming_styles(text: Column, lang: Column) -> Column:
+    """Styles in a file: ``struct<caps,camel,camel_functions,snake_functions>``."""
+    go = F.when(lang == "Go", text_prefix(text, GO_PREFIX))
+    python = F.when(lang == "Python", text_prefix(text, PYTHON_PREFIX))
+
+    def names(pattern: str) -> Column:
+        return F.regexp_extract_all(python, F.lit(pattern), F.lit(1))
+
+    return F.struct(
+        go.rlike(CAPS_CONSTANT).alias("caps"),
+        go.rlike(CAMEL_CONSTANT).alias("camel"),
+        names(CAMEL_FUNCTION).alias("camel_functions"),
+        names(SNAKE_FUNCTION).alias("snake_functions"),
     )
 
 
+def with_naming(files: DataFrame) -> DataFrame:
+    """Add ``naming`` to ``(…, lang, text)``."""
+    return files.withColumn("naming", naming_styles(F.col("text"), F.col("lang")))
+
+
 def naming_go(facts: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
     """``(repo, caps_files, camel_files)`` of Go repositories that use both constant styles."""
     return (

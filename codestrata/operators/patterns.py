@@ -133,27 +133,42 @@ def cap_locations(refs: Column, n: int = 5) -> Column:
     ).otherwise(refs)
 
 
-def with_hits(
-    files: DataFrame,
+def rule_hits(
+    text: Column,
+    lang: Column | None,
     max_locations: int = 5,
     rules: list[Rule] = PATTERN_RULES,
-    any_language: bool = False,
-) -> DataFrame:
-    """Add ``hits array<struct<rule_no,lines>>``: rules with a match, first match lines.
+) -> Column:
+    """Rules with a match, and the first match lines: ``array<struct<rule_no,lines>>``.
 
-    Each rule reads a text once, and only texts in one of its languages.
+    Each rule reads a text once, and only texts in one of its languages; without ``lang`` it
+    reads all.
     """
     hits = []
     for rule in rules:
-        found = line_of_matches(F.col("text"), rule.pattern, max_locations)
-        applies = F.lit(True) if any_language else F.col("lang").isin(*rule.languages)
+        found = line_of_matches(text, rule.pattern, max_locations)
+        applies = F.lit(True) if lang is None else lang.isin(*rule.languages)
         if rule.literals:
-            held = [F.contains(F.col("text"), F.lit(literal)) for literal in rule.literals]
+            held = [F.contains(text, F.lit(literal)) for literal in rule.literals]
             applies = applies & reduce(lambda a, b: a | b, held)
-        found = F.when(applies, found)
-        hits.append(F.struct(F.lit(RULE_NO[rule.rule_id]).alias("rule_no"), found.alias("lines")))
-    kept = F.filter(F.array(*hits), lambda hit: F.size(hit.lines) > 0)
-    return files.withColumn("hits", kept)
+        hits.append(
+            F.struct(
+                F.lit(RULE_NO[rule.rule_id]).alias("rule_no"),
+                F.when(applies, found).alias("lines"),
+            )
+        )
+    return F.filter(F.array(*hits), lambda hit: F.size(hit.lines) > 0)
+
+
+def with_hits(
+    files: DataFrame,
+    max_locations: int = 5,
+    rules: list[Rule] = PATTERN_RULES,
+    any_language: bool = False,
+) -> DataFrame:
+    """Add ``hits``; with ``any_language`` the files need no ``lang``."""
+    lang = None if any_language else F.col("lang")
+    return files.withColumn("hits", rule_hits(F.col("text"), lang, max_locations, rules))
 
 
 def hits_of(files_with_hits: DataFrame) -> DataFrame:

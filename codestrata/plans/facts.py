@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.operators.boundaries import with_imports
-from codestrata.operators.naming import with_naming
-from codestrata.operators.patterns import with_hits
-from codestrata.operators.segment import with_blocks, with_god_function
+from codestrata.operators.boundaries import import_targets
+from codestrata.operators.naming import naming_styles
+from codestrata.operators.patterns import rule_hits
+from codestrata.operators.segment import function_blocks, god_functions
 from codestrata.options import ScanOptions
 
-FACT_COLUMNS = ["repo", "path", "lang", "blocks", "hits", "god", "imports", "naming"]
+
+@lru_cache(maxsize=8)
+def _fact_columns(application: str, options: ScanOptions) -> tuple[Column, ...]:
+    # Kept per application: putting these expressions together takes seconds, and a rescan
+    # needs them for every batch.
+    text, lang = F.col("text"), F.col("lang")
+    return (
+        function_blocks(text, lang, options.duplicate_min_lines).alias("blocks"),
+        rule_hits(text, lang, options.max_locations).alias("hits"),
+        god_functions(text, lang, options.god_function_lines).alias("god"),
+        import_targets(text, lang).alias("imports"),
+        naming_styles(text, lang).alias("naming"),
+    )
 
 
 def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -20,10 +34,5 @@ def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
     The facts of a file depend on nothing but the file, so the texts are read once and never
     shuffled; a changed file changes one row.
     """
-    facts = files
-    facts = with_blocks(facts, options.duplicate_min_lines)
-    facts = with_god_function(facts, options.god_function_lines)
-    facts = with_hits(facts, options.max_locations)
-    facts = with_imports(facts)
-    facts = with_naming(facts)
-    return facts.select(*FACT_COLUMNS)
+    application = files.sparkSession.sparkContext.applicationId
+    return files.select("repo", "path", "lang", *_fact_columns(application, options))

@@ -2,29 +2,117 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import relative_path
+from codestrata.scale import materialize
+from codestrata.schema import SKIPPED_DIRECTORIES
+
+# Bytes of file content that a task hands on at a time.
+BATCH_BYTES = 32 * 1024 * 1024
+
+
+def list_tree(
+    spark: SparkSession, root: str, skipped: tuple[str, ...] = tuple(SKIPPED_DIRECTORIES)
+) -> DataFrame:
+    """``(path, size)`` of the files below ``root``, names in ``skipped`` pruned.
+
+    Spark's own file sources leave out empty files and names that start with ``_`` or ``.``,
+    which source trees are full of.  Every level of the tree is one job over its directories, so
+    a large repository is listed by many tasks.  Directories behind links are not entered, and
+    what cannot be read is left out.
+    """
+    _, base = fs.FileSystem.from_uri(_uri(root))
+
+    def list_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = fs.FileSystem.from_uri(_uri(root))
+        for batch in batches:
+            for directory in batch["path"]:
+                yield _entries(store, directory, skipped)
+
+    level = spark.createDataFrame([(base,)], "path string")
+    found: list[DataFrame] = []
+    while True:
+        entries = level.mapInPandas(list_batch, "path string, is_dir boolean, size long")
+        entries = materialize(entries, "tree-level")
+        found.append(entries.filter("NOT is_dir").select("path", "size"))
+        level = entries.filter("is_dir").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = level.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _uri(root: str) -> str:
+    return root if "://" in root else os.path.abspath(root)
+
+
+def _entries(store: fs.FileSystem, directory: str, skipped: tuple[str, ...]) -> pd.DataFrame:
+    try:
+        infos = store.get_file_info(fs.FileSelector(directory))
+    except OSError:
+        infos = []
+    rows = []
+    for info in infos:
+        is_dir = info.type == fs.FileType.Directory
+        linked = isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)
+        if is_dir and (linked or info.base_name in skipped):
+            continue
+        if is_dir or info.type == fs.FileType.File:
+            rows.append((info.path, is_dir, info.size or 0))
+    return pd.DataFrame(rows, columns=["path", "is_dir", "size"])
 
 
 def read_corpus(
-    spark: SparkSession, location: str, root: str, repo: Column | None = None
+    spark: SparkSession,
+    root: str,
+    repo: Column | None = None,
+    extensions: tuple[str, ...] | None = None,
+    files_per_task: int = 2_000,
 ) -> DataFrame:
-    """Read a tree of files as ``(repo, path, text)``.
+    """Read the tree below ``root`` as ``(repo, path, text)``.
 
-    ``location`` is a path or glob below ``root``.  Without ``repo`` the first component below
-    ``root`` is the repository.  Files that vanish or cannot be read are left out; bytes that
-    are not UTF-8 become U+FFFD.
+    Without ``repo`` the first directory below ``root`` is the repository.  With ``extensions``
+    only files that end in one of them are read; the others keep their row, with a NULL text.
+    Files that cannot be read are left out; bytes that are not UTF-8 become U+FFFD.
     """
+    listed = materialize(list_tree(spark, root), "tree")
+    tasks = max(spark.sparkContext.defaultParallelism, listed.count() // files_per_task)
+    _, base = fs.FileSystem.from_uri(_uri(root))
+
+    def read_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = fs.FileSystem.from_uri(_uri(root))
+        rows: list[tuple[str, bytes | None]] = []
+        held = 0
+        for batch in batches:
+            for path in batch["path"]:
+                content = None
+                if extensions is None or path.lower().endswith(extensions):
+                    try:
+                        with store.open_input_stream(path) as stream:
+                            content = stream.read()
+                    except OSError:
+                        continue
+                rows.append((path, content))
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=["path", "content"])
+
+    # Spread by path, so that the files of one repository are read by many tasks.
     loaded = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .load(location)
+        listed.select("path")
+        .repartition(tasks, "path")
+        .mapInPandas(read_batch, "path string, content binary")
     )
-    below = relative_path(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), root.rstrip("/"))
+    below = relative_path(F.col("path"), base.rstrip("/"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     if repo is not None:
         return loaded.select(repo.alias("repo"), below.alias("path"), text.alias("text"))

@@ -215,7 +215,7 @@ def page_link_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folder of the tables itself, read as a tree of files."""
-    files = read_corpus(spark, sf_dir, sf_dir, F.lit("tables"))
+    files = read_corpus(spark, sf_dir, F.lit("tables"))
     return files.select("repo", "path", F.length("text").alias("n_chars"))
 
 
