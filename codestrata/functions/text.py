@@ -131,7 +131,9 @@ def normalize_text(scanned: Column) -> Column:
     plain space first, so that most of the work is literal replacement.
     """
     single = F.regexp_replace(plain_spaces(scanned), " {2,}", " ")
-    trimmed = F.btrim(F.replace(F.replace(single, F.lit("\n "), F.lit("\n")), F.lit(" \n"), F.lit("\n")))
+    newline = F.lit("\n")
+    no_head = F.replace(single, F.lit("\n "), newline)
+    trimmed = F.btrim(F.replace(no_head, F.lit(" \n"), newline))
 
     def cut(text: Column, mark: str) -> Column:
         # The first alternative keeps a line that starts with the mark as it is.
@@ -141,7 +143,7 @@ def normalize_text(scanned: Column) -> Column:
         ).otherwise(text)
 
     uncommented = let(let(trimmed, lambda text: cut(text, "//")), lambda text: cut(text, "#"))
-    return F.rtrim(F.replace(uncommented, F.lit(" \n"), F.lit("\n")))
+    return F.rtrim(F.replace(uncommented, F.lit(" \n"), newline))
 
 
 def normalize_line(line: Column) -> Column:

@@ -29,7 +29,9 @@ def severity_rank(severity: Column) -> Column:
 
 def order_columns() -> list[Column]:
     """Sort keys that put the violations of a repository in detection order."""
-    return [components(F.col("path")) if name == "path" else F.col(name) for name in VIOLATION_ORDER]
+    return [
+        components(F.col("path")) if name == "path" else F.col(name) for name in VIOLATION_ORDER
+    ]
 
 
 def summary(repos: DataFrame, violations: DataFrame) -> DataFrame:

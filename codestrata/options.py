@@ -24,4 +24,6 @@ class ScanOptions:
     naming: bool = True
     boundaries: bool = True
     dead_code: bool = False
-    duplicates_across_repos: bool = False
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "exclude", tuple(self.exclude))

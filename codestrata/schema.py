@@ -4,14 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FILES = T.StructType(
-    [
-        T.StructField("repo", T.StringType(), False),
-        T.StructField("path", T.StringType(), False),
-        T.StructField("text", T.StringType(), True),
-    ]
-)
-
 CHANGES = T.StructType(
     [
         T.StructField("repo", T.StringType(), False),

@@ -10,7 +10,8 @@ from codestrata.functions import text as T
 
 def apply(spark, function, values):
     frame = spark.createDataFrame(list(enumerate(values)), "n int, x string")
-    return [row.y for row in frame.select("n", function(F.col("x")).alias("y")).orderBy("n").collect()]
+    found = frame.select("n", function(F.col("x")).alias("y")).orderBy("n")
+    return [row.y for row in found.collect()]
 
 
 def test_lines(spark):
@@ -33,7 +34,13 @@ def test_a_long_line_ends_the_file(spark):
     found = apply(
         spark,
         T.lines,
-        [f"a\n{fits}\nb", f"a\n{too_long}\nb", f"{too_long}\nb", f"a\n{fits}\r\nb", "é" * (limit // 2)],
+        [
+            f"a\n{fits}\nb",
+            f"a\n{too_long}\nb",
+            f"{too_long}\nb",
+            f"a\n{fits}\r\nb",
+            "é" * (limit // 2),
+        ],
     )
     assert [len(lines) for lines in found] == [3, 1, 0, 1, 0]
 
