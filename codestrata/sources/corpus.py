@@ -29,13 +29,30 @@ def list_tree(
     a large repository is listed by many tasks.  Directories behind links are not entered, and
     what cannot be read is left out.
     """
-    _, base = fs.FileSystem.from_uri(_uri(root))
+    uri = _uri(root)
+    _, base = fs.FileSystem.from_uri(uri)
+
+    # The functions that run in tasks use nothing of this package, which executors may not have.
+    def entries_of(store: fs.FileSystem, directory: str) -> pd.DataFrame:
+        try:
+            infos = store.get_file_info(fs.FileSelector(directory))
+        except OSError:
+            infos = []
+        rows = []
+        for info in infos:
+            is_dir = info.type == fs.FileType.Directory
+            linked = isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)
+            if is_dir and (linked or info.base_name in skipped):
+                continue
+            if is_dir or info.type == fs.FileType.File:
+                rows.append((info.path, is_dir, info.size or 0))
+        return pd.DataFrame(rows, columns=["path", "is_dir", "size"])
 
     def list_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = fs.FileSystem.from_uri(_uri(root))
+        store, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for directory in batch["path"]:
-                yield _entries(store, directory, skipped)
+                yield entries_of(store, directory)
 
     level = spark.createDataFrame([(base,)], "path string")
     found: list[DataFrame] = []
@@ -53,22 +70,6 @@ def _uri(root: str) -> str:
     return root if "://" in root else os.path.abspath(root)
 
 
-def _entries(store: fs.FileSystem, directory: str, skipped: tuple[str, ...]) -> pd.DataFrame:
-    try:
-        infos = store.get_file_info(fs.FileSelector(directory))
-    except OSError:
-        infos = []
-    rows = []
-    for info in infos:
-        is_dir = info.type == fs.FileType.Directory
-        linked = isinstance(store, fs.LocalFileSystem) and os.path.islink(info.path)
-        if is_dir and (linked or info.base_name in skipped):
-            continue
-        if is_dir or info.type == fs.FileType.File:
-            rows.append((info.path, is_dir, info.size or 0))
-    return pd.DataFrame(rows, columns=["path", "is_dir", "size"])
-
-
 def read_corpus(
     spark: SparkSession,
     root: str,
@@ -84,10 +85,11 @@ def read_corpus(
     """
     listed = materialize(list_tree(spark, root), "tree")
     tasks = max(spark.sparkContext.defaultParallelism, listed.count() // files_per_task)
-    _, base = fs.FileSystem.from_uri(_uri(root))
+    uri = _uri(root)
+    _, base = fs.FileSystem.from_uri(uri)
 
     def read_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, _ = fs.FileSystem.from_uri(_uri(root))
+        store, _ = fs.FileSystem.from_uri(uri)
         rows: list[tuple[str, bytes | None]] = []
         held = 0
         for batch in batches:
