@@ -75,8 +75,9 @@ def mix(
     share: float = TOTAL_SHARE,
     most: float = MOST_REPEATS,
 ) -> DataFrame:
-    """Words taken of each document: ``(doc_id, source, size, source_size, target, taken)``.
+    """Words taken of each document: ``(doc_id, source, size, source_size, target, taken, key)``.
 
+    ``key`` is the hash that a source's documents are shuffled by; only rows of one id and text share it.
     A null or empty text has size 0 and is never taken; a null source is a source of its own; a
     null id stays null; repeated rows are documents of their own; other columns are left out; an
     empty table gives no rows.  The names of the sources go through the driver, one row each.
@@ -118,7 +119,7 @@ def mix(
         F.floor((F.col("start") + F.col("size") - 1) / block_words),
     )
     block = F.explode(F.sequence(first, last)).alias("block")
-    pieces = starts.select("no", "doc_id", "size", "start", block)
+    pieces = starts.select("no", "doc_id", "size", "start", "shuffled", block)
 
     taken = _block_visits(spark, plan, block_words)
     # Words of the piece within its block, and those of a visit that ends inside the block.
@@ -128,23 +129,32 @@ def mix(
     )
     partly = F.least(F.greatest(F.col("part") - at, F.lit(0)), until - at)
     by_piece = pieces.join(taken, ["no", "block"]).select(
-        "no", "doc_id", "size", "start", (F.col("whole") * (until - at) + partly).alias("words")
+        "no", "doc_id", "size", "start", "shuffled", (F.col("whole") * (until - at) + partly).alias("words")
     )
     # A document has a start of its own within its source, as it has at least one word.
-    by_doc = by_piece.groupBy("no", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
-    never = starts.select("no", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    by_doc = by_piece.groupBy("no", "start", "doc_id", "size", "shuffled").agg(F.sum("words").alias("taken"))
+    never = starts.select("no", "start", "doc_id", "size", "shuffled", F.lit(0).cast("long").alias("taken"))
     scheduled = (
         by_doc.unionByName(never)
-        .groupBy("no", "start", "doc_id", "size")
+        .groupBy("no", "start", "doc_id", "size", "shuffled")
         .agg(F.max("taken").alias("taken"))
         .join(F.broadcast(sources), "no")
     )
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    scheduled = scheduled.withColumnRenamed("shuffled", "key")
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "key"]
     empty = (
         sized.filter("size = 0")
         .alias("d")
         .join(F.broadcast(sources).alias("s"), known)
-        .select("d.doc_id", "d.source", "size", "source_size", "target", F.lit(0).alias("taken"))
+        .select(
+            "d.doc_id",
+            "d.source",
+            "size",
+            "source_size",
+            "target",
+            F.lit(0).cast("long").alias("taken"),
+            F.col("shuffled").alias("key"),
+        )
     )
     return scheduled.select(*out).unionByName(empty)
 
@@ -158,6 +168,7 @@ def _empty(sized: DataFrame) -> DataFrame:
         zero.alias("source_size"),
         F.lit(0.0).alias("target"),
         zero.alias("taken"),
+        F.col("shuffled").alias("key"),
     )
 
 
@@ -199,3 +210,34 @@ def _block_visits(spark, plan: list[tuple], block_words: int) -> DataFrame:
             ),
         )
     )
+
+
+def mixed(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+    block_words: int = BLOCK_WORDS,
+    share: float = TOTAL_SHARE,
+    most: float = MOST_REPEATS,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the mix takes them.
+
+    A document of which a part is taken counts as taken if that is half of it or more.  Rows that
+    agree in id, text and source are one document, taken as often as they are together.
+    """
+    taken = mix(docs, id_column, text_column, source_column, block_words, share, most)
+    times = taken.filter("taken > 0").groupBy("key", "source").agg(
+        F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times")
+    )
+    times = times.filter("times > 0").select("key", F.col("source").alias("from"), "times")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        shuffle_key(docs[id_column], docs[text_column]).alias("key"),
+        docs[source_column].alias("from"),
+    )
+    rows = rows.dropDuplicates(["key", "from"]).alias("d")
+    same = (F.col("d.key") == F.col("t.key")) & F.col("d.from").eqNullSafe(F.col("t.from"))
+    chosen = rows.join(times.alias("t"), same)
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")
+    return chosen.select("row", repeated).select("row.*")

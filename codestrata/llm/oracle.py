@@ -112,4 +112,26 @@ SELECT doc_id, source, cast(size AS BIGINT) AS size, source_size, target,
 FROM placed
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_preference": OP4, "op8_mixing": OP8}
+OP9 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS words FROM documents
+), windows AS (
+  SELECT row_id, i, array_to_string(words[i:i + 34], ' ') AS passage
+  FROM (SELECT row_id, words, unnest(range(1, len(words) - 33)) AS i FROM docs)
+), repeats AS (
+  SELECT row_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY passage) > 1
+), gone AS (
+  SELECT row_id, list(DISTINCT place) AS places
+  FROM (SELECT row_id, unnest(range(i, i + 35)) AS place FROM repeats) GROUP BY row_id
+), kept AS (
+  SELECT docs.row_id, string_agg(word, ' ' ORDER BY place) AS text
+  FROM (SELECT row_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM docs) AS docs
+  LEFT JOIN gone ON docs.row_id = gone.row_id
+  WHERE gone.row_id IS NULL OR NOT list_contains(places, place) GROUP BY docs.row_id
+)
+SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, cast(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN gone USING (row_id) LEFT JOIN kept USING (row_id)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op4_preference": OP4, "op8_mixing": OP8, "op9_substring": OP9}

@@ -103,9 +103,12 @@ def runs(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
 class Words:
     """Words of the texts in one run: byte spans, and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None
+    ) -> None:
+        """``between`` marks the bytes between words, if they are others than blanks."""
         self.data, self.offsets = data, offsets
-        inside = ~blank_bytes()[data]
+        inside = ~(blank_bytes() if between is None else between)[data]
         before = np.zeros(len(data) + 1, dtype=bool)
         before[1:] = inside
         firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -145,12 +148,6 @@ class Hasher:
         return span_hashes(hashes, starts, starts + width, self.windows)
 
 
-def window_starts(words: Words, width: int) -> np.ndarray:
-    """Places of the words at which a window of ``width`` words of one text starts."""
-    counts = np.maximum(words.counts() - width + 1, 0)
-    return ranges(words.first[:-1], counts)
-
-
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """``start, start + 1, …`` for each start, ``count`` numbers of it, one after another."""
     total = int(counts.sum())
