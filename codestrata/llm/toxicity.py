@@ -4,7 +4,9 @@ Labels confirm some toxic texts; every other text is unlabelled, not clean.  Wit
 toxic texts, the risk on clean texts is that of all texts less p times that of the toxic ones, both
 taken as clean; where this estimate falls below zero, which a true risk cannot, the model has begun
 to remember its examples, and the step goes back up.  A few linear models over the words of a text
-are fitted in tasks of their own, each to its part of a bounded sample, and averaged.
+and their beginnings are fitted in tasks of their own, each leaving out a part of a bounded sample,
+and averaged.  A model weighs only features that the confirmed texts have clearly more often than
+all texts, so that the many words of a long text say nothing by their number.
 """
 
 from __future__ import annotations
@@ -18,14 +20,26 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.exchange import run_lengths
 from codestrata.llm.maxent import held_out
-from codestrata.llm.words import Hasher, Words, blank_bytes, lower_bytes, runs, text_bytes
+from codestrata.llm.words import (
+    Hasher,
+    Words,
+    blank_bytes,
+    lower_bytes,
+    mix,
+    runs,
+    span_hashes,
+    text_bytes,
+)
 
 # Confirmed toxic and unlabelled texts in the sample, about, and models that share them.
 TOXIC_TEXTS, UNLABELLED_TEXTS, MODELS = 6000, 18000, 3
 ROWS = 1 << 18
-# Words of a model are in this many texts of its sample at least.
-LEAST_TEXTS = 4
-ROUNDS, RATE, PENALTY = 150, 0.3, 2e-4
+# Bytes of the beginnings of words that are features beside the words themselves.
+BEGINNINGS = (4, 5, 6, 7)
+# A model's features are in this many of its confirmed texts at least, and as many standard errors
+# more frequent there than in all texts.
+LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
+ROUNDS, RATE, PENALTY = 300, 0.3, 1e-4
 THRESHOLD = 0.3
 
 
@@ -37,53 +51,73 @@ def separators() -> np.ndarray:
     return table
 
 
-def word_sets(
+def feature_sets(
     texts: pa.Array, hasher: Hasher
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first, last, rows, text of each row)``: the distinct hashed words of each text of a run."""
+    """``(first, last, rows, text of each row)``: the distinct hashed features of each text of a run."""
     data, offsets = text_bytes(texts)
     for first, last in runs(offsets):
         own = lower_bytes()[data[offsets[first] : offsets[last]]]
         words = Words(own, offsets[first : last + 1] - offsets[first], separators())
-        rows = (hasher.words(words) >> np.uint64(46)).astype(np.int64) % ROWS
-        pairs = np.sort(words.text_of() * ROWS + rows)
+        owner = words.text_of()
+        hashes, owners = [hasher.words(words)], [owner]
+        for size in BEGINNINGS:
+            long = np.flatnonzero(words.ends - words.starts > size)
+            begins = words.starts[long]
+            found = span_hashes(hasher.table[own], begins, begins + size, hasher.bytes)
+            # A beginning is another feature than the word that is no longer than it.
+            hashes.append(mix(found + np.uint64(size)))
+            owners.append(owner[long])
+        rows = (np.concatenate(hashes) >> np.uint64(46)).astype(np.int64) % ROWS
+        pairs = np.sort(np.concatenate(owners) * ROWS + rows)
         starts, _ = run_lengths(pairs)
         yield first, last, pairs[starts] % ROWS, pairs[starts] // ROWS
 
 
+def telling(rows: np.ndarray, owners: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
+    """Which features the confirmed texts have clearly more often than all texts.
+
+    A feature of toxic texts alone is 1 / prior times as frequent in them as in all texts, one
+    that tells nothing is as frequent; the line is half way between, in factors.
+    """
+    n_toxic, n_all = toxic.sum(), (~toxic).sum()
+    in_toxic = np.bincount(rows[toxic[owners]], minlength=ROWS)
+    in_all = np.bincount(rows[~toxic[owners]], minlength=ROWS)
+    share, base = in_toxic / n_toxic, (in_all + 1) / (n_all + 2)
+    error = np.sqrt(base * (1 - base) * (1 / n_toxic + 1 / n_all))
+    often = (in_toxic >= LEAST_TEXTS) & (share - base >= LEAST_ERRORS * error)
+    return often & (share >= base / np.sqrt(max(prior, 1e-6)))
+
+
 def fit_weights(texts: pa.Array, toxic: np.ndarray, prior: float) -> np.ndarray:
-    """Weights of the hashed words, and the bias behind them, by the non-negative risk.
+    """Weights of the hashed features, and the bias behind them, by the non-negative risk.
 
     ``toxic`` tells the confirmed texts from the unlabelled ones.
     """
     hasher, rows, owners = Hasher(), [], []
-    for first, _, own, owner in word_sets(texts, hasher):
-        rows.append(own)
-        owners.append(owner + first)
     weights = np.zeros(ROWS + 1)
+    weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     if not toxic.any() or toxic.all():
-        weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return weights
+    for first, _, own, owner in feature_sets(texts, hasher):
+        rows.append(own)
+        owners.append(owner + first)
     rows, owners = np.concatenate(rows), np.concatenate(owners)
-    frequent = np.bincount(rows, minlength=ROWS) >= LEAST_TEXTS
-    keep = frequent[rows]
+    keep = telling(rows, owners, toxic, prior)[rows]
     rows, owners, n = rows[keep], owners[keep], len(toxic)
     square = np.full(ROWS + 1, 1e-8)
-    weights[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     as_toxic = np.where(toxic, prior / toxic.sum(), 0.0)
-    as_clean = np.where(toxic, 0.0, 1 / (~toxic).sum())
+    as_all = np.where(toxic, 0.0, 1 / (~toxic).sum())
     for _ in range(ROUNDS):
         logit = np.bincount(owners, weights=weights[rows], minlength=n) + weights[-1]
         share = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        clean_loss = np.logaddexp(0, logit)
-        # Risk on clean texts, from all texts and the confirmed toxic ones.
-        clean_risk = (as_clean * clean_loss).sum() - (as_toxic * clean_loss).sum()
-        if clean_risk >= 0:
-            slope = as_toxic * (share - 1) + (as_clean - as_toxic) * share
+        taken_as_clean = np.logaddexp(0, logit)
+        if ((as_all - as_toxic) * taken_as_clean).sum() >= 0:
+            slope = as_toxic * (share - 1) + (as_all - as_toxic) * share
         else:
-            slope = (as_toxic - as_clean) * share
+            slope = (as_toxic - as_all) * share
         by_row = np.append(np.bincount(rows, weights=slope[owners], minlength=ROWS), slope.sum())
-        by_row[:-1] += PENALTY * weights[:-1] / max(1, frequent.sum()) * 10
+        by_row[:-1] += PENALTY * weights[:-1]
         square += by_row**2
         weights -= RATE * by_row / np.sqrt(square)
     return weights
@@ -107,7 +141,9 @@ def fit(texts: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     sample = known.select("doc_id", "text", F.lit(True).alias("known")).unionByName(
         training.sample(share, 1).select("doc_id", "text", F.lit(False).alias("known"))
     )
-    model = F.pmod(F.xxhash64("doc_id"), F.lit(MODELS)).cast("int")
+    # Each model leaves out the texts of one part.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(MODELS)).cast("int")
+    models = F.array_remove(F.array(*[F.lit(n) for n in range(MODELS)]), part)
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("known", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
@@ -115,7 +151,7 @@ def fit(texts: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
         weights = fit_weights(table.column("text").combine_chunks(), toxic, prior)
         return pa.table({"weights": pa.array([weights.astype(np.float32).tobytes()], pa.binary())})
 
-    rows = sample.withColumn("model", model).groupBy("model").applyInArrow(fitted, "weights binary")
+    rows = sample.withColumn("model", F.explode(models)).groupBy("model").applyInArrow(fitted, "weights binary")
     found = [np.frombuffer(row["weights"], np.float32) for row in rows.collect()]
     return np.mean(found, axis=0) if found else np.zeros(ROWS + 1)
 
@@ -148,7 +184,7 @@ def score_toxicity(
         hasher = Hasher()
         for batch in batches:
             ids, text, out = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "held_out"))
-            for first, last, rows, owners in word_sets(text, hasher):
+            for first, last, rows, owners in feature_sets(text, hasher):
                 logit = np.bincount(owners, weights=weights[rows], minlength=last - first) + weights[-1]
                 score = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
