@@ -32,14 +32,16 @@ from codestrata.llm.words import (
 )
 
 # Confirmed toxic and unlabelled texts in the sample, about, and models that share them.
-TOXIC_TEXTS, UNLABELLED_TEXTS, MODELS = 6000, 18000, 3
+TOXIC_TEXTS, UNLABELLED_TEXTS, MODELS = 3000, 9000, 3
 ROWS = 1 << 18
 # Bytes of the beginnings of words that are features beside the words themselves.
 BEGINNINGS = (4, 5, 6, 7)
 # A model's features are in this many of its confirmed texts at least, and as many standard errors
 # more frequent there than in all texts.
-LEAST_TEXTS, LEAST_ERRORS = 3, 3.0
-ROUNDS, RATE, PENALTY = 300, 0.3, 1e-4
+LEAST_TEXTS, LEAST_ERRORS = 3, 5.0
+# Features that the prior of the unlabelled texts is read from.
+CLEAREST = 20
+ROUNDS, RATE, PENALTY = 400, 0.1, 1e-4
 THRESHOLD = 0.3
 
 
@@ -74,11 +76,15 @@ def feature_sets(
         yield first, last, pairs[starts] % ROWS, pairs[starts] // ROWS
 
 
-def telling(rows: np.ndarray, owners: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
-    """Which features the confirmed texts have clearly more often than all texts.
+def telling(
+    rows: np.ndarray, owners: np.ndarray, toxic: np.ndarray, prior: float
+) -> tuple[np.ndarray, float]:
+    """Which features the confirmed texts have clearly more often, and the prior these show.
 
     A feature of toxic texts alone is 1 / prior times as frequent in them as in all texts, one
-    that tells nothing is as frequent; the line is half way between, in factors.
+    that tells nothing is as frequent; the line is half way between, in factors.  The frequencies
+    of the clearest features in all texts over those in the confirmed ones are the prior of the
+    unlabelled texts, which must not be set above it, as the risk would then seem negative.
     """
     n_toxic, n_all = toxic.sum(), (~toxic).sum()
     in_toxic = np.bincount(rows[toxic[owners]], minlength=ROWS)
@@ -86,7 +92,12 @@ def telling(rows: np.ndarray, owners: np.ndarray, toxic: np.ndarray, prior: floa
     share, base = in_toxic / n_toxic, (in_all + 1) / (n_all + 2)
     error = np.sqrt(base * (1 - base) * (1 / n_toxic + 1 / n_all))
     often = (in_toxic >= LEAST_TEXTS) & (share - base >= LEAST_ERRORS * error)
-    return often & (share >= base / np.sqrt(max(prior, 1e-6)))
+    found = often & (share >= base / np.sqrt(max(prior, 1e-6)))
+    clearest = np.flatnonzero(found)
+    clearest = clearest[np.argsort(-((share - base) / error)[clearest], kind="stable")[:CLEAREST]]
+    if len(clearest):
+        prior = min(prior, in_all[clearest].sum() / n_all / share[clearest].sum())
+    return found, prior
 
 
 def fit_weights(texts: pa.Array, toxic: np.ndarray, prior: float) -> np.ndarray:
@@ -100,15 +111,16 @@ def fit_weights(texts: pa.Array, toxic: np.ndarray, prior: float) -> np.ndarray:
     if not toxic.any() or toxic.all():
         return weights
     for first, _, own, owner in feature_sets(texts, hasher):
-        rows.append(own)
-        owners.append(owner + first)
+        rows.append(own.astype(np.int32))
+        owners.append((owner + first).astype(np.int32))
     rows, owners = np.concatenate(rows), np.concatenate(owners)
-    keep = telling(rows, owners, toxic, prior)[rows]
+    found, prior = telling(rows, owners, toxic, prior)
+    keep = found[rows]
     rows, owners, n = rows[keep], owners[keep], len(toxic)
-    square = np.full(ROWS + 1, 1e-8)
+    mean, square = np.zeros(ROWS + 1), np.zeros(ROWS + 1)
     as_toxic = np.where(toxic, prior / toxic.sum(), 0.0)
     as_all = np.where(toxic, 0.0, 1 / (~toxic).sum())
-    for _ in range(ROUNDS):
+    for step in range(1, ROUNDS + 1):
         logit = np.bincount(owners, weights=weights[rows], minlength=n) + weights[-1]
         share = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         taken_as_clean = np.logaddexp(0, logit)
@@ -118,8 +130,10 @@ def fit_weights(texts: pa.Array, toxic: np.ndarray, prior: float) -> np.ndarray:
             slope = (as_toxic - as_all) * share
         by_row = np.append(np.bincount(rows, weights=slope[owners], minlength=ROWS), slope.sum())
         by_row[:-1] += PENALTY * weights[:-1]
-        square += by_row**2
-        weights -= RATE * by_row / np.sqrt(square)
+        mean += 0.1 * (by_row - mean)
+        square += 0.01 * (by_row**2 - square)
+        size = np.sqrt(square / (1 - 0.99**step)) + 1e-8
+        weights -= RATE * (1 - step / (ROUNDS + 1)) * mean / (1 - 0.9**step) / size
     return weights
 
 
