@@ -36,9 +36,6 @@ SPACE_CHARACTERS = "\t\n\x0b\f\r " + "".join(
 # Control characters that mark places in a text; texts are cleared of them before.
 MARK, MARK_2, MARK_3, NO_MARK = map(chr, (1, 2, 3, 4))
 
-STANDARD_LINE_LIMIT = 64 * 1024
-LONG_LINE_LIMIT = 1024 * 1024
-
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once.
@@ -72,42 +69,54 @@ def text_prefix(text: Column, n: int) -> Column:
     return F.when(F.octet_length(text) <= n, text).otherwise(cut)
 
 
-def scanned_text(text: Column, max_line_bytes: int = LONG_LINE_LIMIT) -> Column:
+def scanned_text(text: Column) -> Column:
     """What a line scanner sees of a text: lines joined by newlines, without a final newline.
 
-    One carriage return before each line end is dropped.  A line of ``max_line_bytes`` or more
-    bytes ends the text before it.
+    One carriage return before each line end is dropped.
     """
-    body = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
-
-    def before_long_line(raw: Column) -> Column:
-        too_long = F.array_position(
-            F.transform(raw, lambda line: F.octet_length(line) >= max_line_bytes), True
-        )
-        return let(
-            too_long.cast("int"),
-            lambda at: F.array_join(
-                F.when(at > 0, F.slice(raw, F.lit(1), at - 1)).otherwise(raw), "\n"
-            ),
-        )
-
-    whole = F.when(F.octet_length(text) < max_line_bytes, body).otherwise(
-        let(F.split(body, "\n", -1), before_long_line)
-    )
+    whole = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
     return F.when(
         F.contains(text, F.lit("\r")), F.regexp_replace(whole, r"\r(?=\n|\z)", "")
     ).otherwise(whole)
 
 
-def lines(text: Column, max_line_bytes: int = STANDARD_LINE_LIMIT) -> Column:
-    """Lines of a text as an array; an empty text has none."""
-    first = F.substring_index(text, "\n", 1)
-    no_lines = (text == "") | (F.octet_length(first) >= max_line_bytes)
-    return F.when(no_lines, F.array().cast("array<string>")).otherwise(
-        F.split(scanned_text(text, max_line_bytes), "\n", -1)
+def lines(text: Column) -> Column:
+    """Lines of a text as an array, of any length; an empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(scanned_text(text), "\n", -1)
+    )
+
+
+PAGE = 64
+
+
+def paged(kind: str) -> Column:
+    """An empty list of ``kind`` that a fold can add to without copying all of it each time."""
+    return F.struct(
+        F.array().cast(f"array<array<{kind}>>").alias("full"),
+        F.array().cast(f"array<{kind}>").alias("page"),
     )
 
 
+def add_to(pages: Column, items: Column) -> Column:
+    """``pages`` with the array ``items`` behind it; a full page is put away whole."""
+    return let(
+        F.concat(pages.page, items),
+        lambda page: F.when(
+            F.size(page) < PAGE, F.struct(pages.full.alias("full"), page.alias("page"))
+        ).otherwise(
+            F.struct(
+                F.concat(pages.full, F.array(page)).alias("full"),
+                F.slice(page, 1, 0).alias("page"),
+            )
+        ),
+    )
+
+
+def all_of(pages: Column) -> Column:
+    return F.concat(F.flatten(pages.full), pages.page)
+
+
 def plain_spaces(text: Column) -> Column:
     """``text`` with a space for every other white space character but the newline."""
     ascii_only = reduce(
@@ -187,26 +196,20 @@ def is_func_start(line: Column) -> Column:
     return trim_space(line).rlike(f"^(?:{FUNCTION_WORDS}) ")
 
 
-def line_of_matches(text: Column, pattern: str, limit: int) -> Column:
-    """Line numbers of the first ``limit`` matches of ``pattern``, in order.
+def line_of_matches(text: Column, pattern: str) -> Column:
+    """Line numbers of all matches of ``pattern``, in order; one for each match.
 
     ``pattern`` must not match an empty string and must not hold groups that are referred to.
-    The text is read once to mark the matches; only a text with matches is cut at the marks.
+    The text is read once to mark the matches; only a text with matches is cut into lines.
     """
     none = F.array().cast("array<int>")
 
     def lines_of(marked: Column) -> Column:
-        pieces = let(
-            F.split(marked, MARK, limit + 1),
-            lambda found: F.slice(found, F.lit(1), F.size(found) - 1),
-        )
-        return F.aggregate(
-            F.transform(pieces, lambda piece: count_of(piece, "\n")),
-            none,
-            lambda seen, n: F.concat(
-                seen, F.array(F.coalesce(F.get(seen, F.size(seen) - 1), F.lit(1)) + n)
-            ),
+        by_line = F.transform(
+            F.split(marked, "\n", -1),
+            lambda line, n: F.array_repeat((n + 1).cast("int"), count_of(line, MARK)),
         )
+        return F.flatten(by_line)
 
     return let(
         F.regexp_replace(clear_marks(text), f"({pattern})", MARK + "$1"),

@@ -10,19 +10,14 @@ from codestrata.functions.text import (
     NON_SPACE,
     RE_BLANK,
     SPACE,
-    STANDARD_LINE_LIMIT,
+    add_to,
+    all_of,
     lines,
+    paged,
     trim_space,
 )
 from codestrata.scale import unnest
-from codestrata.schema import FORBIDDEN_PAIRS, LAYERS
-
-
-def layers_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(n + 1, layer, words) for n, (layer, words) in enumerate(LAYERS)],
-        "prio int, layer string, pattern string",
-    )
+from codestrata.schema import FORBIDDEN_PAIRS
 
 
 def forbidden_table(spark: SparkSession) -> DataFrame:
@@ -45,8 +40,8 @@ def _go_imports(text_lines: Column) -> Column:
         return F.struct(
             (opens | (state.inside & ~closes)).alias("inside"),
             F.when(opens, state.out)
-            .when(single, F.concat(state.out, F.array(quoted)))
-            .when(listed & (word != ""), F.concat(state.out, F.array(word)))
+            .when(single, add_to(state.out, F.array(quoted)))
+            .when(listed & (word != ""), add_to(state.out, F.array(word)))
             .otherwise(state.out)
             .alias("out"),
         )
@@ -57,9 +52,9 @@ def _go_imports(text_lines: Column) -> Column:
         return F.when(idle, moved).otherwise(step(state, raw))
 
     start = F.struct(
-        F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out")
+        F.lit(False).alias("inside"), paged("string").alias("out")
     )
-    return F.aggregate(text_lines, start, next_line, lambda state: state.out)
+    return F.aggregate(text_lines, start, next_line, lambda state: all_of(state.out))
 
 
 def _python_imports(text_lines: Column) -> Column:
@@ -103,7 +98,7 @@ def _script_imports(text_lines: Column) -> Column:
 
 def import_targets(text: Column, lang: Column) -> Column:
     """Imports of a file in order, as an array; a text without an import word has none."""
-    text_lines = lines(text, STANDARD_LINE_LIMIT)
+    text_lines = lines(text)
     none = F.array().cast("array<string>")
     return (
         F.when(~text.rlike("import|require|from"), none)
@@ -126,13 +121,6 @@ def imports_of(files_with_imports: DataFrame) -> DataFrame:
     return unnest(files_with_imports, ["repo", "path"], generator, "ord")
 
 
-def classify_imports(imports: DataFrame, root: str = "") -> DataFrame:
-    """Add ``from_layer`` (by path) and ``to_layer`` (by target)."""
-    return imports.withColumn("from_layer", layer_of_path(F.col("path"), root)).withColumn(
-        "to_layer", layer_of(F.col("target"))
-    )
-
-
 def crossing_imports(files_with_imports: DataFrame, root: str = "") -> DataFrame:
     """Imports whose pair of layers is forbidden, one row per import.
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codestrata.functions.paths import components
-from codestrata.functions.text import LONG_LINE_LIMIT, RE_BLANK, lines, scanned_text
-from codestrata.scale import fits_broadcast, materialize, unnest
+from codestrata.functions.text import RE_BLANK, let, lines, scanned_text
+from codestrata.scale import unnest
 
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 
@@ -27,32 +26,65 @@ OTHER_DEFINITION = (
 ENTRY_POINTS = ["main", "init", "String", "Error"]
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """``(repo, path, line, name)`` of each line that defines a function."""
-    line = F.col("_line")
-    name = F.regexp_extract(line, OTHER_DEFINITION, 1)
-    for lang, pattern in DEFINITIONS.items():
-        name = F.when(F.col("lang") == lang, F.regexp_extract(line, pattern, 1)).otherwise(name)
-    may_define = F.contains(line, F.lit("("))
-    all_lines = F.posexplode_outer(lines(F.col("text"), LONG_LINE_LIMIT)).alias("_pos", "_line")
-    return (
-        unnest(files, ["repo", "path", "lang"], all_lines, "_pos")
-        .filter(may_define)
-        .select("repo", "path", (F.col("_pos") + 1).alias("line"), name.alias("name"))
-        .filter("name <> ''")
+def definition_names(text: Column, lang: Column) -> Column:
+    """Lines that define a function: ``array<struct<line,name>>``."""
+
+    def named(line: Column) -> Column:
+        name = F.regexp_extract(line, OTHER_DEFINITION, 1)
+        for language, pattern in DEFINITIONS.items():
+            name = F.when(lang == language, F.regexp_extract(line, pattern, 1)).otherwise(name)
+        return name
+
+    found = F.transform(
+        lines(text),
+        lambda line, n: F.when(
+            F.contains(line, F.lit("(")),
+            F.struct((n + 1).alias("line"), named(line).alias("name")),
+        ),
+    )
+    return F.filter(found, lambda item: item["name"] != "")
+
+
+def name_counts(text: Column) -> Column:
+    """Identifiers of a text, comments and strings included: ``array<struct<name,n>>``."""
+    found = F.sort_array(F.regexp_extract_all(scanned_text(text), F.lit(IDENTIFIER), F.lit(0)))
+
+    def counted(names: Column) -> Column:
+        # Sorted, a name begins where it differs from the one before it.
+        places = F.transform(
+            names, lambda name, n: F.when((n == 0) | (name != F.get(names, n - 1)), n)
+        )
+        return let(
+            F.array_compact(places),
+            lambda starts: F.transform(
+                starts,
+                lambda start, k: F.struct(
+                    F.get(names, start).alias("name"),
+                    (F.coalesce(F.get(starts, k + 1), F.size(names)) - start).alias("n"),
+                ),
+            ),
+        )
+
+    return let(found, counted)
+
+
+def with_names(files: DataFrame) -> DataFrame:
+    """Add ``definitions`` and ``names`` to ``(…, lang, text)``."""
+    text, lang = F.col("text"), F.col("lang")
+    return files.withColumns(
+        {"definitions": definition_names(text, lang), "names": name_counts(text)}
     )
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """One row per identifier of the texts, comments and strings included."""
-    text = scanned_text(F.col("text"), LONG_LINE_LIMIT)
-    found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
-    return unnest(files, ["repo"], F.explode_outer(found).alias("name"), "name")
+def definitions_of(files_with_names: DataFrame) -> DataFrame:
+    """``(repo, path, line, name)`` of each line that defines a function."""
+    return unnest(files_with_names, ["repo", "path"], F.inline_outer("definitions"), "line")
 
 
-def identifier_frequency(files: DataFrame) -> DataFrame:
-    """``(repo, name, n)``; frequent names are counted in each task before the shuffle."""
-    return identifiers(files).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"))
+def identifier_frequency(files_with_names: DataFrame) -> DataFrame:
+    """``(repo, name, n)``; a file's counts are added up in each task before the shuffle."""
+    rows = unnest(files_with_names, ["repo"], F.inline_outer("names"), "name")
+    return rows.groupBy("repo", "name").agg(F.sum("n").alias("n"))
 
 
 def may_be_dead(found: DataFrame) -> DataFrame:
@@ -72,28 +104,26 @@ def first_k_per_repo(rows: DataFrame, k: int, order: list) -> DataFrame:
     return rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
 
-def dead_code(files: DataFrame, cap: int = 20) -> DataFrame:
-    """First ``cap`` definitions per repository whose name occurs once in it.
+def dead_code(files_with_names: DataFrame) -> DataFrame:
+    """``(repo, path, line, name)`` of all definitions whose name occurs once in the repository.
 
-    A name with two definitions cannot be dead, so only names defined once are counted in the
-    texts.  Few such names are broadcast; otherwise the counts are joined on the key that they
-    are already partitioned by.
+    Reads the names of stored facts, not texts.  A name that a file has twice is not dead.
     """
-    once = (
-        may_be_dead(definitions(files))
-        .groupBy("repo", "name")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path"), F.min("line").alias("line"))
-        .filter("n = 1")
-        .drop("n")
+    found = may_be_dead(definitions_of(files_with_names)).withColumn("n", F.lit(0))
+    names = unnest(files_with_names, ["repo"], F.inline_outer("names"), "name")
+    blank = [F.lit(None).cast(kind).alias(name) for name, kind in (("path", "string"), ("line", "int"))]
+    # Definitions and occurrences meet in one aggregation, combined in each task.
+    rows = found.select("repo", "name", "path", "line", "n").unionByName(
+        names.select("repo", "name", *blank, "n")
     )
-    once = materialize(once, "defined-once")
-    used = identifiers(files)
-    if fits_broadcast(once):
-        used = used.join(F.broadcast(once.select("repo", "name")), ["repo", "name"], "left_semi")
-    counts = used.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"))
-    dead = once.join(counts.filter("n = 1").select("repo", "name"), ["repo", "name"])
-    return first_k_per_repo(
-        dead.select("repo", "path", "line", "name"),
-        cap,
-        [components(F.col("path")), F.col("line")],
+    return (
+        rows.groupBy("repo", "name")
+        .agg(
+            F.sum("n").alias("n"),
+            F.count("path").alias("defined"),
+            F.min("path").alias("path"),
+            F.min("line").alias("line"),
+        )
+        .filter("n = 1 AND defined = 1")
+        .select("repo", "path", "line", "name")
     )

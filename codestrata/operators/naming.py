@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import components
-from codestrata.functions.text import RE_SPACE, text_prefix
+from codestrata.functions.text import RE_SPACE
 from codestrata.operators.deadcode import first_k_per_repo
 
-# Bytes read per file, patterns of the styles, and the counts that matter.
-GO_PREFIX, PYTHON_PREFIX = 4096, 8192
+# Patterns of the styles, and the counts that matter.
 CAPS_CONSTANT = rf"const{RE_SPACE}+[A-Z_]{{3,}}{RE_SPACE}*="
 CAMEL_CONSTANT = rf"const{RE_SPACE}+[A-Z][a-z]+[A-Z]"
 CAMEL_FUNCTION = (
@@ -24,8 +23,8 @@ EXAMPLES = 3
 
 def naming_styles(text: Column, lang: Column) -> Column:
     """Styles in a file: ``struct<caps,camel,camel_functions,snake_functions>``."""
-    go = F.when(lang == "Go", text_prefix(text, GO_PREFIX))
-    python = F.when(lang == "Python", text_prefix(text, PYTHON_PREFIX))
+    go = F.when(lang == "Go", text)
+    python = F.when(lang == "Python", text)
 
     def names(pattern: str) -> Column:
         return F.regexp_extract_all(python, F.lit(pattern), F.lit(1))
@@ -59,8 +58,25 @@ def naming_go(facts: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
     )
 
 
+def python_names(facts: DataFrame) -> DataFrame:
+    """``(repo, path, style, pos, name)``: every function name in one of the two styles."""
+    listed = [
+        facts.filter("lang = 'Python'").select(
+            "repo",
+            "path",
+            F.lit(style).alias("style"),
+            F.posexplode(f"naming.{style}_functions").alias("pos", "name"),
+        )
+        for style in ("camel", "snake")
+    ]
+    return listed[0].unionByName(listed[1])
+
+
 def naming_python(facts: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
-    """``(repo, camel, snake, camel_examples, snake_examples)`` of mixed Python repositories."""
+    """``(repo, camel, snake, camel_examples, snake_examples)`` of mixed Python repositories.
+
+    The examples are a few to show; `python_names` has all names.
+    """
     python = facts.filter("lang = 'Python'")
     counts = (
         python.groupBy("repo")
@@ -74,10 +90,9 @@ def naming_python(facts: DataFrame, min_files: int = MIN_FILES) -> DataFrame:
         .drop("n_files")
     )
     result = counts
+    all_names = python_names(facts)
     for style in ("camel", "snake"):
-        names = python.select(
-            "repo", "path", F.posexplode(f"naming.{style}_functions").alias("pos", "name")
-        )
+        names = all_names.filter(F.col("style") == style)
         shown = first_k_per_repo(
             names, EXAMPLES, [components(F.col("path")), F.col("pos")]
         )

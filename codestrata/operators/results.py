@@ -78,6 +78,7 @@ def score_of() -> Column:
 
 
 def score_label(score: Column) -> Column:
+    # The labels and where they begin.
     return (
         F.when(score < 40, "Critical Drift")
         .when(score < 70, "Degraded")
@@ -98,21 +99,17 @@ def gate(summary_: DataFrame) -> DataFrame:
 
 
 def suggestions_of() -> Column:
-    listed = F.array(
-        F.when(
-            F.col("duplicate_sets") > 0,
-            F.format_string("Merge %d sets of copied code into shared helpers", "duplicate_sets"),
-        ),
-        F.when(
-            F.col("broken_boundaries") > 0,
-            F.lit("Check layer imports in continuous integration"),
-        ),
-        F.when(
-            F.col("anti_patterns") > 0,
-            F.lit("Generate rule documents so that these patterns do not come back"),
-        ),
-    )
-    return F.filter(listed, lambda text: text.isNotNull())
+    """What there is to do: the number of findings of each kind that has any."""
+    kinds = [
+        ("duplicate_sets", "copied functions to merge"),
+        ("broken_boundaries", "imports to reroute"),
+        ("anti_patterns", "risky places to rewrite"),
+    ]
+    listed = [
+        F.when(F.col(name) > 0, F.concat(F.col(name).cast("string"), F.lit(f" {what}")))
+        for name, what in kinds
+    ]
+    return F.filter(F.array(*listed), lambda text: text.isNotNull())
 
 
 def suggestions(summary_: DataFrame) -> DataFrame:
@@ -133,8 +130,7 @@ def worst_offenders(refs: DataFrame, k: int = 5) -> DataFrame:
     the last step sees at most ``k`` rows of each.
     """
     counts = (
-        refs.filter("ref_path <> '...'")
-        .groupBy("repo", F.col("ref_path").alias("file"))
+        refs.groupBy("repo", F.col("ref_path").alias("file"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top = first_k_per_repo(counts, k, [F.col("n").desc(), F.col("file")])
@@ -162,43 +158,10 @@ def guardrail_rules(violations: DataFrame) -> DataFrame:
     )
 
 
-DEFAULT_CONVENTIONS = "Keep to the conventions that the existing code follows."
-
-CONVENTIONS = {
-    "Go": "### Go\n"
-    "- Exported names in CamelCase, others in camelCase\n"
-    "- The error is the last result; libraries do not panic\n"
-    "- Wrap errors with what was being done\n"
-    "- Write tests as tables of cases\n"
-    "- No mutable package state\n"
-    "- Depend on interfaces, so that tests can replace them",
-    "Python": "### Python\n"
-    "- snake_case for functions, variables and modules\n"
-    "- PascalCase for classes, UPPER_CASE for constants\n"
-    "- except clauses name the exception type\n"
-    "- Signatures carry type hints\n"
-    "- Structured data in dataclasses, not in loose dicts",
-    "Java": "### Java\n"
-    "- camelCase for methods and variables, PascalCase for classes\n"
-    "- Checked exceptions are handled, not dropped\n"
-    "- Collaborators are injected, not called statically\n"
-    "- One responsibility per class\n"
-    "- Services stand behind interfaces",
-    "TypeScript": "### TypeScript\n"
-    "- camelCase for variables and functions, PascalCase for types\n"
-    "- Public functions declare their result type\n"
-    "- interface for object shapes\n"
-    "- unknown instead of any, narrowed before use\n"
-    "- Every promise has a rejection handler",
-}
-
-
-def conventions_of(language: Column) -> Column:
-    pairs = [F.lit(value) for pair in CONVENTIONS.items() for value in pair]
-    return F.coalesce(
-        F.try_element_at(F.create_map(*pairs), language), F.lit(DEFAULT_CONVENTIONS)
-    )
-
+def language_conventions(repos: DataFrame, conventions: DataFrame) -> DataFrame:
+    """``(repo, language, conventions)`` from a given table ``(language, text)``.
 
-def language_conventions(repos: DataFrame) -> DataFrame:
-    return repos.select("repo", "language", conventions_of(F.col("language")).alias("conventions"))
+    The table has a row for each language, a bounded number; a language without one gives null.
+    """
+    given = conventions.select("language", F.col("text").alias("conventions"))
+    return repos.join(F.broadcast(given), "language", "left").select("repo", "language", "conventions")

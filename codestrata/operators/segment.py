@@ -18,15 +18,17 @@ from codestrata.functions.text import (
     NON_SPACE,
     RE_BLANK,
     SPACE,
-    STANDARD_LINE_LIMIT,
     WORD,
     WORD_END,
     WORD_START,
+    add_to,
+    all_of,
     block_hash,
     clear_marks,
     count_of,
     let,
     normalize_text,
+    paged,
     preview,
     scanned_text,
     trim_space,
@@ -34,8 +36,6 @@ from codestrata.functions.text import (
 from codestrata.scale import unnest
 from codestrata.schema import BRACE_LANGUAGES
 
-_SPANS = "array<struct<start:int,n:int>>"
-
 
 def _span(start: Column, n: Column) -> Column:
     return F.array(F.struct(start.alias("start"), n.alias("n")))
@@ -66,9 +66,7 @@ def brace_spans(scanned: Column, min_lines: int) -> Column:
             (state.i + 1).alias("i"),
             F.when(closes, -1).when(opens, state.i).otherwise(state.start).alias("start"),
             F.when(closes, 0).otherwise(depth).alias("depth"),
-            F.when(
-                closes & (length >= min_lines), F.concat(state.spans, _span(state.start, length))
-            )
+            F.when(closes & (length >= min_lines), add_to(state.spans, _span(state.start, length)))
             .otherwise(state.spans)
             .alias("spans"),
         )
@@ -85,7 +83,7 @@ def brace_spans(scanned: Column, min_lines: int) -> Column:
         )
         return F.when(idle, moved).otherwise(step(state, line))
 
-    return F.aggregate(skeleton, _start_state(), next_line, lambda state: state.spans)
+    return F.aggregate(skeleton, _start_state(), next_line, lambda state: all_of(state.spans))
 
 
 def _start_state() -> Column:
@@ -93,7 +91,7 @@ def _start_state() -> Column:
         F.lit(0).alias("i"),
         F.lit(-1).alias("start"),
         F.lit(0).alias("depth"),
-        F.array().cast(_SPANS).alias("spans"),
+        paged("struct<start:int,n:int>").alias("spans"),
     )
 
 
@@ -122,9 +120,7 @@ def indent_spans(scanned: Column, min_lines: int) -> Column:
             (state.i + 1).alias("i"),
             F.when(opens, state.i).when(ends, -1).otherwise(state.start).alias("start"),
             F.when(opens, indent).otherwise(state.depth).alias("depth"),
-            F.when(
-                ends & (length >= min_lines), F.concat(state.spans, _span(state.start, length))
-            )
+            F.when(ends & (length >= min_lines), add_to(state.spans, _span(state.start, length)))
             .otherwise(state.spans)
             .alias("spans"),
         )
@@ -133,8 +129,8 @@ def indent_spans(scanned: Column, min_lines: int) -> Column:
         length = state.i - state.start
         return F.when(
             (state.start >= 0) & (length >= min_lines),
-            F.concat(state.spans, _span(state.start, length)),
-        ).otherwise(state.spans)
+            F.concat(all_of(state.spans), _span(state.start, length)),
+        ).otherwise(all_of(state.spans))
 
     def next_line(state: Column, line: Column) -> Column:
         moved = F.struct(
@@ -161,7 +157,10 @@ def function_blocks(text: Column, lang: Column, min_lines: int = 8) -> Column:
     def cut(spans: Column, normal: Column) -> Column:
         def block(span: Column) -> Column:
             return let(
-                F.slice(normal, span.start + 1, span.n),
+                # By place, as a slice would copy the whole array for each block.
+                F.transform(
+                    F.sequence(span.start, span.start + span.n - 1), lambda n: F.get(normal, n)
+                ),
                 lambda body: F.struct(
                     (span.start + 1).alias("line"),
                     span.n.alias("line_count"),
@@ -312,7 +311,7 @@ def god_functions(text: Column, lang: Column, max_lines: int = 80) -> Column:
                 some, lambda span: named(scanned, span, GOD_FUNCTION_STARTS[name])
             )
 
-        return let(scanned_text(text, STANDARD_LINE_LIMIT), of_lines)
+        return let(scanned_text(text), of_lines)
 
     cases = F.when(lang == "Go", of_language("Go"))
     for name in ("Python", "Java"):

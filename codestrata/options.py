@@ -16,8 +16,6 @@ class ScanOptions:
     root: str = ""
     god_function_lines: int = 80
     duplicate_min_lines: int = 8
-    max_locations: int = 5
-    dead_code_cap: int = 20
     naming_min_files: int = 5
     duplication: bool = True
     anti_patterns: bool = True

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.boundaries import import_targets
+from codestrata.operators.deadcode import definition_names, name_counts
 from codestrata.operators.naming import naming_styles
 from codestrata.operators.patterns import rule_hits
 from codestrata.operators.segment import function_blocks, god_functions
@@ -19,12 +20,14 @@ def _fact_columns(application: str, options: ScanOptions) -> tuple[Column, ...]:
     # Kept per application: putting these expressions together takes seconds, and a rescan
     # needs them for every batch.
     text, lang = F.col("text"), F.col("lang")
+    names = [definition_names(text, lang).alias("definitions"), name_counts(text).alias("names")]
     return (
         function_blocks(text, lang, options.duplicate_min_lines).alias("blocks"),
-        rule_hits(text, lang, options.max_locations).alias("hits"),
+        rule_hits(text, lang).alias("hits"),
         god_functions(text, lang, options.god_function_lines).alias("god"),
         import_targets(text, lang).alias("imports"),
         naming_styles(text, lang).alias("naming"),
+        *(names if options.dead_code else []),
     )
 
 
@@ -32,7 +35,7 @@ def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
     """One row per file of ``(repo, path, lang, text)``, without its text.
 
     The facts of a file depend on nothing but the file, so the texts are read once and never
-    shuffled; a changed file changes one row.
+    shuffled; a changed file changes one row.  Names are only kept when dead code is asked for.
     """
     application = files.sparkSession.sparkContext.applicationId
     return files.select("repo", "path", "lang", *_fact_columns(application, options))

@@ -18,7 +18,7 @@ from codestrata.operators.languages import (
     source_files,
 )
 from codestrata.operators.naming import naming_go, naming_python
-from codestrata.operators.patterns import RULE_NO, RULES, capped_refs, hits_of
+from codestrata.operators.patterns import RULE_NO, RULES, all_refs, hits_of
 from codestrata.operators.segment import god_functions_of
 from codestrata.options import ScanOptions
 from codestrata.plans.facts import file_facts
@@ -32,8 +32,10 @@ from codestrata.schema import (
     DUPLICATION,
     NAMING,
     REF_COLUMNS,
+    REFS,
     VIOLATION_COLUMNS,
     VIOLATION_ORDER,
+    VIOLATIONS,
     WARNING,
 )
 
@@ -64,7 +66,7 @@ def _violations(rows: DataFrame, category: str, **columns: Column) -> DataFrame:
 
 
 def _with_refs(found: DataFrame, ref_lists: Column) -> Found:
-    """Violations, and their references out of one short list per row."""
+    """Violations, and their references out of one list per row, as rows."""
     refs = found.select(
         "repo", "severity", *VIOLATION_ORDER, F.posexplode(ref_lists).alias("ref_no", "ref")
     )
@@ -115,7 +117,7 @@ def detect_patterns(facts: DataFrame, options: ScanOptions) -> Found:
         return F.get(F.array(*values), F.col("rule_no"))
 
     rows = hits_of(facts)
-    refs = capped_refs(F.col("path"), F.col("lines"), options.max_locations)
+    refs = all_refs(F.col("path"), F.col("lines"))
     rows = rows.withColumn("rule_id", text_of("rule_id"))
     key = F.concat(F.col("rule_id"), F.lit(":"), F.col("path"))
     found = _violations(
@@ -227,9 +229,9 @@ def detect_boundaries(facts: DataFrame, options: ScanOptions) -> Found:
     return _with_refs(found, F.array("path"))
 
 
-def detect_dead_code(sources: DataFrame, options: ScanOptions) -> Found:
-    """Functions whose name occurs once; needs the texts, not only their facts."""
-    rows = dead_code(sources, options.dead_code_cap)
+def detect_dead_code(facts: DataFrame, options: ScanOptions) -> Found:
+    """Functions whose name occurs once; needs facts with names."""
+    rows = dead_code(facts)
     found = _violations(
         rows,
         DEAD_CODE,
@@ -262,19 +264,20 @@ def detectors(options: ScanOptions) -> list[Detector]:
         chosen.append(detect_naming)
     if options.boundaries:
         chosen.append(detect_boundaries)
+    if options.dead_code:
+        chosen.append(detect_dead_code)
     return chosen
 
 
 def scan_facts(
-    facts: DataFrame,
-    repos: DataFrame,
-    options: ScanOptions = ScanOptions(),
-    extra: list[Found] | None = None,
+    facts: DataFrame, repos: DataFrame, options: ScanOptions = ScanOptions()
 ) -> Scan:
-    """Run the detectors over stored facts and unite what they find."""
-    found = [detect(facts, options) for detect in detectors(options)] + (extra or [])
-    violations, refs = found[0]
-    for more_violations, more_refs in found[1:]:
+    """Run the detectors over stored facts and unite what they find, which may be nothing."""
+    spark = facts.sparkSession
+    violations = spark.createDataFrame([], VIOLATIONS)
+    refs = spark.createDataFrame([], REFS)
+    for detect in detectors(options):
+        more_violations, more_refs = detect(facts, options)
         violations = violations.unionByName(more_violations)
         refs = refs.unionByName(more_refs)
     return Scan(repos, violations, refs)
@@ -302,5 +305,4 @@ def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
         candidates = file_facts(candidate_files(files, options), options)
         facts = in_language(materialize(candidates, "candidate-facts"), languages)
         facts = materialize(facts, "facts")
-    extra = [detect_dead_code(sources, options)] if options.dead_code else []
-    return scan_facts(facts, count_sources(languages, facts), options, extra)
+    return scan_facts(facts, count_sources(languages, facts), options)

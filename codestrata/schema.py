@@ -38,6 +38,18 @@ VIOLATION_ORDER = ["detector", "path", "rule_no", "line", "vkey"]
 # the file they count for.
 REF_COLUMNS = ["repo", "severity", *VIOLATION_ORDER, "ref_at", "ref_no", "ref_path", "ref"]
 
+VIOLATIONS = (
+    "repo string, detector int, path string, rule_no int, line int, vkey string, rule_id string,"
+    " severity string, category string, title string, description string, suggestion string,"
+    " n_refs long"
+)
+REFS = (
+    "repo string, severity string, detector int, path string, rule_no int, line int, vkey string,"
+    " ref_at string, ref_no int, ref_path string, ref string"
+)
+REPOS = "repo string, language string, total_files long"
+
+# Severities, their penalties, and the categories.
 CRITICAL, WARNING, INFO = "CRITICAL", "WARNING", "INFO"
 SEVERITIES = [CRITICAL, WARNING, INFO]
 PENALTY = {CRITICAL: 15, WARNING: 5, INFO: 1}

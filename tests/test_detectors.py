@@ -259,7 +259,8 @@ def test_crossing_imports(spark):
 def test_definitions(code):
     go = "func a() {\n  func (t *T) b (\nfunc(c\nfunc (t) d() func e()"
     java = "public static List<X> f(\n  Foo(\n return g (x)\nprivate Foo(\nint[] h("
-    found = deadcode.definitions(code("Go", go).unionByName(code("Java", java, repo="j")))
+    frame = code("Go", go).unionByName(code("Java", java, repo="j"))
+    found = deadcode.definitions_of(deadcode.with_names(frame))
     listed = sorted((row.repo, row.line, row["name"]) for row in found.collect())
     assert listed == [
         ("j", 1, "f"),
@@ -275,11 +276,19 @@ def test_definitions(code):
 def test_dead_code(code):
     many = "".join(f"def dead{n:02d}(x):\n" for n in range(25))
     names = "def testX(\ndef main(\ndef used(\n# used\ndef TESTy(\ndef Example1(\ndef twice(\ndef twice(\n"
-    frame = code("Python", names + many)
+    frame = deadcode.with_names(code("Python", names + many))
     assert [row["name"] for row in deadcode.dead_code(frame).orderBy("line").collect()] == [
-        f"dead{n:02d}" for n in range(20)
+        f"dead{n:02d}" for n in range(25)
     ]
-    assert deadcode.dead_code(code("Python", names)).count() == 0
+    assert deadcode.dead_code(deadcode.with_names(code("Python", names))).count() == 0
+    apart = deadcode.with_names(code("Python", "def a():\n", "def b():\n a", "b = 1"))
+    assert deadcode.dead_code(apart).count() == 0
+
+
+def test_name_counts(code):
+    frame = deadcode.with_names(code("Go", "b a1 b\n// a1 _x b 9z", "", "!"))
+    listed = sorted((row.repo, row["name"], row.n) for row in deadcode.identifier_frequency(frame).collect())
+    assert listed == [("r", "_x", 1), ("r", "a1", 2), ("r", "b", 3), ("r", "z", 1)]
 
 
 def naming_rows(frame, lang):
@@ -294,8 +303,10 @@ def test_naming_python(code):
     row = naming_rows(code("Python", camel + snake * 3 + "def zz(", *[""] * 4), "Python")[0]
     assert (row.camel, row.snake) == (1, 4)
     assert (row.camel_examples, row.snake_examples) == ("aB", "a_b, a_b, a_b")
-    late = "#" * 8191 + "\n" + camel
-    assert naming_rows(code("Python", late, snake * 3, *[""] * 3), "Python") == []
+    late = code("Python", "#" * 100_000 + "\n" + camel, snake * 3, *[""] * 3)
+    assert [row.camel for row in naming_rows(late, "Python")] == [1]
+    listed = naming.python_names(naming.with_naming(late)).orderBy("path", "pos").collect()
+    assert [(row.style, row["name"]) for row in listed] == [("camel", "aB")] + [("snake", "a_b")] * 3
     inner = code("Python", "  def aB(\n" + snake * 3, *[""] * 4)
     assert naming_rows(inner, "Python") == []
 

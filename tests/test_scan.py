@@ -52,7 +52,7 @@ def test_scan(found):
     assert {key: len(value) for key, value in refs.items()} == {
         key: row.n_refs for key, row in rows.items()
     }
-    assert refs["bare-panic:api/a.go"] == [f"api/a.go:{n}" for n in range(13, 18)] + ["..."]
+    assert refs["bare-panic:api/a.go"] == [f"api/a.go:{n}" for n in range(13, 19)]
     assert refs["boundary:api/a.go:0"] == ["api/a.go"]
     (copies,) = [value for key, value in refs.items() if key.startswith("duplicate:")]
     assert copies == ["api/a.go:4", "lib/b.go:1"]
@@ -68,12 +68,13 @@ def test_results(found):
     }
     assert {row.repo for row in results.gate(totals).filter("failed").collect()} == {"shop"}
     listed = {row.repo: row.suggestions for row in results.suggestions(totals).collect()}
+    assert listed["shop"][0] == "1 copied functions to merge"
     assert [len(listed[repo]) for repo in ("shop", "clean", "docs")] == [3, 0, 0]
     stats = {row.repo: tuple(row)[1:] for row in results.stats(totals).collect()}
     assert stats["shop"] == (2, 6, 1, 2, 3)
     assert stats["docs"] == (0, 0, 0, 0, 0)
     worst = results.worst_offenders(found.refs).orderBy(F.col("n").desc()).collect()
-    assert [(row.file, row.n) for row in worst] == [("api/a.go", 8), ("lib/b.go", 3)]
+    assert [(row.file, row.n) for row in worst] == [("api/a.go", 9), ("lib/b.go", 3)]
     ordered = [row.severity for row in results.by_severity(found.violations).collect()]
     assert ordered == ["CRITICAL"] * 3 + ["WARNING"] * 2 + ["INFO"]
 
@@ -102,7 +103,7 @@ def test_toggles_and_thresholds(files):
 
 
 def test_one_file_is_no_ranking(spark):
-    rows = [("r", "a", "a:1"), ("r", "a", "a:9"), ("r", "...", "..."), ("s", "a", "a:1")]
+    rows = [("r", "a", "a:1"), ("r", "a", "a:9"), ("s", "a", "a:1")]
     rows += [("s", "b", "b:2"), ("s", "a", "a:3")]
     refs = spark.createDataFrame(rows, "repo string, ref_path string, ref string")
     found = results.worst_offenders(refs).orderBy(F.col("n").desc()).collect()
@@ -138,7 +139,7 @@ def test_json_document(found):
         ["Duplication"] + ["AntiPattern"] * 3 + ["BoundaryViolation"] * 2
     )
     assert shop["Violations"][0]["Files"] == ["api/a.go:4", "lib/b.go:1"]
-    assert shop["Violations"][1]["Files"][-1] == "..."
+    assert len(shop["Violations"][1]["Files"]) == 6
     assert shop["Stats"]["FilesScanned"] == 6
     clean = json.loads("".join(text_of(document, "clean")))
     assert clean["Violations"] is None and clean["Suggestions"] is None
@@ -146,14 +147,22 @@ def test_json_document(found):
 
 def test_markdown_documents(found):
     shop = "\n".join(text_of(report.report_markdown(found), "shop"))
-    assert shop.index("## CRITICAL (3)") < shop.index("## WARNING (2)") < shop.index("## INFO (1)")
-    assert shop.index("- `api/a.go:17`") < shop.index("- `...`") < shop.index("## Recommendations")
-    assert len(text_of(report.report_markdown(found), "clean")) == 2
-    rules = "\n".join(text_of(report.rules_document(found), "shop"))
-    assert rules.count("### ") == 1 + 5 and "None were found" not in rules
-    assert "None were found" in "\n".join(text_of(report.rules_document(found), "docs"))
-    notes = "\n".join(text_of(report.context_document(found), "shop"))
-    assert notes.count("- **Import from") == 2 and "Open marker" not in notes
+    assert shop.index("## 3 critical") < shop.index("## 2 warning") < shop.index("## 1 info")
+    assert shop.index("* api/a.go:18") < shop.index("## Left to do")
+    assert len(text_of(report.report_markdown(found), "clean")) == 1
+    given = found.repos.sparkSession.createDataFrame([("Go", "Run gofmt.")], "language string, text string")
+    rules = "\n".join(text_of(report.rules_document(found, given), "shop"))
+    assert rules.count("## ") == 5 and rules.startswith("# Rules for shop (Go)\n\nRun gofmt.")
+    assert text_of(report.rules_document(found, given), "clean") == ["# Rules for clean (Python)"]
+    notes = "\n".join(text_of(report.context_document(found, given), "shop"))
+    assert notes.count("* Import from") == 2 and "Open marker" not in notes
+
+
+def test_nothing_to_look_for(files):
+    off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
+    result = scan(files(CORPUS), ScanOptions(**off))
+    assert result.violations.collect() == [] and result.refs.columns == REF_COLUMNS
+    assert result.repos.count() == 3
 
 
 def test_written_documents_and_tables(spark, found, tmp_path):

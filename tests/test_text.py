@@ -28,21 +28,20 @@ def test_lines(spark):
     ]
 
 
-def test_a_long_line_ends_the_file(spark):
-    limit = T.STANDARD_LINE_LIMIT
-    fits, too_long = "x" * (limit - 1), "y" * limit
-    found = apply(
-        spark,
-        T.lines,
-        [
-            f"a\n{fits}\nb",
-            f"a\n{too_long}\nb",
-            f"{too_long}\nb",
-            f"a\n{fits}\r\nb",
-            "é" * (limit // 2),
-        ],
+def test_lines_of_any_length(spark):
+    long = "y" * 2_000_000
+    found = apply(spark, T.lines, [f"a\n{long}\r\nb", f"{long}\nb", "é" * 70_000])
+    assert [len(lines) for lines in found] == [3, 2, 1]
+    assert found[0] == ["a", long, "b"]
+
+
+def test_pages_hold_what_was_added(spark):
+    listed = F.sequence(F.lit(1), F.length("x"))
+    folded = F.aggregate(
+        listed, T.paged("int"), lambda pages, n: T.add_to(pages, F.array(n)), T.all_of
     )
-    assert [len(lines) for lines in found] == [3, 1, 0, 1, 0]
+    found = apply(spark, lambda x: folded, ["z" * n for n in (1, 63, 64, 65, 1000)])
+    assert found == [list(range(1, n + 1)) for n in (1, 63, 64, 65, 1000)]
 
 
 @pytest.mark.parametrize(
@@ -101,6 +100,6 @@ def test_text_prefix_cuts_bytes(spark):
 
 def test_lines_of_matches(spark):
     given = ["a\nx\nx x\n\nx", "none", "x" + chr(1) + "x\nx", "x\n" * 9]
-    found = apply(spark, lambda c: T.line_of_matches(c, "x", 5), given)
-    assert found == [[2, 3, 3, 5], [], [1, 1, 2], [1, 2, 3, 4, 5]]
-    assert apply(spark, lambda c: T.line_of_matches(c, r"a\s*b", 5), ["a\n\nb a\nb"]) == [[1, 3]]
+    found = apply(spark, lambda c: T.line_of_matches(c, "x"), given)
+    assert found == [[2, 3, 3, 5], [], [1, 1, 2], [1, 2, 3, 4, 5, 6, 7, 8, 9]]
+    assert apply(spark, lambda c: T.line_of_matches(c, r"a\s*b"), ["a\n\nb a\nb"]) == [[1, 3]]

@@ -6,9 +6,6 @@ made from; the SQL does not cut functions out of a text.
 
 from __future__ import annotations
 
-from codestrata.operators import results
-from codestrata.operators.patterns import RULES
-from codestrata.plans import report
 from workload.derived import CORPUS_SQL
 from workload.queries import CHANGE_OP, CHANGE_PATH, EVENT_PAUSE_MS
 
@@ -30,6 +27,68 @@ _SECRET = (
 )
 
 
+# Identifier, severity and languages of each rule, in rule order; and its texts.
+_RULES = [
+    (
+        'silent-error',
+        'CRITICAL',
+        ('Go',),
+        'Result of a call thrown away',
+        "A call's result is assigned to the blank name, so a failure leaves no trace.",
+        'Check the returned error and log, wrap or return it.',
+    ),
+    (
+        'bare-panic',
+        'WARNING',
+        ('Go',),
+        'Panic instead of an error value',
+        'The code stops the process where a caller could have handled an error.',
+        'Return an error and let the caller decide.',
+    ),
+    (
+        'broad-except',
+        'WARNING',
+        ('Python',),
+        'Handler that catches everything',
+        'An except clause without a specific type hides faults that nobody expected.',
+        'Name the exception types this code can deal with.',
+    ),
+    (
+        'print-debug',
+        'INFO',
+        ('Go', 'Python', 'Java'),
+        'Output by print statement',
+        'Text goes straight to standard output and bypasses the logger.',
+        "Write through the project's logger at a fitting level.",
+    ),
+    (
+        'hardcoded-secret',
+        'CRITICAL',
+        ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
+        'Secret written into the source',
+        "A literal next to a credential's name looks like a real key or password.",
+        'Load it from a secret store or the environment, and revoke the old one.',
+    ),
+    (
+        'todo-fixme-critical',
+        'INFO',
+        ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
+        'Open marker comment',
+        'A marker for unfinished work was left in the code.',
+        'Move it to the issue tracker and delete the marker.',
+    ),
+    (
+        'god-function',
+        'WARNING',
+        ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
+        'Function too long',
+        'A function is longer than the limit and likely does several things.',
+        'Split it into functions with one task each.',
+    ),
+]
+_FIELDS = ["rule_id", "severity", "languages", "title", "description", "suggestion"]
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -44,7 +103,7 @@ def _layer(value: str) -> str:
 
 def _rule(field: str) -> str:
     cases = " ".join(
-        f"WHEN {n} THEN {_quote(getattr(rule, field))}" for n, rule in enumerate(RULES)
+        f"WHEN {n} THEN {_quote(rule[_FIELDS.index(field)])}" for n, rule in enumerate(_RULES)
     )
     return f"CASE rule_no {cases} END"
 
@@ -58,13 +117,9 @@ WITH split AS (
     len(string_split(text, chr(10))) AS n
   FROM documents
 ),
-checked AS (
-  SELECT *, bool_or(strlen(raw) >= 65536) OVER
-    (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS cut
-  FROM split WHERE NOT (line_no = n AND raw = '')
-),
 lines AS (
-  SELECT doc_id, line_no, regexp_replace(raw, '\\r$', '') AS line FROM checked WHERE NOT cut
+  SELECT doc_id, line_no, regexp_replace(raw, '\\r$', '') AS line
+  FROM split WHERE NOT (line_no = n AND raw = '')
 ),
 trimmed AS (
   SELECT *, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM lines
@@ -104,13 +159,12 @@ WITH found AS (
 numbered AS (
   SELECT source, doc_id, len(m) AS n, k,
     array_to_string(g[1:k], '') || array_to_string(m[1:k - 1], '') AS before
-  FROM found, unnest(range(1, least(len(m), 5) + 1)) AS t(k)
+  FROM found, unnest(range(1, len(m) + 1)) AS t(k)
 ),
 secrets AS (
-  SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path,
-    string_agg(concat(doc_id, ':', 1 + strlen(before) - strlen(replace(before, chr(10), ''))),
-      ' ' ORDER BY k) || CASE WHEN any_value(n) >= 5 THEN ' ...' ELSE '' END AS refs
-  FROM numbered GROUP BY 1, 2
+  SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, CAST(k - 1 AS INT) AS ord,
+    CAST(1 + strlen(before) - strlen(replace(before, chr(10), '')) AS INT) AS line
+  FROM numbered
 )
 """
 
@@ -210,12 +264,10 @@ crossing AS (
 ),
 defs AS (SELECT repo, path, start_line AS line, name FROM sfn WHERE lang <> 'Rust'),
 dead AS (
-  SELECT repo, path, line, name FROM (
-    SELECT d.*, row_number() OVER (PARTITION BY repo ORDER BY string_split(path, '/'), line) AS nth
-    FROM defs d JOIN (SELECT repo, name FROM sfn GROUP BY 1, 2 HAVING count(*) = 1)
-      USING (repo, name)
-    WHERE NOT starts_with(lower(name), 'test')
-  ) WHERE nth <= 20
+  SELECT repo, path, line, name
+  FROM defs JOIN (SELECT repo, name FROM sfn GROUP BY 1, 2 HAVING count(*) = 1)
+    USING (repo, name)
+  WHERE NOT starts_with(lower(name), 'test')
 ),
 go_names AS (
   SELECT repo, count(*) FILTER (p_partkey % 3 = 0) AS caps_files,
@@ -225,7 +277,7 @@ go_names AS (
 ),
 py_functions AS (
   SELECT repo, path, start_line, name, l_linenumber IN (1, 2) AS is_camel
-  FROM sfn WHERE lang = 'Python' AND start_byte + 5 + strlen(name) <= 8192
+  FROM sfn WHERE lang = 'Python'
 ),
 py_placed AS (
   SELECT *, row_number() OVER
@@ -260,14 +312,14 @@ v AS (
   UNION ALL
   SELECT repo, 1, path, rule_no, 0, rule_id || ':' || path, rule_id, {_rule("severity")},
     'AntiPattern', {_rule("title")}, {_rule("description")}, {_rule("suggestion")},
-    CASE WHEN n >= 5 THEN 6 ELSE n END
+    n
   FROM pattern_rows
   UNION ALL
   SELECT repo, 1, path, 6, line, 'god-function:' || path, 'god-function', 'WARNING',
     'AntiPattern', 'Function `' || name || '` is ' || length || ' lines long',
     '`' || name || '` in ' || path || ' takes ' || length || ' lines, the limit is 80.'
       || chr(10) || 'Long functions tend to do several things.',
-    {_quote(RULES[6].suggestion)}, 1
+    {_quote(_RULES[6][5])}, 1
   FROM gods
   UNION ALL
   SELECT repo, 2, '', 0, 0, 'naming-go', 'naming-go', 'WARNING', 'NamingInconsistency',
@@ -300,11 +352,7 @@ refs AS (
   UNION ALL
   SELECT repo, {_rule("severity")}, 1, path, rule_no, 0, {_rule("rule_id")} || ':' || path, path,
     nth - 1, path || ':' || line, ''
-  FROM hits WHERE nth <= 5
-  UNION ALL
-  SELECT repo, {_rule("severity")}, 1, path, rule_no, 0, {_rule("rule_id")} || ':' || path, '...',
-    5, '...', ''
-  FROM hits WHERE nth = 5
+  FROM hits
   UNION ALL
   SELECT repo, 'WARNING', 1, path, 6, line, 'god-function:' || path, path, 0, path || ':' || line, ''
   FROM gods
@@ -340,12 +388,11 @@ totals AS (
     LEFT JOIN (SELECT repo, count(*) AS total_files FROM sources GROUP BY 1) USING (repo)
 ),
 advice AS (
-  SELECT repo, 0 AS n, 'Merge ' || duplicate_sets || ' sets of copied code into shared helpers'
-    AS s FROM totals WHERE duplicate_sets > 0
-  UNION ALL SELECT repo, 1, 'Check layer imports in continuous integration'
+  SELECT repo, 0 AS n, duplicate_sets || ' copied functions to merge' AS s
+    FROM totals WHERE duplicate_sets > 0
+  UNION ALL SELECT repo, 1, broken_boundaries || ' imports to reroute'
     FROM totals WHERE broken_boundaries > 0
-  UNION ALL SELECT repo, 2,
-    'Generate rule documents so that these patterns do not come back'
+  UNION ALL SELECT repo, 2, anti_patterns || ' risky places to rewrite'
     FROM totals WHERE anti_patterns > 0
 ),
 ranks(severity, sev) AS (VALUES ('CRITICAL', 1), ('WARNING', 2), ('INFO', 3)),
@@ -373,13 +420,10 @@ def _first_sentence(text: str) -> str:
     )
 
 
-_CONVENTIONS = (
-    "CASE language "
-    + " ".join(
-        f"WHEN '{language}' THEN {_quote(text)}" for language, text in results.CONVENTIONS.items()
-    )
-    + f" ELSE {_quote(results.DEFAULT_CONVENTIONS)} END"
-)
+_CONVENTIONS = """CASE language WHEN 'Go' THEN 'gofmt decides on the layout.'
+  WHEN 'Python' THEN 'PEP 8: lines have 79 characters at most.'
+  WHEN 'Java' THEN 'One top-level class per source file.'
+  WHEN 'TypeScript' THEN 'The compiler runs in strict mode.' END"""
 
 _ROW = (
     "repo, section, sev, detector, path, rule_no, line, vkey, item, ref_at, ref_no, text"
@@ -410,15 +454,14 @@ def _j(value: str) -> str:
 _MARKDOWN = _document(
     [
         _doc_row(
-            "'# Scan report' || chr(10) || chr(10) || '**Language:** ' || language || "
-            "' | **Files:** ' || total_files || ' | **Violations:** ' || violation_count || "
-            "' | **Score:** ' || score || '/100' || chr(10)",
+            "concat('# ', repo, chr(10), chr(10), '| | |', chr(10), '|-|-|', chr(10), "
+            "'| language | ', language, ' |', chr(10), '| files scanned | ', total_files, ' |', "
+            "chr(10), '| findings | ', violation_count, ' |', chr(10), '| score | ', score, ' |')",
             "totals",
             0,
         ),
-        _doc_row("'> No violations were found.'", "totals WHERE violation_count = 0", 0, item=10),
         _doc_row(
-            "'## ' || severity || ' (' || count(*) || ')' || chr(10)",
+            "concat(chr(10), '## ', count(*), ' ', lower(severity))",
             "v JOIN ranks USING (severity) GROUP BY repo, severity, sev",
             1,
             "sev",
@@ -427,30 +470,26 @@ _MARKDOWN = _document(
         *[
             _doc_row(text, "v JOIN ranks USING (severity)", 1, "sev", _PLACE, item)
             for item, text in [
-                (0, "'### ' || title"),
-                (10, "'**Category:** ' || category || chr(10)"),
-                (20, "description || chr(10)"),
-                (30, "'**Files:**'"),
-                (
-                    40,
-                    "chr(10) || '> **Fix:** ' || suggestion || chr(10) || chr(10) || '---'",
-                ),
+                (0, "concat(chr(10), '### ', title, ' (`', rule_id, '`)')"),
+                (10, "description"),
+                (20, "'Where:'"),
+                (30, "'To do: ' || suggestion"),
             ]
         ],
         _doc_row(
-            "'- `' || ref || '`'",
+            "'* ' || ref",
             "refs JOIN ranks USING (severity)",
             1,
             "sev",
             _PLACE,
-            31,
+            21,
             "ref_at, ref_no",
         ),
         _doc_row(
-            "'## Recommendations'", "(SELECT DISTINCT repo FROM advice)", 2, ref="'', -1"
+            "chr(10) || '## Left to do'", "(SELECT DISTINCT repo FROM advice)", 2, ref="'', -1"
         ),
         _doc_row(
-            "'- ' || s",
+            "'* ' || s",
             "(SELECT repo, s, row_number() OVER (PARTITION BY repo ORDER BY n) - 1 AS k "
             "FROM advice)",
             2,
@@ -504,75 +543,53 @@ _JSON = _document(
 
 _RULES_DOCUMENT = _document(
     [
+        _doc_row("'# Rules for ' || repo || ' (' || language || ')'", "totals", 0),
         _doc_row(
-            "'# Coding rules' || chr(10) || '# Language: ' || language || ' | Score: ' || score "
-            f"|| '/100' || chr(10) || chr(10) || '## Conventions' || chr(10) || chr(10) || "
-            f"{_CONVENTIONS} || chr(10) || chr(10) || "
-            "'## Patterns found here, not to be repeated' || chr(10)",
-            "totals",
-            0,
+            f"chr(10) || {_CONVENTIONS}", f"totals WHERE {_CONVENTIONS} IS NOT NULL", 0, item=10
         ),
         _doc_row(
-            "'None were found.' || chr(10)", "totals WHERE violation_count = 0", 0, item=10
-        ),
-        _doc_row(
-            "'### ' || title || chr(10) || '**Why:** ' || "
+            "chr(10) || '## ' || title || chr(10) || "
             + _first_sentence("description")
-            + " || chr(10) || chr(10) || '**Instead:** ' || suggestion || chr(10)",
+            + " || chr(10) || 'Rule: ' || suggestion",
             "first_rules WHERE nth = 1",
             1,
             at=_PLACE,
         ),
-        _doc_row(
-            _quote("## Guidelines\n\n" + "\n".join(f"- {line}" for line in report.GUIDELINES)),
-            "totals",
-            2,
-        ),
     ]
 )
 
 _CONTEXT_DOCUMENT = _document(
     [
         _doc_row(
-            "'# Architecture notes' || chr(10) || chr(10) || '## Project' || chr(10) || chr(10) "
-            "|| '- **Language:** ' || language || chr(10) || '- **Source files:** ' || "
-            "total_files || chr(10) || '- **Score:** ' || score || '/100' || chr(10) || chr(10) "
-            f"|| '## Conventions' || chr(10) || chr(10) || {_CONVENTIONS} || chr(10) || chr(10) "
-            "|| '## Known problems' || chr(10)",
+            "concat('# ', repo, chr(10), total_files, ' files of ', language, ', score ', score)",
             "totals",
             0,
         ),
         _doc_row(
-            "'### Critical' || chr(10)",
-            "totals WHERE criticals > 0",
-            1,
-            "1",
-            "-1, '', 0, 0, ''",
-        ),
-        _doc_row(
-            "'### Warnings' || chr(10)",
-            "totals WHERE warnings > 0",
-            1,
-            "2",
-            "-1, '', 0, 0, ''",
+            f"chr(10) || {_CONVENTIONS}", f"totals WHERE {_CONVENTIONS} IS NOT NULL", 0, item=10
         ),
+        *[
+            _doc_row(
+                f"chr(10) || '## {title}'",
+                f"totals WHERE {column} > 0",
+                1,
+                place,
+                "-1, '', 0, 0, ''",
+            )
+            for place, column, title in (
+                ("1", "criticals", "Must not spread"),
+                ("2", "warnings", "Better avoided"),
+            )
+        ],
         _doc_row(
-            "'- **' || title || '**: ' || CASE WHEN severity = 'CRITICAL' THEN "
+            "'* ' || title || CASE WHEN severity = 'CRITICAL' THEN ' (' || "
             + _first_sentence("description")
-            + " || ' ' ELSE '' END || suggestion",
+            + " || '): ' ELSE ': ' END || suggestion",
             "v JOIN ranks USING (severity) WHERE severity <> 'INFO'",
             1,
             "sev",
             _PLACE,
         ),
-        _doc_row(
-            _quote(
-                "\n## Before writing code\n\n"
-                + "\n".join(f"{n}. {line}" for n, line in enumerate(report.CHECKLIST, 1))
-            ),
-            "totals",
-            2,
-        ),
     ]
 )
 
@@ -591,9 +608,10 @@ changed AS (
 
 ORACLE: dict[str, str] = {
     "flagship": _SECRET_SQL
-    + """SELECT source AS repo, count(*) AS total_files, count(refs) AS criticals,
-      greatest(0, 100 - 15 * count(refs)) AS score
-    FROM documents LEFT JOIN secrets ON path = CAST(doc_id AS VARCHAR) GROUP BY source""",
+    + """SELECT source AS repo, count(*) AS total_files, count(path) AS criticals,
+      greatest(0, 100 - 15 * count(path)) AS score
+    FROM documents LEFT JOIN (SELECT DISTINCT path FROM secrets) ON path = CAST(doc_id AS VARCHAR)
+    GROUP BY source""",
     "skip_dirs": _BASE + "SELECT repo, path FROM visible",
     "exclude": _BASE
     + """SELECT repo, path FROM corpus
@@ -628,10 +646,10 @@ ORACLE: dict[str, str] = {
     "first_sentence": "SELECT CAST(doc_id AS VARCHAR) AS path, "
     + _first_sentence("text")
     + " AS sentence FROM documents",
-    "secret_hits": _SECRET_SQL + "SELECT repo, path, refs FROM secrets",
+    "secret_hits": _SECRET_SQL + "SELECT repo, path, ord, line FROM secrets",
     "pattern_hits": _BASE
     + f"""SELECT repo, path, {_rule("rule_id")} AS rule_id, nth - 1 AS ord, line
-    FROM hits WHERE nth <= 5""",
+    FROM hits""",
     "capped_locations": _BASE
     + """SELECT repo, path, rule_no, string_agg(path || ':' || line, ' ' ORDER BY nth)
       || CASE WHEN any_value(n) >= 5 THEN ' ...' ELSE '' END AS refs
@@ -639,9 +657,9 @@ ORACLE: dict[str, str] = {
     "rule_languages": _BASE
     + "SELECT repo, language, rule_id, severity FROM languages JOIN (VALUES "
     + ", ".join(
-        f"('{rule.rule_id}', '{rule.severity}', '{language}')"
-        for rule in RULES
-        for language in rule.languages
+        f"('{rule_id}', '{severity}', '{language}')"
+        for rule_id, severity, applies, *_ in _RULES
+        for language in applies
     )
     + ") AS r(rule_id, severity, applies) ON applies = language",
     "segment_brace": _BASE
@@ -707,14 +725,21 @@ ORACLE: dict[str, str] = {
     "naming_go": _BASE + "SELECT repo, caps_files, camel_files FROM go_names",
     "naming_python": _BASE
     + "SELECT repo, camel, snake, camel_examples, snake_examples FROM py_names",
+    "python_names": _BASE
+    + """SELECT repo, path, CASE WHEN is_camel THEN 'camel' ELSE 'snake' END AS style,
+      row_number() OVER (PARTITION BY repo, path, is_camel ORDER BY start_line) - 1 AS pos, name
+    FROM py_functions""",
     "scan": _SCAN
     + "SELECT repo, vkey, rule_id, severity, category, path, line, title, n_refs FROM v",
     "scan_references": _SCAN + "SELECT repo, vkey, severity, ref_path, ref FROM refs",
     "scan_with_dead_code": _SCAN
-    + """SELECT repo, category, severity, count(*) AS n FROM (
-      SELECT repo, category, severity FROM v
-      UNION ALL SELECT repo, 'DeadCode', 'WARNING' FROM dead
-    ) GROUP BY ALL""",
+    + """SELECT repo, vkey, category, severity, path, line FROM v
+      UNION ALL SELECT repo, 'dead-code:' || path || ':' || line, 'DeadCode', 'WARNING', path, line
+      FROM dead""",
+    "scan_without_detectors": _BASE
+    + """SELECT l.repo, count(s.path) AS total_files, 0 AS violation_count, 0 AS duplicate_sets,
+      0 AS broken_boundaries, 0 AS anti_patterns
+    FROM languages l LEFT JOIN sources s USING (repo) GROUP BY l.repo""",
     "stats": _SCAN
     + """SELECT repo, total_files, violation_count, duplicate_sets, broken_boundaries,
       anti_patterns FROM totals""",
@@ -732,7 +757,7 @@ ORACLE: dict[str, str] = {
     + """, files AS (
       SELECT repo, ref_path AS file, count(*) AS n, count(*) OVER (PARTITION BY repo) AS several,
         row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, ref_path) AS place
-      FROM refs WHERE ref_path <> '...' GROUP BY repo, ref_path
+      FROM refs GROUP BY repo, ref_path
     )
     SELECT repo, file, n FROM files WHERE several >= 2 AND place <= 5""",
     "guardrail_rules": _SCAN

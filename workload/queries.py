@@ -35,7 +35,8 @@ from codestrata.operators.segment import (
 )
 from codestrata.plans import report
 from codestrata.plans.facts import file_facts
-from codestrata.plans.scan import Scan, count_sources, detect_dead_code, scan_facts
+from codestrata.plans.scan import Scan, count_sources, scan_facts
+from codestrata.plans.scan import scan as full_scan
 from codestrata.options import ScanOptions
 from codestrata.scale import materialize, unnest, workspace
 from codestrata.sources.changes import read_changes
@@ -109,20 +110,22 @@ def documents(spark: SparkSession, sf_dir: str, repo: str = "source") -> DataFra
     )
 
 
-def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = [r for r in PATTERN_RULES if r.rule_id == "hardcoded-secret"]
-    found = hits_of(with_hits(documents(spark, sf_dir), rules=rule, any_language=True))
-    return found.select(
-        "repo",
-        "path",
-        F.array_join(capped_refs(F.col("path"), F.col("lines")), " ").alias("refs"),
+    return hits_of(with_hits(documents(spark, sf_dir), rule, any_language=True))
+
+
+def secret_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret, with its line."""
+    return _secrets(spark, sf_dir).select(
+        "repo", "path", F.posexplode("lines").alias("ord", "line")
     )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each source of documents by the secrets written into it."""
     docs = documents(spark, sf_dir)
-    hits = secret_hits(spark, sf_dir).select(
+    hits = _secrets(spark, sf_dir).select(
         "repo", F.lit("CRITICAL").alias("severity"), F.lit("AntiPattern").alias("category")
     )
     totals = docs.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"))
@@ -156,7 +159,7 @@ def block_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _normal(text: Column) -> Column:
-    return T.normalize_text(T.scanned_text(text, T.STANDARD_LINE_LIMIT))
+    return T.normalize_text(T.scanned_text(text))
 
 
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +200,8 @@ def duplicate_documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadcode.identifier_frequency(documents(spark, sf_dir, "lang"))
+    files = documents(spark, sf_dir, "lang").withColumn("lang", F.lit(""))
+    return deadcode.identifier_frequency(deadcode.with_names(files))
 
 
 def page_link_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +257,7 @@ def god_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule, and line of each of the first hits."""
+    """Rule, and line of each hit."""
     found = hits_of(with_hits(sources(spark, sf_dir)))
     rule_id = F.get(F.array(*[F.lit(rule.rule_id) for rule in RULES]), F.col("rule_no"))
     return found.select(
@@ -306,16 +310,24 @@ def boundary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossing_imports(facts(spark, sf_dir))
 
 
+_names = _once(
+    "names",
+    lambda spark, sf: deadcode.with_names(sources(spark, sf)).select(
+        "repo", "path", "lang", "definitions", "names"
+    ),
+)
+
+
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadcode.definitions(sources(spark, sf_dir))
+    return deadcode.definitions_of(_names(spark, sf_dir))
 
 
 def code_identifier_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadcode.identifier_frequency(sources(spark, sf_dir))
+    return deadcode.identifier_frequency(_names(spark, sf_dir))
 
 
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deadcode.dead_code(sources(spark, sf_dir))
+    return deadcode.dead_code(_names(spark, sf_dir))
 
 
 def naming_go(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,6 +338,10 @@ def naming_python(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.naming_python(facts(spark, sf_dir))
 
 
+def python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.python_names(facts(spark, sf_dir))
+
+
 # Scan results ----------------------------------------------------------------------------------
 
 _LISTED = ["repo", "vkey", "rule_id", "severity", "category", "path", "line", "title", "n_refs"]
@@ -341,12 +357,16 @@ def scan_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_with_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    options = ScanOptions(dead_code=True)
-    extra = [detect_dead_code(sources(spark, sf_dir), options)]
-    found = scan_facts(facts(spark, sf_dir), repos(spark, sf_dir), options, extra)
-    return found.violations.groupBy("repo", "category", "severity").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """A scan of the files themselves, with every violation."""
+    found = full_scan(corpus(spark, sf_dir), ScanOptions(dead_code=True))
+    return found.violations.select("repo", "vkey", "category", "severity", "path", "line")
+
+
+def scan_without_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a scan that looks for nothing."""
+    off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
+    found = scan_facts(facts(spark, sf_dir), repos(spark, sf_dir), ScanOptions(**off))
+    return results.stats(results.summary(found.repos, found.violations))
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,8 +401,21 @@ def guardrail_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("repo", "category", "title", "reason", "required")
 
 
+# A text for some languages, each after the language's own style guide.
+CONVENTIONS = [
+    ("Go", "gofmt decides on the layout."),
+    ("Python", "PEP 8: lines have 79 characters at most."),
+    ("Java", "One top-level class per source file."),
+    ("TypeScript", "The compiler runs in strict mode."),
+]
+
+
+def _conventions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CONVENTIONS, "language string, text string")
+
+
 def language_conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return results.language_conventions(languages(spark, sf_dir))
+    return results.language_conventions(languages(spark, sf_dir), _conventions(spark))
 
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,11 +427,11 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guardrail_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rules_document(scanned(spark, sf_dir))
+    return report.rules_document(scanned(spark, sf_dir), _conventions(spark))
 
 
 def context_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.context_document(scanned(spark, sf_dir))
+    return report.context_document(scanned(spark, sf_dir), _conventions(spark))
 
 
 # Change events ---------------------------------------------------------------------------------
@@ -493,6 +526,8 @@ def rescan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "python_names": python_names,
+    "scan_without_detectors": scan_without_detectors,
     "flagship": flagship,
     "read_corpus": read_tree,
     "skip_dirs": skip_dirs,
