@@ -17,6 +17,12 @@ from codestrata.schema import SKIPPED_DIRECTORIES
 
 # Bytes of file content that a task hands on at a time.
 BATCH_BYTES = 32 * 1024 * 1024
+# Bytes of files that a task reads, about, and entries of a directory that it hands on at a time.
+TASK_BYTES = 128 * 1024 * 1024
+BATCH_ENTRIES = 10_000
+# What went away or may not be read is left out; any other error, as of an overloaded store, is
+# raised, so that the task is tried again and no part of a corpus is lost unseen.
+UNREADABLE = (FileNotFoundError, PermissionError)
 
 
 def list_tree(
@@ -27,16 +33,18 @@ def list_tree(
     Spark's own file sources leave out empty files and names that start with ``_`` or ``.``,
     which source trees are full of.  Every level of the tree is one job over its directories, so
     a large repository is listed by many tasks.  Directories behind links are not entered, and
-    what cannot be read is left out.
+    what is gone or may not be read is left out.
     """
     uri = _uri(root)
     _, base = fs.FileSystem.from_uri(uri)
 
+    unreadable, batch_entries = UNREADABLE, BATCH_ENTRIES
+
     # The functions that run in tasks use nothing of this package, which executors may not have.
     def entries_of(store: fs.FileSystem, directory: str) -> pd.DataFrame:
         try:
             infos = store.get_file_info(fs.FileSelector(directory))
-        except OSError:
+        except unreadable:
             infos = []
         rows = []
         for info in infos:
@@ -52,7 +60,9 @@ def list_tree(
         store, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for directory in batch["path"]:
-                yield entries_of(store, directory)
+                entries = entries_of(store, directory)
+                for start in range(0, len(entries), batch_entries):
+                    yield entries[start : start + batch_entries]
 
     level = spark.createDataFrame([(base,)], "path string")
     found: list[DataFrame] = []
@@ -81,12 +91,15 @@ def read_corpus(
 
     Without ``repo`` the first directory below ``root`` is the repository.  With ``extensions``
     only files that end in one of them are read; the others keep their row, with a NULL text.
-    Files that cannot be read are left out; bytes that are not UTF-8 become U+FFFD.
+    Files that are gone or may not be read are left out; bytes that are not UTF-8 become U+FFFD.
     """
     listed = materialize(list_tree(spark, root), "tree")
-    tasks = max(spark.sparkContext.defaultParallelism, listed.count() // files_per_task)
+    n_files, n_bytes = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    parallel = spark.sparkContext.defaultParallelism
+    tasks = max(parallel, n_files // files_per_task, n_bytes // TASK_BYTES)
     uri = _uri(root)
     _, base = fs.FileSystem.from_uri(uri)
+    unreadable = UNREADABLE
 
     def read_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = fs.FileSystem.from_uri(uri)
@@ -99,7 +112,7 @@ def read_corpus(
                     try:
                         with store.open_input_stream(path) as stream:
                             content = stream.read()
-                    except OSError:
+                    except unreadable:
                         continue
                 rows.append((path, content))
                 held += len(content or b"")

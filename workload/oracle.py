@@ -612,6 +612,16 @@ ORACLE: dict[str, str] = {
       greatest(0, 100 - 15 * count(path)) AS score
     FROM documents LEFT JOIN (SELECT DISTINCT path FROM secrets) ON path = CAST(doc_id AS VARCHAR)
     GROUP BY source""",
+    "read_corpus": _BASE + "SELECT repo, path, sha256(text) AS hash FROM visible",
+    "line_shapes": _BASE
+    + """, raw AS (
+      SELECT repo, path, unnest(string_split(text, chr(10))) AS line FROM sources
+    )
+    SELECT repo, path,
+      CAST(sum(CASE WHEN regexp_matches(line, '^[ \\t]*(func|def|function|public|async) ')
+        THEN 1 ELSE 0 END) AS BIGINT) AS openings,
+      CAST(sum(length(line) - length(ltrim(line, ' ' || chr(9)))) AS BIGINT) AS blanks
+    FROM raw GROUP BY repo, path""",
     "skip_dirs": _BASE + "SELECT repo, path FROM visible",
     "exclude": _BASE
     + """SELECT repo, path FROM corpus
@@ -784,9 +794,7 @@ ORACLE: dict[str, str] = {
       strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts, count(*) AS n,
       last(path ORDER BY ts, path) AS path
     FROM bursts GROUP BY repo, burst""",
-    # Changes name files that are read again unchanged, so the scores are those of one scan.
     "rescan_stream": _SCAN
-    + """SELECT repo, score, CASE WHEN score < 40 THEN 'Critical Drift'
-      WHEN score < 70 THEN 'Degraded' WHEN score < 85 THEN 'Fair' ELSE 'Excellent' END AS label
-    FROM totals""",
+    + "SELECT repo, vkey, rule_id, severity, category, path, line, title, n_refs FROM v",
 }
+ORACLE["debounce_stream"] = ORACLE["debounce"]

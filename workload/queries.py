@@ -217,10 +217,34 @@ def page_link_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The derived code corpus -----------------------------------------------------------------------
 
 
+def write_tree(files: DataFrame, folder: str) -> None:
+    """Write a corpus as a tree of files, one folder per repository."""
+    schema = "n long"
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        for batch in batches:
+            for repo, path, text in zip(batch["repo"], batch["path"], batch["text"], strict=True):
+                target = f"{base}/{repo}/{path}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as stream:
+                    stream.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("repo", "path", "text").mapInPandas(write, schema).agg(F.sum("n")).collect()
+
+
 def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folder of the tables itself, read as a tree of files."""
-    files = read_corpus(spark, sf_dir, F.lit("tables"))
-    return files.select("repo", "path", F.length("text").alias("n_chars"))
+    """The corpus, written as a tree of files and read from it; directories a scan skips are not."""
+    folder = f"{workspace(spark)}/tree-{uuid.uuid4().hex}"
+    write_tree(corpus(spark, sf_dir), folder)
+    files = read_corpus(spark, folder)
+    return files.select("repo", "path", F.sha2("text", 256).alias("hash"))
 
 
 def skip_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +263,27 @@ def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources(spark, sf_dir).select("repo", "path", "lang")
 
 
+def line_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: lines that open a function, and the white space lines begin with."""
+    found = F.transform(
+        T.lines(F.col("text")),
+        lambda line: F.struct(
+            T.is_func_start(line).cast("int").alias("opens"),
+            T.leading_whitespace(line).alias("blanks"),
+        ),
+    )
+    total = F.aggregate(
+        found,
+        F.struct(F.lit(0).cast("long").alias("openings"), F.lit(0).cast("long").alias("blanks")),
+        lambda sums, line: F.struct(
+            (sums.openings + line.opens).alias("openings"),
+            (sums.blanks + line.blanks).alias("blanks"),
+        ),
+    )
+    files = sources(spark, sf_dir).select("repo", "path", total.alias("found"))
+    return files.select("repo", "path", "found.openings", "found.blanks")
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = with_blocks(sources(spark, sf_dir))
     return unnest(cut, ["repo", "path", "lang"], F.inline_outer("blocks"), "line")
@@ -473,59 +518,64 @@ def debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def debounce_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream form, run to the end of the table; the last, open bursts are not out yet."""
+    """The stream form, over the whole table."""
     schema = table(spark, sf_dir, "events").schema
     events = read_changes(spark, sf_dir, schema=schema, glob="events.parquet")
-    bursts = watch.debounce_stream(
-        watch.changed_sources(_as_changes(events)), EVENT_PAUSE_MS, "1 hour"
-    )
     folder = f"{workspace(spark)}/debounce-{uuid.uuid4().hex}"
-    query = (
-        bursts.writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return _shown(spark.read.schema(bursts.schema).parquet(f"{folder}/out"))
+    store = watch.BurstStore(spark, f"{folder}/store", EVENT_PAUSE_MS, 3_600_000)
+    changes = watch.changed_sources(_as_changes(events))
+    watch.debounce_stream(changes, store, f"{folder}/checkpoint", True).awaitTermination()
+    return _shown(store.finish())
+
+
+def _older(files: DataFrame) -> DataFrame:
+    """An older state of the corpus: files not there yet, with other texts, and since removed."""
+    kind = F.pmod(F.hash("repo", "path"), F.lit(4))
+    known = files.filter(kind != 0)
+    text = F.when(kind == 1, F.concat("text", F.lit("\npanic(1)\n// TODO\n"))).otherwise(F.col("text"))
+    removed = files.filter(kind == 2).withColumn("path", F.concat(F.lit("old/"), "path"))
+    return known.withColumn("text", text).unionByName(removed)
 
 
 def rescan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan all of the corpus, then follow a stream of changes in it.
+    """Scan an older corpus, then follow the changes to the one there is now.
 
-    Each event writes the file of a part (its number is the user's): the stream names the file
-    and the rescan reads it from the corpus again.  Scores equal those of one full scan.
+    The violations are those of a full scan; without the stream they are others.
     """
     files = corpus(spark, sf_dir)
+    older = materialize(_older(files), "older")
     folder = f"{workspace(spark)}/rescan-{uuid.uuid4().hex}"
-    store = watch.ScanStore(spark, f"{folder}/store", buckets=8)
-    store.seed(files)
-    parts = table(spark, sf_dir, "part").select("p_partkey")
-    paths = files.select(
+    store = watch.ScanStore(spark, f"{folder}/store", buckets=8, compact_every=2)
+    store.seed(older)
+    now, before = (
+        x.select("repo", "path", F.xxhash64("text").alias(name))
+        for x, name in ((files, "now"), (older, "before"))
+    )
+    changed = now.join(before, ["repo", "path"], "full").filter("NOT (now <=> before)")
+    # Several batches, in the order of the changes' time.
+    second = F.pmod(F.hash("path"), F.lit(3))
+    events = changed.select(
         "repo",
         "path",
-        F.regexp_extract("path", r"/f(\d+)_", 1).cast("bigint").alias("user_id"),
-    )
-    paths = materialize(paths.join(parts, F.col("user_id") == F.col("p_partkey")), "paths")
-    schema = table(spark, sf_dir, "events").schema
-    events = read_changes(spark, sf_dir, schema=schema, glob="events.parquet")
-    changes = events.join(paths, "user_id").select(
-        "repo", "path", F.lit("write").alias("op"), F.col("ts").cast("timestamp").alias("ts")
+        F.lit("write").alias("op"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + second).alias("ts"),
+        second.alias("part"),
     )
+    for part in range(3):
+        rows = events.filter(F.col("part") == part).drop("part")
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/changes")
 
     def read_files(keys: DataFrame) -> DataFrame:
         return files.join(keys, ["repo", "path"], "left_semi")
 
-    query = watch.watch(
-        changes, store, read_files, f"{folder}/checkpoint", late="1 hour", available_now=True
-    )
+    changes = read_changes(spark, f"{folder}/changes", files_per_batch=1)
+    query = watch.watch(changes, store, read_files, f"{folder}/checkpoint", available_now=True)
     query.awaitTermination()
-    found = store.results()
-    return results.health_score(results.summary(found.repos, found.violations))
+    return store.results().violations.select(*_LISTED)
 
 
 QUERIES: dict[str, Query] = {
+    "line_shapes": line_shapes,
     "python_names": python_names,
     "scan_without_detectors": scan_without_detectors,
     "flagship": flagship,
