@@ -29,14 +29,14 @@ from codestrata.llm.exchange import bucket_of, n_buckets, run_lengths
 from codestrata.llm.words import Hasher, Words, mix, text_runs
 from codestrata.scale import materialize
 
-CLASSES = 16
+CLASSES = 24
 ROWS = 1 << 16
 # Texts that classes are made from, about; frequent words with a class of their own; endings.
 SAMPLE_TEXTS, FREQUENT, ENDINGS = 4000, 1024, 1024
-MINIBATCH, RATE, PENALTY = 1 << 15, 0.3, 1e-6
+MINIBATCH, RATE, PENALTY = 1 << 11, 0.2, 1e-6
 # Tables that one task adds up, and rows of the table in one block.
 FAN_IN, BLOCK = 64, 1 << 12
-MESSAGE_TOKENS = 1 << 22
+MESSAGE_TOKENS = 1 << 21
 # Distinct words per token of a message, about, to choose the number of buckets.
 DISTINCT_SHARE = 0.1
 START, END = np.uint64(1), np.uint64(2)
