@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from codestrata.scale import materialize
 
-WORD = "[^\\x20\\x09-\\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 # Texts that rules are measured on, about; their number does not grow with the table.
 SAMPLE_TEXTS = 2000
 # A rule is timed this often on the sample; the shortest time counts.
@@ -51,10 +49,10 @@ RULES = (
     Rule("mean_word_length", "word_chars >= 2 * n_words AND word_chars <= 20 * n_words"),
     Rule("few_symbols", "10 * n_symbols <= n_words"),
     Rule("few_repeated_lines", "2 * n_dup_lines <= n_lines"),
-    Rule("few_pipes_and_bullets", "10 * (length(text) - length(translate(text, '|•', ''))) <= n_words"),
-    Rule("few_capitals", "10 * length(regexp_replace(text, '[^A-Z]', '')) <= 3 * word_chars"),
-    Rule("few_exclamations", "10 * (length(text) - length(translate(text, '!?', ''))) <= n_words"),
-    Rule("few_digits", "10 * length(regexp_replace(text, '[^0-9]', '')) <= 3 * word_chars"),
+    Rule("few_pipes_and_bullets", "10 * (length(text) - length(regexp_replace(text, '[|•]+', ''))) <= n_words"),
+    Rule("few_capitals", "10 * (length(text) - length(regexp_replace(text, '[A-Z]+', ''))) <= 3 * word_chars"),
+    Rule("few_exclamations", "10 * (length(text) - length(regexp_replace(text, '[!?]+', ''))) <= n_words"),
+    Rule("few_digits", "10 * (length(text) - length(regexp_replace(text, '[0-9]+', ''))) <= 3 * word_chars"),
 )
 BASE_RULES = ("enough_words", "few_repeated_words")
 
@@ -62,40 +60,53 @@ BASE_RULES = ("enough_words", "few_repeated_words")
 def _repeat_words(words: Column) -> Column:
     """Words in windows of three that occur twice or more.
 
-    Windows are compared as hashes of three words.  Most texts have as many different windows as
-    windows, and then nothing is sorted.  Else the windows are sorted with their places, those
-    next to an equal one are kept, and their places in order tell how many words they cover.
+    Windows are compared as 64-bit hashes of three words.  Most short texts have as many different
+    windows as windows, and then nothing is sorted.  Else each window becomes one number, the
+    upper bits of its hash above its place, as many as the number of windows needs; sorted, equal
+    windows are neighbours, and whole hashes decide.
     """
-    no_rows = F.array().cast("array<int>")
-    # Places 0, 1, … of the windows; a sequence from 0 to -1 would count down.
+    # Places 0, 1, … of the windows; texts of fewer than three words have none.
     hashes = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
         lambda word, n: F.xxhash64(word, F.get(words, n + 1), F.get(words, n + 2)),
     )
 
-    def covered(hashes: Column) -> Column:
-        def places(ordered: Column) -> Column:
+    def place_mask(found: Column) -> Column:
+        mask = F.lit((1 << 31) - 1)
+        for bits in (24, 20, 16, 12):
+            mask = F.when(F.size(found) <= 1 << bits, F.lit((1 << bits) - 1)).otherwise(mask)
+        return mask.cast("long")
+
+    def covered(found: Column, mask: Column) -> Column:
+        numbers = F.transform(
+            found, lambda h, n: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(n.cast("long"))
+        )
+
+        def same(number: Column, other: Column) -> Column:
+            # Numbers that differ in the highest bit make a negative one, which is not near.
+            apart = number.bitwiseXOR(other)
+            hashes = [F.get(found, x.bitwiseAND(mask).cast("int")) for x in (number, other)]
+            return (apart <= mask) & (apart >= 0) & (hashes[0] == hashes[1])
+
+        def repeated(ordered: Column) -> Column:
             marked = F.transform(
                 ordered,
-                lambda item, n: F.when(
-                    (item.h == F.get(ordered, n + 1).h)
-                    | (F.when(n > 0, F.get(ordered, n - 1).h) == item.h),
-                    item.n,
+                lambda number, n: F.when(
+                    same(number, F.get(ordered, n + 1)) | same(number, F.get(ordered, n - 1)),
+                    number.bitwiseAND(mask),
                 ),
             )
-            return F.array_sort(F.filter(marked, lambda place: place.isNotNull()))
-
-        ordered = F.sort_array(F.transform(hashes, lambda h, n: F.struct(h.alias("h"), n.alias("n"))))
-        counted = _let(ordered, lambda sorted_windows: _let(places(sorted_windows), _span_words))
-        return counted
-
-    return _let(
-        hashes,
-        lambda found: F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0))
-        .when(F.size(found) == 0, F.size(no_rows))
-        .otherwise(covered(found))
-        .cast("long"),
-    )
+            return F.sort_array(F.array_compact(marked))
+
+        return _let(F.sort_array(numbers), lambda ordered: _let(repeated(ordered), _span_words))
+
+    def counted(found: Column) -> Column:
+        all_differ = F.size(F.array_distinct(found)) == F.size(found)
+        return F.when(all_differ, F.lit(0).cast("long")).otherwise(
+            _let(place_mask(found), lambda mask: covered(found, mask))
+        )
+
+    return _let(hashes, counted)
 
 
 def _let(value: Column, body) -> Column:
@@ -106,46 +117,40 @@ def _let(value: Column, body) -> Column:
 def _span_words(places: Column) -> Column:
     """Words covered by windows of three that start at sorted, different places."""
     gaps = F.transform(
-        places, lambda place, n: F.least(F.coalesce(F.get(places, n + 1) - place, F.lit(3)), F.lit(3))
+        places, lambda place, n: F.least(F.get(places, n + 1) - place, F.lit(3).cast("long"))
     )
-    return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
+    # The last window has none behind it; nulls do not count in a least.
+    return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
+
+
+def _without(text: Column, pattern: str) -> Column:
+    """Number of characters of ``text`` that ``pattern`` matches."""
+    return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
 def with_text_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Add ``text`` and its counts; those of a null or empty text are 0."""
     whole = F.coalesce(F.col(text_column), F.lit(""))
-    blank = f"[{BLANKS}]"
-    parts = F.filter(F.split(whole, f"{blank}+"), lambda part: part != "")
-    lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(f"[^{BLANKS}]"))
-    without_symbols = F.length(F.translate(F.col("text"), "#*$%&|<>", ""))
+    parts = F.array_remove(F.split(whole, "[ \\x09-\\x0D]+"), "")
+    lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^ \\x09-\\x0D]"))
+    counted = _let(
+        parts,
+        lambda words: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            _repeat_words(words).alias("n_repeat_words"),
+        ),
+    )
+    by_line = _let(
+        lines,
+        lambda found: F.struct(
+            F.size(found).cast("long").alias("n_lines"),
+            (F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
+        ),
+    )
     return (
-        docs.withColumn("text", whole)
-        .withColumn(
-            "_counts",
-            _let(
-                parts,
-                lambda words: F.struct(
-                    F.size(words).cast("long").alias("n_words"),
-                    _repeat_words(words).alias("n_repeat_words"),
-                ),
-            ),
-        )
-        .withColumn(
-            "_lines",
-            _let(
-                lines,
-                lambda found: F.struct(
-                    F.size(found).cast("long").alias("n_lines"),
-                    F.size(F.array_distinct(found)).cast("long").alias("distinct"),
-                ),
-            ),
-        )
-        .withColumn("n_words", F.col("_counts.n_words"))
-        .withColumn("n_repeat_words", F.col("_counts.n_repeat_words"))
-        .withColumn("n_lines", F.col("_lines.n_lines"))
-        .withColumn("n_dup_lines", F.col("_lines.n_lines") - F.col("_lines.distinct"))
-        .withColumn("word_chars", F.length(F.translate(F.col("text"), BLANKS, "")).cast("long"))
-        .withColumn("n_symbols", (F.length("text") - without_symbols).cast("long"))
+        docs.withColumns({"text": whole, "_counts": counted, "_lines": by_line})
+        .select("*", "_counts.*", "_lines.*", _without(F.col("text"), "[#*$%&|<>]+").alias("n_symbols"))
         .drop("_counts", "_lines")
     )
 
