@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,23 +17,27 @@ BROADCAST_ROWS = 200_000
 HOT_KEYS = 1_000
 
 _local_folders: dict[str, str] = {}
+_stored: dict[str, list[str]] = {}
 
 
 def workspace(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session without that setting gets a folder of its own.
+    Only a session in local mode, where driver and executors are one process, gets a folder of
+    its own without that setting; it goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="codestrata-")
+        atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
     return _local_folders[app]
 
 
@@ -44,9 +50,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     target = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this session stored, when no DataFrame reads them any more."""
+    targets = _stored.pop(spark.sparkContext.applicationId, [])
+    for target in targets:
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(targets)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that plus one."""
     bound = BROADCAST_ROWS if max_rows is None else max_rows

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +319,20 @@ def test_naming_go(code):
     assert (row.caps_files, row.camel_files) == (1, 2)
     assert naming_rows(code("Go", *texts[:4]), "Go") == []
     assert naming_rows(code("Go", "const AB = 1", *texts[1:]), "Go") == []
+
+
+@pytest.mark.parametrize("lang, function", [("Go", "func f%d() {\n%s}\n"), ("Python", "def f%d():\n%s")])
+def test_time_of_cutting_grows_with_the_length(code, lang, function):
+    """Blocks of one file: ten times as many take about ten times as long, not a hundred times."""
+
+    def seconds(n):
+        text = "".join(function % (k, "  x = 1\n" * 8) for k in range(n))
+        frame = with_blocks(code(lang, text))
+        took = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert frame.select(F.size("blocks").alias("n")).first().n == n
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(20_000) < 25 * max(seconds(2_000), 0.2)

@@ -42,3 +42,15 @@ def test_workspace_is_the_folder_of_the_session(spark):
     assert scale.workspace(spark) == folder.rstrip("/")
     stored = scale.materialize(spark.range(3), "three")
     assert stored.inputFiles()[0].replace("file://", "").startswith(folder)
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from codestrata.scale import _stored, drop_stored, materialize
+
+    held = _stored.pop(spark.sparkContext.applicationId, [])
+    materialize(spark.range(3), "three")
+    (target,) = _stored[spark.sparkContext.applicationId]
+    assert Path(target).exists() and drop_stored(spark) == 1 and not Path(target).exists()
+    _stored[spark.sparkContext.applicationId] = held
