@@ -71,7 +71,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     bucket = F.coalesce(F.floor(F.col("turn") / BUCKET_TURNS), F.lit(-(1 << 62)))
     order = ["turn", "role", "text"]
     sides = running_sum(sides, group, bucket, order, "one", "position")
-    sides = running_sum(sides, group, bucket, order, "length", "start")
+    # Equal turns have no order of their own, but each has one position.
+    sides = running_sum(sides, group, bucket, ["position"], "length", "start")
 
     content = F.md5(F.concat_ws(":", *[
         F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.length(c).cast("string"), F.lit("."), c))
