@@ -69,8 +69,9 @@ def fit_codes(sample: np.ndarray, n_bytes: int = BYTES, nearest: int = NEAREST)
     centred = points - mean
     n_bits = 8 * n_bytes
     noise = np.random.default_rng(1)
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
-    axes = axes[:n_bits].T
+    # Of the components' covariance, whose size does not depend on the sample's.
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    axes = axes[:, ::-1][:, :n_bits]
     if axes.shape[1] < n_bits:
         # Fewer dimensions than bits: the rest are directions at random.
         more = noise.standard_normal((axes.shape[0], n_bits - axes.shape[1]))
