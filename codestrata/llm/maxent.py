@@ -1,12 +1,15 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-The probability of a word is that of its class given the words before it, times that of the word
-in its class.  The class softmax has weights for the word before (n-gram of two), the one before
-that (skip) and both (n-gram of three), hashed into one table.  Every task runs minibatch updates
-over all of its training texts; tables are averaged row by row, each task counted by how often it
-met the row.  Classes come from a bounded sample: frequent words and the endings of others are
-clustered by the words beside them.  In a class, the model has one weight for each word, whose best
-value is known: its smoothed count over all training texts.
+The probability of a word is that of its class given the words before it, times those of its
+sub-classes, each in the one above it, times that of the word in the last one.  Classes and
+sub-classes are chosen by softmaxes with weights for the word before (n-gram of two), the one before
+that (skip) and both (n-gram of three), hashed into a table of classes and one of sub-classes, on top
+of the smoothed counts of what is below them.  Every task runs minibatch updates over all of its
+training texts; tables are averaged row by row, each task counted by how often it met the row.
+Classes come from a bounded sample: frequent words and the endings of others are clustered by the
+words beside them.  The most frequent words of a class are sub-classes of their own; the others are
+dealt by hash to about as many as the class has words, up to ``MOST_BITS``, and words that meet in one
+share it by their smoothed counts over all training texts.
 
 Counts are worked out without a row for each word.  A task packs the distinct words of its texts
 with their training counts into a message for each bucket of hashes; buckets add up and answer; the
@@ -26,14 +29,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.exchange import bucket_of, n_buckets, run_lengths
-from codestrata.llm.words import Hasher, Words, mix, text_runs
+from codestrata.llm.words import Hasher, Words, mix, ranges, text_runs
 from codestrata.scale import materialize
 
 CLASSES = 24
 ROWS = 1 << 16
 # Texts that classes are made from, about; frequent words with a class of their own; endings.
 SAMPLE_TEXTS, FREQUENT, ENDINGS = 4000, 1024, 1024
-MINIBATCH, RATE, PENALTY = 1 << 11, 0.2, 1e-6
+# Sub-classes of a class or sub-class, levels of them, and rows of their weight table.
+WIDTH, LEVELS, SUB_ROWS = 16, 4, 1 << 18
+# Frequent words of a class with a sub-class of their own; bits of the hash that deal the others.
+ALONE, MOST_BITS = 128, 15
+MINIBATCH, RATE, SUB_RATE, PENALTY = 1 << 12, 0.2, 0.1, 1e-6
 # Tables that one task adds up, and rows of the table in one block.
 FAN_IN, BLOCK = 64, 1 << 12
 MESSAGE_TOKENS = 1 << 21
@@ -43,14 +50,12 @@ START, END = np.uint64(1), np.uint64(2)
 
 WEIGHTS = "block int, slot int, sums binary, counts binary"
 MESSAGE = (
-    "bucket int, message long, part int, hashes binary, counts binary, classes binary,"
+    "bucket int, message long, part int, hashes binary, counts binary,"
     " words binary, times binary, lengths binary, ids binary, missing binary, held_out binary,"
-    " conditional binary, by_class binary"
-)
-RESULT = (
-    "is_text boolean, doc_id long, held_out boolean, n_tokens long, n_known long,"
-    " unigram double, conditional double, by_class array<long>, types array<long>"
+    " conditional binary"
 )
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, unigram double, conditional double"
+COUNTS = "bucket int, hashes binary, counts binary, endings binary"
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -66,6 +71,57 @@ class Classes:
     of_frequent: np.ndarray
     of_ending: np.ndarray
 
+    def table(self) -> np.ndarray:
+        """The class of each unit."""
+        return np.concatenate([self.of_frequent, self.of_ending])
+
+
+@dataclass
+class Tree:
+    """Sub-classes of all classes: the masses of the last ones, its cells, and where words go.
+
+    ``own`` is the cell of each frequent word that has one to itself, or -1.  ``bits`` deal the other
+    words of each class.  ``logs`` has a row of children for each node of a level.
+    """
+
+    own: np.ndarray
+    bits: np.ndarray
+    masses: np.ndarray
+
+    def finish(self) -> None:
+        """Logarithms of the children's shares, and which nodes have more than one child."""
+        levels, mass = [], self.masses
+        for _ in range(LEVELS):
+            levels.insert(0, mass.reshape(-1, WIDTH))
+            mass = levels[0].sum(axis=1)
+        self.open = [(m > 0).sum(axis=1) > 1 for m in levels]
+        shares = [m / np.maximum(m.sum(axis=1, keepdims=True), 1) for m in levels]
+        self.logs = [np.log(np.maximum(x, 1e-30)).astype(np.float32) for x in shares]
+        self.of_class = np.log(mass / mass.sum()).astype(np.float32)
+
+    def cells(self, hashes: np.ndarray, kinds: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Number of the last sub-class of each word."""
+        digits = np.zeros(len(hashes), np.int64)
+        spread = (mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64((1 << MOST_BITS) - 1)).astype(np.int64)
+        for level in range(LEVELS):
+            most = 3 if level == 0 else 4
+            shift = 0 if level == 0 else 4 * level - 1
+            width = np.clip(self.bits[kinds] - shift, 0, most)
+            digit = (spread >> shift) & ((1 << width) - 1)
+            digits = digits * WIDTH + digit + (WIDTH // 2 if level == 0 else 0)
+        found = kinds * WIDTH**LEVELS + digits
+        if len(self.own):
+            frequent = np.flatnonzero(unit < len(self.own))
+            own = self.own[unit[frequent]]
+            found[frequent[own >= 0]] = own[own >= 0]
+        return found
+
+    def choices(self, cells: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens with a choice at a level, the node each is at and the child each takes."""
+        node = cells // WIDTH ** (LEVELS - level)
+        at = np.flatnonzero(self.open[level][node])
+        return at, node[at], cells[at] // WIDTH ** (LEVELS - level - 1) % WIDTH
+
 
 @dataclass
 class Tokens:
@@ -110,8 +166,7 @@ def units(tokens: Tokens, frequent: np.ndarray) -> np.ndarray:
 
 
 def classes_of(tokens: Tokens, classes: Classes) -> np.ndarray:
-    table = np.concatenate([classes.of_frequent, classes.of_ending])
-    return table[units(tokens, classes.frequent)]
+    return classes.table()[units(tokens, classes.frequent)]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, Tokens]]:
@@ -121,20 +176,157 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield batch, first, last, tokens_of(words, hasher)
 
 
-def _learn_classes(training: DataFrame, n_texts: int, n_classes: int) -> Classes:
-    """Classes from a bounded sample of training texts."""
-    sample = training.select("text").sample(min(1.0, SAMPLE_TEXTS / max(n_texts, 1)), 1)
+def _count_words(training: DataFrame, buckets: int) -> DataFrame:
+    """Training count and ending of every word, packed; a row for each bucket of hashes."""
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [tokens.hashes for *_, tokens in _runs(batches)]
-        hashes, counts = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(counts)], ["hash", "n"]
+    def packed(hashes: np.ndarray, counts: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        starts, _ = run_lengths(hashes)
+        if not len(starts):
+            return hashes, counts, endings
+        return hashes[starts], np.add.reduceat(counts[order], starts), endings[order][starts]
+
+    def rows(buckets_of: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        begins, sizes = run_lengths(buckets_of)
+        parts = [[x[b : b + n].tobytes() for b, n in zip(begins, sizes, strict=True)] for x in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(buckets_of[begins], pa.int32()), *(pa.array(part, pa.binary()) for part in parts)],
+            ["bucket", "hashes", "counts", "endings"],
         )
 
-    counted = sample.mapInArrow(frequencies, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
-    frequent = np.sort(top.column("hash").to_numpy().view(np.uint64))
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def message() -> pa.RecordBatch:
+            hashes = np.concatenate([t.hashes for t in held])
+            endings = np.concatenate([t.endings for t in held]).astype("<u2")
+            found = packed(hashes, np.ones(len(hashes), "<i8"), endings)
+            return rows(bucket_of(found[0], buckets), found)
+
+        held, size = [], 0
+        for *_, tokens in _runs(batches):
+            held.append(tokens)
+            size += len(tokens.hashes)
+            if size >= MESSAGE_TOKENS:
+                yield message()
+                held, size = [], 0
+        if held:
+            yield message()
+
+    def added(table: pa.Table) -> pa.Table:
+        found = packed(
+            *(
+                np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
+                for name, kind in (("hashes", np.uint64), ("counts", "<i8"), ("endings", "<u2"))
+            )
+        )
+        bucket = np.full(len(found[0]), table.column("bucket")[0].as_py())
+        return pa.Table.from_batches([rows(bucket, found)])
+
+    counted = training.select("text").mapInArrow(sent, COUNTS).groupBy("bucket").applyInArrow(added, COUNTS)
+    return materialize(counted, "word-counts")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for row in batch.to_pylist():
+        yield (
+            np.frombuffer(row["hashes"], np.uint64),
+            np.frombuffer(row["counts"], "<i8"),
+            np.frombuffer(row["endings"], "<u2").astype(np.int64),
+        )
+
+
+def _frequent_words(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The most frequent training words and their counts; the number of tokens and of words."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, counts, _ in _unpacked(batch):
+                first = np.lexsort((hashes.view(np.int64), -counts))[:FREQUENT]
+                rest = np.ones(len(hashes), dtype=bool)
+                rest[first] = False
+                tokens = np.append(counts[first], counts[rest].sum())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.append(hashes[first].view(np.int64), 0)),
+                        pa.array(tokens),
+                        pa.array(np.append(np.zeros(len(first), np.int64), rest.sum())),
+                        pa.array(np.append(np.ones(len(first), dtype=bool), False)),
+                    ],
+                    ["hash", "n", "words", "is_word"],
+                )
+
+    found = counted.mapInArrow(top, "hash long, n long, words long, is_word boolean").toArrow()
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+    hashes, n, words, is_word = (c.to_numpy() for c in found.columns)
+    order = np.lexsort((hashes[is_word], -n[is_word]))[:FREQUENT]
+    hashes, counts = hashes[is_word][order].view(np.uint64), n[is_word][order]
+    order = np.argsort(hashes)
+    return hashes[order], counts[order], int(n.sum()), int(words.sum() + is_word.sum())
+
+
+def _grow_tree(counted: DataFrame, counts: np.ndarray, classes: Classes, n_classes: int) -> Tree:
+    """Sub-classes and their masses: tokens and words below each, and one for unknown words."""
+    n_cells = n_classes * WIDTH**LEVELS
+    own = np.full(len(counts), -1)
+    for kind in range(n_classes):
+        mine = np.flatnonzero(classes.of_frequent == kind)
+        mine = mine[np.argsort(-counts[mine], kind="stable")][:ALONE]
+        at = np.arange(len(mine))
+        # The first half of a class's children, turn by turn.
+        digits = at % (WIDTH // 2) * WIDTH + at // (WIDTH // 2)
+        own[mine] = (kind * WIDTH**2 + digits) * WIDTH ** (LEVELS - 2)
+
+    def placed(tree: Tree):
+        def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for hashes, n, endings in _unpacked(batch):
+                    tokens = Tokens(hashes, endings, np.array([0, len(hashes)]))
+                    unit = units(tokens, classes.frequent)
+                    kinds = classes_of(tokens, classes)
+                    cells = tree.cells(hashes, kinds, unit)
+                    order = np.argsort(cells)
+                    starts, words = run_lengths(cells[order])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(cells[order][starts]),
+                            pa.array(np.add.reduceat(n[order], starts) if len(n) else n),
+                            pa.array(words),
+                        ],
+                        ["cell", "n", "words"],
+                    )
+
+        cells = counted.mapInArrow(masses, "cell long, n long, words long")
+        cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+        return (cells.column(name).to_numpy() for name in ("cell", "n", "words"))
+
+    # Without bits, the words of a class that have no cell of their own meet in one.
+    tree = Tree(own, np.zeros(n_classes, np.int64), np.zeros(0))
+    cells, _, words = placed(tree)
+    shared = ~np.isin(cells, own)
+    n_words = np.bincount(cells[shared] // WIDTH**LEVELS, weights=words[shared], minlength=n_classes)
+    tree.bits = np.minimum(np.log2(np.maximum(n_words, 1)).astype(np.int64), MOST_BITS)
+
+    cells, n, words = placed(tree)
+    mass = np.zeros(n_cells)
+    for kind in range(n_classes):
+        # A cell that bits name holds unknown words, be there a known one or not.
+        values = np.arange(1 << tree.bits[kind])
+        digits = np.zeros(len(values), np.int64)
+        for level in range(LEVELS):
+            shift = 0 if level == 0 else 4 * level - 1
+            digit = (values >> shift) & (7 if level == 0 else 15)
+            digits = digits * WIDTH + digit + (WIDTH // 2 if level == 0 else 0)
+        mass[kind * WIDTH**LEVELS + digits] = 1
+    mass[cells] += n + words
+    tree.masses = mass
+    tree.finish()
+    return tree
+
+
+def _learn_classes(training: DataFrame, frequent: np.ndarray, n_texts: int, n_classes: int) -> Classes:
+    """Classes from the neighbours in a bounded sample of training texts."""
+    sample = training.select("text").sample(min(1.0, SAMPLE_TEXTS / max(n_texts, 1)), 1)
     n_units = len(frequent) + ENDINGS
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,61 +374,127 @@ def _clusters(table: np.ndarray, n_classes: int) -> np.ndarray:
     return labels.astype(np.int64)
 
 
-def _features(tokens: Tokens) -> np.ndarray:
-    """Rows of the weight table for each token: three of its context and the bias."""
+def _contexts(tokens: Tokens) -> np.ndarray:
+    """Hashes of each token's context: the word before, the one before that, and both."""
     one, two = tokens.before(1), tokens.before(2)
-    size = np.uint64(ROWS - 1)
-    rows = np.empty((len(one), 4), np.int64)
-    rows[:, 0] = mix(one) % size
-    rows[:, 1] = mix(two ^ np.uint64(0x5851F42D4C957F2D)) % size
-    rows[:, 2] = mix(one * np.uint64(0x9E3779B97F4A7C15) + mix(two)) % size
+    found = np.empty((len(one), 3), np.uint64)
+    found[:, 0] = mix(one)
+    found[:, 1] = mix(two ^ np.uint64(0x5851F42D4C957F2D))
+    found[:, 2] = mix(one * np.uint64(0x9E3779B97F4A7C15) + mix(two))
+    return found
+
+
+def _features(contexts: np.ndarray) -> np.ndarray:
+    """Rows of the class table for each token: three of its context and the bias."""
+    rows = np.empty((len(contexts), 4), np.int64)
+    rows[:, :3] = contexts % np.uint64(ROWS - 1)
     rows[:, 3] = ROWS - 1
     return rows
 
 
-def _log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
+def _sub_features(
+    contexts: np.ndarray, cells: np.ndarray, tree: Tree
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each choice of a sub-class: its token, rows of the table, child and logarithms of the shares."""
+    owners, rows, wanted, logs = [], [], [], []
+    for level in range(LEVELS):
+        at, node, child = tree.choices(cells, level)
+        name = mix(node.astype(np.uint64) * np.uint64(LEVELS) + np.uint64(level))
+        owners.append(at)
+        rows.append((mix(contexts.take(at, axis=0) + name[:, None]) % np.uint64(SUB_ROWS)).astype(np.int64))
+        wanted.append(child)
+        logs.append(tree.logs[level].take(node, axis=0))
+    return tuple(np.concatenate(x) for x in (owners, rows, wanted, logs))
+
+
+def _logits(weights: np.ndarray, rows: np.ndarray, offsets: np.ndarray | float = 0) -> np.ndarray:
+    """Sums of the rows' weights, within what a 32-bit exponential can hold."""
+    found = weights.take(rows[:, 0], axis=0)
     for n in range(1, rows.shape[1]):
-        logits += weights[rows[:, n]]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+        found += weights.take(rows[:, n], axis=0)
+    found += offsets
+    return np.clip(found, -80, 80, out=found)
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], values.dtype)
+
+
+def _log_softmax(weights: np.ndarray, rows: np.ndarray, offsets: np.ndarray | float = 0) -> np.ndarray:
+    logits = _logits(weights, rows, offsets)
+    return logits - np.log(_sums(np.exp(logits)))[:, None]
+
+
+def _log_wanted(
+    weights: np.ndarray, rows: np.ndarray, wanted: np.ndarray, offsets: np.ndarray
+) -> np.ndarray:
+    """The column of ``_log_softmax`` that is wanted in each row."""
+    logits = _logits(weights, rows, offsets)
+    chosen = logits[np.arange(len(wanted)), wanted]
+    return chosen - np.log(_sums(np.exp(logits, out=logits)))
+
+
+class Table:
+    """A weight table and its minibatch updates."""
+
+    def __init__(self, rows: int, width: int, rate: float) -> None:
+        self.rate = np.float32(rate)
+        self.weights = np.zeros((rows, width), np.float32)
+        # Rows met a few times move little.
+        self.squares = np.ones(rows, np.float32)
+        self.counts = np.zeros(rows, np.float32)
+
+    def step(self, rows: np.ndarray, wanted: np.ndarray, offsets: np.ndarray) -> None:
+        if not len(wanted):
+            return
+        off = _logits(self.weights, rows, offsets)
+        np.exp(off, out=off)
+        off /= _sums(off)[:, None]
+        off[np.arange(len(wanted)), wanted] -= 1
+        # Each row with the number of its token, sorted as one number.
+        packed = np.sort(((rows << 32) | np.arange(len(rows))[:, None]).ravel())
+        flat = packed >> 32
+        starts, lengths = run_lengths(flat)
+        owners = packed & 0xFFFFFFFF
+        slope = off.take(owners[starts], axis=0)
+        more = np.flatnonzero(lengths > 1)
+        if len(more):
+            slope[more] = np.add.reduceat(
+                off.take(owners[ranges(starts[more], lengths[more])], axis=0),
+                np.cumsum(lengths[more]) - lengths[more],
+                axis=0,
+            )
+        met = flat[starts]
+        own = self.weights.take(met, axis=0)
+        slope += own * (PENALTY * lengths).astype(np.float32)[:, None]
+        squares = self.squares[met] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
+        self.squares[met] = squares
+        own -= slope * (self.rate / np.sqrt(squares))[:, None]
+        self.weights[met] = own
+        self.counts[met] += lengths
 
 
-def _train(training: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
-    """The weight table, from one pass of minibatch updates in every task."""
+def _train(
+    training: DataFrame, classes: Classes, tree: Tree, n_classes: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The weight tables of classes and sub-classes, from one pass of updates in every task."""
 
     def updated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros((ROWS, n_classes), np.float32)
-        squares = np.full(ROWS, 1e-3, np.float32)
-        counts = np.zeros(ROWS, np.float32)
-
-        def step(rows: np.ndarray, wanted: np.ndarray) -> None:
-            off = np.exp(_log_softmax(weights, rows))
-            off[np.arange(len(wanted)), wanted] -= 1
-            flat = rows.ravel()
-            order = np.argsort(flat)
-            starts, lengths = run_lengths(flat[order])
-            slope = np.add.reduceat(off[order // rows.shape[1]], starts, axis=0)
-            met = flat[order][starts]
-            slope += PENALTY * lengths[:, None] * weights[met]
-            squares[met] += np.einsum("ij,ij->i", slope, slope) / n_classes
-            weights[met] -= RATE * slope / np.sqrt(squares[met])[:, None]
-            counts[met] += lengths
-
-        held_rows, held_wanted, size = [], [], 0
+        upper, lower = Table(ROWS, n_classes, RATE), Table(SUB_ROWS, WIDTH, SUB_RATE)
         for *_, tokens in _runs(batches):
-            held_rows.append(_features(tokens))
-            held_wanted.append(classes_of(tokens, classes))
-            size += len(held_wanted[-1])
-            if size >= MINIBATCH:
-                step(np.concatenate(held_rows), np.concatenate(held_wanted))
-                held_rows, held_wanted, size = [], [], 0
-        if size:
-            step(np.concatenate(held_rows), np.concatenate(held_wanted))
-        if counts.any():
+            contexts = _contexts(tokens)
+            unit = units(tokens, classes.frequent)
+            kinds = classes.table()[unit]
+            cells = tree.cells(tokens.hashes, kinds, unit)
+            for start in range(0, len(kinds), MINIBATCH):
+                part = slice(start, start + MINIBATCH)
+                upper.step(_features(contexts[part]), kinds[part], tree.of_class)
+                _, rows, wanted, logs = _sub_features(contexts[part], cells[part], tree)
+                lower.step(rows, wanted, logs)
+        if upper.counts.any():
             slot = TaskContext.get().partitionId()
-            yield _blocks(weights * counts[:, None], counts, slot)
+            yield _blocks(upper, slot, 0)
+            yield _blocks(lower, slot, ROWS // BLOCK)
 
     def added(table: pa.Table) -> pa.Table:
         slot = table.column("slot")[0].as_py() // FAN_IN
@@ -261,20 +519,23 @@ def _train(training: DataFrame, classes: Classes, n_classes: int) -> np.ndarray:
         if slots <= FAN_IN:
             break
         slots = -(-slots // FAN_IN)
-    weights = np.zeros((ROWS, n_classes), np.float32)
+    upper = np.zeros((ROWS, n_classes), np.float32)
+    lower = np.zeros((SUB_ROWS, WIDTH), np.float32)
     for row in tables.toLocalIterator():
         counts = np.frombuffer(row["counts"], np.float32)
-        sums = np.frombuffer(row["sums"], np.float32).reshape(-1, n_classes)
+        sums = np.frombuffer(row["sums"], np.float32).reshape(len(counts), -1)
         start = row["block"] * BLOCK
-        weights[start : start + BLOCK] = sums / np.maximum(counts, 1)[:, None]
-    return weights
+        table, start = (upper, start) if start < ROWS else (lower, start - ROWS)
+        table[start : start + BLOCK] = sums / np.maximum(counts, 1)[:, None]
+    return upper, lower
 
 
-def _blocks(sums: np.ndarray, counts: np.ndarray, slot: int) -> pa.RecordBatch:
-    starts = range(0, ROWS, BLOCK)
+def _blocks(table: Table, slot: int, first: int) -> pa.RecordBatch:
+    starts = range(0, len(table.counts), BLOCK)
+    sums, counts = table.weights * table.counts[:, None], table.counts
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([start // BLOCK for start in starts], pa.int32()),
+            pa.array([first + start // BLOCK for start in starts], pa.int32()),
             pa.array([slot] * len(starts), pa.int32()),
             pa.array([sums[s : s + BLOCK].astype(np.float32).tobytes() for s in starts], pa.binary()),
             pa.array([counts[s : s + BLOCK].tobytes() for s in starts], pa.binary()),
@@ -292,14 +553,13 @@ def _message_rows(schema: str, rows: list[dict]) -> pa.RecordBatch:
     )
 
 
-def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
+def _sent(classes: Classes, tree: Tree, tables: tuple[np.ndarray, np.ndarray], buckets: int):
     """Messages of a task: its words' training counts to the buckets, its texts by themselves."""
 
     def message(held: list, number: int) -> list[dict]:
         hashes = np.concatenate([h["hashes"] for h in held])
         lengths = np.concatenate([h["lengths"] for h in held])
         trains = np.concatenate([h["trains"] for h in held])
-        kinds = np.concatenate([h["classes"] for h in held])
         which, distinct = pd.factorize(hashes)
         order = np.argsort(distinct)
         rank = np.empty(len(order), np.int64)
@@ -308,8 +568,6 @@ def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
         distinct = distinct[order]
         owner = np.repeat(np.arange(len(lengths)), lengths)
         counts = np.bincount(which, weights=trains[owner], minlength=len(distinct)).astype("<i8")
-        kind = np.zeros(len(distinct), np.uint8)
-        kind[which] = kinds
         pairs = np.sort(owner * len(distinct) + which)
         starts, times = run_lengths(pairs)
         pairs = pairs[starts]
@@ -322,7 +580,6 @@ def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
                 "part": int(bucket[begin]),
                 "hashes": distinct[begin : begin + size].tobytes(),
                 "counts": counts[begin : begin + size].tobytes(),
-                "classes": kind[begin : begin + size].tobytes(),
             }
             for begin, size in zip(begins, sizes, strict=True)
         ]
@@ -334,7 +591,6 @@ def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
             "missing": np.concatenate([h["missing"] for h in held]),
             "held_out": np.concatenate([h["held_out"] for h in held]),
             "conditional": np.concatenate([h["conditional"] for h in held]),
-            "by_class": np.concatenate([h["by_class"] for h in held]),
         }
         texts = {name: values.tobytes() for name, values in packed.items()}
         return [*rows, texts | {"bucket": number % buckets, "message": number, "part": -1}]
@@ -346,25 +602,24 @@ def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
                 batch.column(batch.schema.get_field_index(c)).slice(first, last - first)
                 for c in ("doc_id", "held_out", "is_training")
             )
-            kinds = classes_of(tokens, classes)
-            rows, logs = _features(tokens), np.empty(len(kinds))
+            contexts, unit = _contexts(tokens), units(tokens, classes.frequent)
+            kinds = classes.table()[unit]
+            cells = tree.cells(tokens.hashes, kinds, unit)
+            # The word shares its last sub-class by counts, whose numerator the buckets answer.
+            logs = -np.log10(tree.masses[cells])
             for start in range(0, len(kinds), MINIBATCH):
                 part = slice(start, start + MINIBATCH)
-                logs[part] = _chosen(weights, rows[part], kinds[part])
+                logs[part] += _chosen(tables, tree, contexts[part], kinds[part], cells[part])
             owner = np.repeat(np.arange(last - first), np.diff(tokens.first))
             held.append(
                 {
                     "hashes": tokens.hashes,
                     "lengths": np.diff(tokens.first),
                     "trains": train.to_numpy(zero_copy_only=False).astype(np.float64),
-                    "classes": kinds,
                     "ids": ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
                     "missing": ids.is_null().to_numpy(zero_copy_only=False),
                     "held_out": out.to_numpy(zero_copy_only=False),
                     "conditional": np.bincount(owner, weights=logs, minlength=last - first),
-                    "by_class": np.bincount(
-                        owner * n_classes + kinds, minlength=(last - first) * n_classes
-                    ).astype("<i8"),
                 }
             )
             size += len(tokens.hashes)
@@ -377,12 +632,23 @@ def _sent(classes: Classes, weights: np.ndarray, n_classes: int, buckets: int):
     return sent
 
 
-def _chosen(weights: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """log10 of the probability of the class of each token."""
-    return _log_softmax(weights, rows)[np.arange(len(kinds)), kinds] / np.log(10)
+def _chosen(
+    tables: tuple[np.ndarray, np.ndarray],
+    tree: Tree,
+    contexts: np.ndarray,
+    kinds: np.ndarray,
+    cells: np.ndarray,
+) -> np.ndarray:
+    """log10 of the probability of the class and sub-classes of each token."""
+    upper, lower = tables
+    n = len(kinds)
+    logs = _log_wanted(upper, _features(contexts), kinds, tree.of_class)
+    owners, rows, wanted, offsets = _sub_features(contexts, cells, tree)
+    below = _log_wanted(lower, rows, wanted, offsets)
+    return (logs + np.bincount(owners, weights=below, minlength=n)) / np.log(10)
 
 
-def _counted(n_classes: int):
+def _counted():
     """Adds up the training counts of a bucket's words and answers each message."""
 
     def counted(table: pa.Table) -> pa.Table:
@@ -393,11 +659,8 @@ def _counted(n_classes: int):
             hashes = [np.frombuffer(row["hashes"], np.uint64) for row in asks]
             which, distinct = pd.factorize(np.concatenate(hashes))
             counts = np.concatenate([np.frombuffer(row["counts"], "<i8") for row in asks])
-            kinds = np.concatenate([np.frombuffer(row["classes"], np.uint8) for row in asks])
             # Whole numbers below 2**53 add up exactly.
             totals = np.bincount(which, weights=counts, minlength=len(distinct)).astype("<i8")
-            kind = np.zeros(len(distinct), np.int64)
-            kind[which] = kinds
             answer, start = totals[which], 0
             for row, own in zip(asks, hashes, strict=True):
                 out.append(
@@ -409,69 +672,35 @@ def _counted(n_classes: int):
                     }
                 )
                 start += len(own)
-            known = totals > 0
-            tokens = np.bincount(kind, weights=totals, minlength=n_classes).astype("<i8")
-            types = np.bincount(kind[known], minlength=n_classes).astype("<i8")
-            bucket = asks[0]["bucket"]
-            out.append(
-                {
-                    "bucket": bucket,
-                    "message": -1 - bucket,
-                    "part": -2,
-                    "by_class": tokens.tobytes(),
-                    "words": types.tobytes(),
-                }
-            )
         return pa.Table.from_batches([_message_rows(MESSAGE, out)])
 
     return counted
 
 
-def _summed(n_classes: int):
+def _summed(table: pa.Table) -> pa.Table:
     """Scores the texts of one message from the counts that the buckets answered."""
-
-    def lists(values: np.ndarray) -> pa.Array:
-        n = len(values) // n_classes
-        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * n_classes)
-        return pa.ListArray.from_arrays(offsets, pa.array(values, pa.int64()))
-
-    def summed(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda row: row["part"])
-        if rows[0]["part"] == -2:
-            types = np.frombuffer(rows[0]["words"], "<i8")
-            tokens = np.frombuffer(rows[0]["by_class"], "<i8")
-            empty = [pa.nulls(1, kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64())]
-            zero = pa.nulls(1, pa.float64())
-            columns = [pa.array([False]), *empty, zero, zero, lists(tokens), lists(types)]
-        else:
-            texts, answers = rows[0], rows[1:]
-            counts = np.concatenate([np.frombuffer(row["counts"], "<i8") for row in answers])
-            words = np.frombuffer(texts["words"], "<u4")
-            times = np.frombuffer(texts["times"], "<u4").astype(np.float64)
-            lengths = np.frombuffer(texts["lengths"], "<u4")
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            n = len(lengths)
-            own = counts[words]
-            known = np.bincount(owner, weights=times * (own > 0), minlength=n)
-            tokens = np.bincount(owner, weights=times, minlength=n)
-            unigram = np.bincount(owner, weights=times * np.log10(own + 1.0), minlength=n)
-            by_class = np.frombuffer(texts["by_class"], "<i8")
-            missing = np.frombuffer(texts["missing"], bool)
-            columns = [
-                pa.array(np.ones(n, dtype=bool)),
-                pa.array(np.frombuffer(texts["ids"], "<i8"), pa.int64(), mask=missing),
-                pa.array(np.frombuffer(texts["held_out"], bool)),
-                pa.array(tokens.astype(np.int64)),
-                pa.array(known.astype(np.int64)),
-                pa.array(unigram),
-                pa.array(np.frombuffer(texts["conditional"], np.float64)),
-                lists(by_class),
-                lists(np.zeros(len(by_class), np.int64)),
-            ]
-        names = [field.split()[0] for field in RESULT.split(", ")]
-        return pa.Table.from_arrays(columns, names)
-
-    return summed
+    rows = sorted(table.to_pylist(), key=lambda row: row["part"])
+    texts, answers = rows[0], rows[1:]
+    counts = np.concatenate([np.frombuffer(row["counts"], "<i8") for row in answers])
+    words = np.frombuffer(texts["words"], "<u4")
+    times = np.frombuffer(texts["times"], "<u4").astype(np.float64)
+    lengths = np.frombuffer(texts["lengths"], "<u4")
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    n = len(lengths)
+    own = counts[words]
+    known = np.bincount(owner, weights=times * (own > 0), minlength=n)
+    tokens = np.bincount(owner, weights=times, minlength=n)
+    unigram = np.bincount(owner, weights=times * np.log10(own + 1.0), minlength=n)
+    missing = np.frombuffer(texts["missing"], bool)
+    columns = [
+        pa.array(np.frombuffer(texts["ids"], "<i8"), pa.int64(), mask=missing),
+        pa.array(np.frombuffer(texts["held_out"], bool)),
+        pa.array(tokens.astype(np.int64)),
+        pa.array(known.astype(np.int64)),
+        pa.array(unigram),
+        pa.array(np.frombuffer(texts["conditional"], np.float64)),
+    ]
+    return pa.Table.from_arrays(columns, [field.split()[0] for field in RESULT.split(", ")])
 
 
 def score_texts(
@@ -500,34 +729,22 @@ def score_texts(
     )
     training = texts.filter("is_training")
     n_texts, n_bytes = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(docs[text_column]))).first()
-    classes = _learn_classes(training, n_texts, n_classes)
-    weights = _train(training, classes, n_classes)
     buckets = n_buckets((n_bytes or 0) / 6 * DISTINCT_SHARE)
-    messages = texts.mapInArrow(_sent(classes, weights, n_classes, buckets), MESSAGE)
-    answered = messages.groupBy("bucket").applyInArrow(_counted(n_classes), MESSAGE)
-    scored = answered.groupBy("message").applyInArrow(_summed(n_classes), RESULT)
-    scored = materialize(scored, "text-scores")
-
-    sums = scored.filter("NOT is_text").select(F.posexplode(F.arrays_zip("by_class", "types")))
-    by_class = {
-        row["pos"]: (row["n"], row["v"])
-        for row in sums.groupBy("pos").agg(F.sum("col.by_class").alias("n"), F.sum("col.types").alias("v")).collect()
-    }
-    n = sum(tokens for tokens, _ in by_class.values())
-    v = sum(types for _, types in by_class.values())
+    counted = _count_words(training, buckets)
+    frequent, counts, n, v = _frequent_words(counted)
+    classes = _learn_classes(training, frequent, n_texts, n_classes)
+    tree = _grow_tree(counted, counts, classes, n_classes)
+    tables = _train(training, classes, tree, n_classes)
+    messages = texts.mapInArrow(_sent(classes, tree, tables, buckets), MESSAGE)
+    answered = messages.groupBy("bucket").applyInArrow(_counted(), MESSAGE)
+    scored = answered.groupBy("message").applyInArrow(_summed, RESULT)
     base = float(np.log10(n + v + 1))
-    each = [float(np.log10(sum(by_class.get(k, (0, 0))) + 1)) for k in range(n_classes)]
-    spent = F.zip_with("by_class", F.array(*[F.lit(x) for x in each]), lambda a, b: a * b)
-    return scored.filter("is_text").select(
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
         "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("unigram") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (
-            F.col("unigram")
-            + F.col("conditional")
-            - F.aggregate(spent, F.lit(0.0), lambda total, x: total + x)
-        ).alias("score"),
+        (F.col("unigram") + F.col("conditional")).alias("score"),
     )

@@ -59,6 +59,31 @@ def test_model_learns_from_context(spark):
     assert gain > 0.15  # log10 of two is 0.30
 
 
+def test_context_tells_words_of_one_class_apart(spark):
+    """One class only: all that context can do is to choose among its words."""
+    rng = np.random.default_rng(1)
+    rows = [(n, " ".join(f"first{x} second{x}" for x in rng.integers(0, 200, 40))) for n in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = maxent.score_texts(frame, n_classes=1).toPandas()
+    held = got[got.held_out]
+    gain = (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum()
+    assert gain > 0.3
+
+
+def test_words_of_a_class_sum_to_one(spark):
+    """The masses of a tree leave each class its known words and its unknown ones, once each."""
+    rows = [(n, " ".join(f"w{x}" for x in range(n % 40))) for n in range(80)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = maxent._count_words(training, 3)
+    frequent, counts, n, v = maxent._frequent_words(counted)
+    classes = maxent.Classes(frequent, np.arange(len(frequent)) % 3, np.arange(maxent.ENDINGS) % 3)
+    tree = maxent._grow_tree(counted, counts, classes, 3)
+    assert (n, v) == (sum(n % 40 + 1 for n in range(80)), 40)
+    mass, own = tree.masses, tree.own[tree.own >= 0]
+    assert len(own) == v and mass[own].tolist() == (counts + 1).tolist()
+    assert mass.sum() == n + v + (1 << tree.bits).sum()
+
+
 def test_log_softmax():
     weights = np.random.default_rng(1).standard_normal((maxent.ROWS, 5)).astype(np.float32)
     rows = np.array([[1, 2, 3, maxent.ROWS - 1], [4, 4, 4, maxent.ROWS - 1]])
