@@ -6,8 +6,9 @@ sub-classes are chosen by softmaxes with weights for the word before (n-gram of
 that (skip) and both (n-gram of three), hashed into a table of classes and one of sub-classes, on top
 of the smoothed counts of what is below them.  Every task runs minibatch updates over all of its
 training texts; tables are averaged row by row, each task counted by how often it met the row.
-Classes come from a bounded sample: frequent words and the endings of others are clustered by the
-words beside them.  The most frequent words of a class are sub-classes of their own; the others are
+Classes come from all training texts: frequent words and the endings of others are clustered by the
+words beside them.  The tables grow with the corpus up to what a task can hold; beyond that, contexts
+share rows.  The most frequent words of a class are sub-classes of their own; the others are
 dealt by hash to about as many as the class has words, up to ``MOST_BITS``, and words that meet in one
 share it by their smoothed counts over all training texts.
 
@@ -33,11 +34,20 @@ from codestrata.llm.words import Hasher, Words, mix, ranges, text_runs
 from codestrata.scale import materialize
 
 CLASSES = 24
-ROWS = 1 << 16
-# Texts that classes are made from, about; frequent words with a class of their own; endings.
-SAMPLE_TEXTS, FREQUENT, ENDINGS = 4000, 1024, 1024
-# Sub-classes of a class or sub-class, levels of them, and rows of their weight table.
-WIDTH, LEVELS, SUB_ROWS = 16, 4, 1 << 18
+# Rows of the class table, least and most, and how many times as many the table of sub-classes has.
+# A task holds both tables: 184 MB at most, with 24 classes.
+ROWS, MOST_ROWS, SUB_TIMES = 1 << 16, 1 << 19, 4
+# Training tokens for each row of the table of sub-classes, about, between these bounds.
+ROW_TOKENS = 128
+# Most bytes of tables that training tasks send for each byte of text, if they need not be fewer
+# than the session runs at once.
+SENT_SHARE = 0.25
+# Frequent words with a class of their own; endings.
+FREQUENT, ENDINGS = 1024, 1024
+# Tokens whose neighbours are counted at once, and units in one block of the counts.
+NEIGHBOURS, UNITS = 1 << 20, 64
+# Sub-classes of a class or sub-class, and levels of them.
+WIDTH, LEVELS = 16, 4
 # Frequent words of a class with a sub-class of their own; bits of the hash that deal the others.
 ALONE, MOST_BITS = 128, 15
 MINIBATCH, RATE, SUB_RATE, PENALTY = 1 << 12, 0.2, 0.1, 1e-6
@@ -48,7 +58,7 @@ MESSAGE_TOKENS = 1 << 21
 DISTINCT_SHARE = 0.1
 START, END = np.uint64(1), np.uint64(2)
 
-WEIGHTS = "block int, slot int, sums binary, counts binary"
+PARTS = "block int, slot int, places binary, values binary, counts binary"
 MESSAGE = (
     "bucket int, message long, part int, hashes binary, counts binary,"
     " words binary, times binary, lengths binary, ids binary, missing binary, held_out binary,"
@@ -324,28 +334,76 @@ def _grow_tree(counted: DataFrame, counts: np.ndarray, classes: Classes, n_class
     return tree
 
 
-def _learn_classes(training: DataFrame, frequent: np.ndarray, n_texts: int, n_classes: int) -> Classes:
-    """Classes from the neighbours in a bounded sample of training texts."""
-    sample = training.select("text").sample(min(1.0, SAMPLE_TEXTS / max(n_texts, 1)), 1)
+def _part(block: int, slot: int, places: bytes | None, values: bytes | None, counts: bytes):
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([block], pa.int32()),
+            pa.array([slot], pa.int32()),
+            *(pa.array([x], pa.binary()) for x in (places, values, counts)),
+        ],
+        ["block", "slot", "places", "values", "counts"],
+    )
+
+
+def _numbers(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(value.as_buffer(), kind) for value in table.column(name)]
+
+
+def _added_up(parts: DataFrame, slots: int, added) -> DataFrame:
+    """One row for each block: a task adds up one block of at most FAN_IN parts, level by level."""
+
+    def one(table: pa.Table) -> pa.Table:
+        slot = table.column("slot")[0].as_py() // FAN_IN
+        block = table.column("block")[0].as_py()
+        return pa.Table.from_batches([_part(block, slot, *added(table))])
+
+    while True:
+        parts = parts.groupBy("block", (F.col("slot") / FAN_IN).cast("int")).applyInArrow(one, PARTS)
+        if slots <= FAN_IN:
+            return parts
+        slots = -(-slots // FAN_IN)
+
+
+def _learn_classes(training: DataFrame, frequent: np.ndarray, n_classes: int) -> Classes:
+    """Classes from the neighbours in all training texts."""
     n_units = len(frequent) + ENDINGS
+    size = UNITS * n_units
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        found, held, n = np.zeros(n_units**2, np.int64), [], 0
         for *_, tokens in _runs(batches):
             unit = units(tokens, frequent)
             inside = np.ones(len(unit), dtype=bool)
             inside[tokens.first[:-1][tokens.first[:-1] < len(unit)]] = False
             held.append((unit[:-1] * n_units + unit[1:])[inside[1:]])
-        pairs, counts = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
-
-    # At most as many rows as there are pairs of units.
-    beside = sample.mapInArrow(neighbours, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    rows = beside.toArrow()
-    pair, n = rows.column("pair").to_numpy(), rows.column("n").to_numpy()
-    table = np.zeros((n_units, n_units), np.float32)
-    table[pair // n_units, pair % n_units] = n
-    table += table.T
+            n += len(unit)
+            if n >= NEIGHBOURS:
+                found += np.bincount(np.concatenate(held), minlength=len(found))
+                held, n = [], 0
+        if held:
+            found += np.bincount(np.concatenate(held), minlength=len(found))
+        slot = TaskContext.get().partitionId()
+        for block in range(-(-n_units // UNITS)):
+            own = found[block * size : (block + 1) * size]
+            places = np.flatnonzero(own)
+            if len(places):
+                yield _part(block, slot, places.astype("<u4").tobytes(), None, own[places].tobytes())
+
+    def added(table: pa.Table) -> tuple[bytes, None, bytes]:
+        total = np.zeros(size, np.int64)
+        for at, n in zip(_numbers(table, "places", "<u4"), _numbers(table, "counts", "<i8"), strict=True):
+            total[at] += n
+        places = np.flatnonzero(total)
+        return places.astype("<u4").tobytes(), None, total[places].tobytes()
+
+    parts = training.select("text").mapInArrow(neighbours, PARTS)
+    table = np.zeros(n_units**2, np.float32)
+    # At most as many numbers as there are pairs of units.
+    for row in _added_up(parts, training.rdd.getNumPartitions(), added).toLocalIterator():
+        at = np.frombuffer(row["places"], "<u4").astype(np.int64) + row["block"] * size
+        table[at] = np.frombuffer(row["counts"], "<i8")
+    table = table.reshape(n_units, n_units)
+    table = table + table.T
     labels = _clusters(table, n_classes)
     return Classes(frequent, labels[: len(frequent)], labels[len(frequent) :])
 
@@ -384,16 +442,22 @@ def _contexts(tokens: Tokens) -> np.ndarray:
     return found
 
 
-def _features(contexts: np.ndarray) -> np.ndarray:
+def _features(contexts: np.ndarray, n_rows: int) -> np.ndarray:
     """Rows of the class table for each token: three of its context and the bias."""
     rows = np.empty((len(contexts), 4), np.int64)
-    rows[:, :3] = contexts % np.uint64(ROWS - 1)
-    rows[:, 3] = ROWS - 1
+    rows[:, :3] = contexts % np.uint64(n_rows - 1)
+    rows[:, 3] = n_rows - 1
     return rows
 
 
+def _table_rows(n_tokens: int) -> int:
+    """Rows of the class table for so many training tokens, a power of two."""
+    wanted = max(n_tokens // (ROW_TOKENS * SUB_TIMES), 1)
+    return min(max(1 << (wanted - 1).bit_length(), ROWS), MOST_ROWS)
+
+
 def _sub_features(
-    contexts: np.ndarray, cells: np.ndarray, tree: Tree
+    contexts: np.ndarray, cells: np.ndarray, tree: Tree, n_rows: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Each choice of a sub-class: its token, rows of the table, child and logarithms of the shares."""
     owners, rows, wanted, logs = [], [], [], []
@@ -401,7 +465,7 @@ def _sub_features(
         at, node, child = tree.choices(cells, level)
         name = mix(node.astype(np.uint64) * np.uint64(LEVELS) + np.uint64(level))
         owners.append(at)
-        rows.append((mix(contexts.take(at, axis=0) + name[:, None]) % np.uint64(SUB_ROWS)).astype(np.int64))
+        rows.append((mix(contexts.take(at, axis=0) + name[:, None]) % np.uint64(n_rows)).astype(np.int64))
         wanted.append(child)
         logs.append(tree.logs[level].take(node, axis=0))
     return tuple(np.concatenate(x) for x in (owners, rows, wanted, logs))
@@ -475,12 +539,13 @@ class Table:
 
 
 def _train(
-    training: DataFrame, classes: Classes, tree: Tree, n_classes: int
+    training: DataFrame, classes: Classes, tree: Tree, n_classes: int, n_rows: int, n_bytes: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """The weight tables of classes and sub-classes, from one pass of updates in every task."""
+    sub_rows = n_rows * SUB_TIMES
 
     def updated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper, lower = Table(ROWS, n_classes, RATE), Table(SUB_ROWS, WIDTH, SUB_RATE)
+        upper, lower = Table(n_rows, n_classes, RATE), Table(sub_rows, WIDTH, SUB_RATE)
         for *_, tokens in _runs(batches):
             contexts = _contexts(tokens)
             unit = units(tokens, classes.frequent)
@@ -488,60 +553,47 @@ def _train(
             cells = tree.cells(tokens.hashes, kinds, unit)
             for start in range(0, len(kinds), MINIBATCH):
                 part = slice(start, start + MINIBATCH)
-                upper.step(_features(contexts[part]), kinds[part], tree.of_class)
-                _, rows, wanted, logs = _sub_features(contexts[part], cells[part], tree)
+                upper.step(_features(contexts[part], n_rows), kinds[part], tree.of_class)
+                _, rows, wanted, logs = _sub_features(contexts[part], cells[part], tree, sub_rows)
                 lower.step(rows, wanted, logs)
         if upper.counts.any():
             slot = TaskContext.get().partitionId()
-            yield _blocks(upper, slot, 0)
-            yield _blocks(lower, slot, ROWS // BLOCK)
-
-    def added(table: pa.Table) -> pa.Table:
-        slot = table.column("slot")[0].as_py() // FAN_IN
-        block = table.column("block")[0].as_py()
-        sums = sum(np.frombuffer(b.as_buffer(), np.float32) for b in table.column("sums"))
-        counts = sum(np.frombuffer(b.as_buffer(), np.float32) for b in table.column("counts"))
-        return pa.Table.from_arrays(
-            [
-                pa.array([block], pa.int32()),
-                pa.array([slot], pa.int32()),
-                pa.array([sums.astype(np.float32).tobytes()], pa.binary()),
-                pa.array([counts.astype(np.float32).tobytes()], pa.binary()),
-            ],
-            ["block", "slot", "sums", "counts"],
-        )
-
-    tables = training.select("text").mapInArrow(updated, WEIGHTS)
+            yield from _blocks(upper, slot, 0)
+            yield from _blocks(lower, slot, n_rows // BLOCK)
+
+    def added(table: pa.Table) -> tuple[None, bytes, bytes]:
+        sums, counts = 0, 0
+        for value, n in zip(_numbers(table, "values", "<f2"), _numbers(table, "counts", "<f4"), strict=True):
+            sums = sums + value.reshape(len(n), -1).astype(np.float32) * n[:, None]
+            counts = counts + n
+        means = sums / np.maximum(counts, 1)[:, None]
+        return None, means.astype("<f2").tobytes(), counts.tobytes()
+
+    # Fewer tasks, if their tables were large beside their texts.
     slots = training.rdd.getNumPartitions()
-    while True:
-        # A task adds up one block of at most FAN_IN tables, level by level.
-        tables = tables.groupBy("block", (F.col("slot") / FAN_IN).cast("int")).applyInArrow(added, WEIGHTS)
-        if slots <= FAN_IN:
-            break
-        slots = -(-slots // FAN_IN)
-    upper = np.zeros((ROWS, n_classes), np.float32)
-    lower = np.zeros((SUB_ROWS, WIDTH), np.float32)
-    for row in tables.toLocalIterator():
-        counts = np.frombuffer(row["counts"], np.float32)
-        sums = np.frombuffer(row["sums"], np.float32).reshape(len(counts), -1)
+    row_bytes = (n_classes + WIDTH * SUB_TIMES) * 2 + (1 + SUB_TIMES) * 4
+    tasks = max(
+        int(SENT_SHARE * n_bytes / (row_bytes * n_rows)),
+        training.sparkSession.sparkContext.defaultParallelism,
+    )
+    if tasks < slots:
+        training, slots = training.coalesce(tasks), tasks
+    parts = training.select("text").mapInArrow(updated, PARTS)
+    upper = np.zeros((n_rows, n_classes), np.float32)
+    lower = np.zeros((sub_rows, WIDTH), np.float32)
+    for row in _added_up(parts, slots, added).toLocalIterator():
+        means = np.frombuffer(row["values"], "<f2")
         start = row["block"] * BLOCK
-        table, start = (upper, start) if start < ROWS else (lower, start - ROWS)
-        table[start : start + BLOCK] = sums / np.maximum(counts, 1)[:, None]
+        table, start = (upper, start) if start < n_rows else (lower, start - n_rows)
+        table[start : start + BLOCK] = means.reshape(BLOCK, -1)
     return upper, lower
 
 
-def _blocks(table: Table, slot: int, first: int) -> pa.RecordBatch:
-    starts = range(0, len(table.counts), BLOCK)
-    sums, counts = table.weights * table.counts[:, None], table.counts
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([first + start // BLOCK for start in starts], pa.int32()),
-            pa.array([slot] * len(starts), pa.int32()),
-            pa.array([sums[s : s + BLOCK].astype(np.float32).tobytes() for s in starts], pa.binary()),
-            pa.array([counts[s : s + BLOCK].tobytes() for s in starts], pa.binary()),
-        ],
-        ["block", "slot", "sums", "counts"],
-    )
+def _blocks(table: Table, slot: int, first: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(table.counts), BLOCK):
+        own = slice(start, start + BLOCK)
+        values = table.weights[own].astype("<f2").tobytes()
+        yield _part(first + start // BLOCK, slot, None, values, table.counts[own].astype("<f4").tobytes())
 
 
 def _message_rows(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -642,8 +694,8 @@ def _chosen(
     """log10 of the probability of the class and sub-classes of each token."""
     upper, lower = tables
     n = len(kinds)
-    logs = _log_wanted(upper, _features(contexts), kinds, tree.of_class)
-    owners, rows, wanted, offsets = _sub_features(contexts, cells, tree)
+    logs = _log_wanted(upper, _features(contexts, len(upper)), kinds, tree.of_class)
+    owners, rows, wanted, offsets = _sub_features(contexts, cells, tree, len(lower))
     below = _log_wanted(lower, rows, wanted, offsets)
     return (logs + np.bincount(owners, weights=below, minlength=n)) / np.log(10)
 
@@ -728,13 +780,13 @@ def score_texts(
         F.coalesce(~out, F.lit(False)).alias("is_training"),
     )
     training = texts.filter("is_training")
-    n_texts, n_bytes = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(docs[text_column]))).first()
+    n_bytes = docs.agg(F.sum(F.octet_length(docs[text_column]))).first()[0]
     buckets = n_buckets((n_bytes or 0) / 6 * DISTINCT_SHARE)
     counted = _count_words(training, buckets)
     frequent, counts, n, v = _frequent_words(counted)
-    classes = _learn_classes(training, frequent, n_texts, n_classes)
+    classes = _learn_classes(training, frequent, n_classes)
     tree = _grow_tree(counted, counts, classes, n_classes)
-    tables = _train(training, classes, tree, n_classes)
+    tables = _train(training, classes, tree, n_classes, _table_rows(n), n_bytes or 0)
     messages = texts.mapInArrow(_sent(classes, tree, tables, buckets), MESSAGE)
     answered = messages.groupBy("bucket").applyInArrow(_counted(), MESSAGE)
     scored = answered.groupBy("message").applyInArrow(_summed, RESULT)

@@ -84,6 +84,24 @@ def test_words_of_a_class_sum_to_one(spark):
     assert mass.sum() == n + v + (1 << tree.bits).sum()
 
 
+def test_classes_come_from_all_texts(spark, monkeypatch):
+    """Neighbour counts of every text reach the clusters."""
+    seen = []
+    monkeypatch.setattr(maxent, "_clusters", lambda table, n: seen.append(table) or np.zeros(len(table), np.int64))
+    rows = [(n, "here there") for n in range(9000)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frequent, counts, n, v = maxent._frequent_words(maxent._count_words(training, 3))
+    maxent._learn_classes(training, frequent, 2)
+    assert (counts.tolist(), n, v) == ([9000] * 3, 27000, 3)
+    # here beside there, and there beside the end, each both ways round.
+    assert seen[0].sum() == 4 * 9000
+
+
+def test_tables_grow_with_the_corpus():
+    rows = [maxent._table_rows(n) for n in (0, 10**6, 10**8, 10**9)]
+    assert rows == [1 << 16, 1 << 16, 1 << 18, 1 << 19]
+
+
 def test_log_softmax():
     weights = np.random.default_rng(1).standard_normal((maxent.ROWS, 5)).astype(np.float32)
     rows = np.array([[1, 2, 3, maxent.ROWS - 1], [4, 4, 4, maxent.ROWS - 1]])
