@@ -53,9 +53,9 @@ ALONE, MOST_BITS = 128, 15
 MINIBATCH, RATE, SUB_RATE, PENALTY = 1 << 12, 0.2, 0.1, 1e-6
 # Tables that one task adds up, and rows of the table in one block.
 FAN_IN, BLOCK = 64, 1 << 12
-MESSAGE_TOKENS = 1 << 21
-# Distinct words per token of a message, about, to choose the number of buckets.
-DISTINCT_SHARE = 0.1
+MESSAGE_TOKENS = 1 << 20
+# Distinct words per token of a message, at most about, to choose the number of buckets.
+DISTINCT_SHARE = 0.4
 START, END = np.uint64(1), np.uint64(2)
 
 PARTS = "block int, slot int, places binary, values binary, counts binary"
@@ -579,8 +579,9 @@ def _train(
     if tasks < slots:
         training, slots = training.coalesce(tasks), tasks
     parts = training.select("text").mapInArrow(updated, PARTS)
-    upper = np.zeros((n_rows, n_classes), np.float32)
-    lower = np.zeros((sub_rows, WIDTH), np.float32)
+    # As they were sent; a task widens them while it scores.
+    upper = np.zeros((n_rows, n_classes), np.float16)
+    lower = np.zeros((sub_rows, WIDTH), np.float16)
     for row in _added_up(parts, slots, added).toLocalIterator():
         means = np.frombuffer(row["values"], "<f2")
         start = row["block"] * BLOCK
@@ -648,6 +649,7 @@ def _sent(classes: Classes, tree: Tree, tables: tuple[np.ndarray, np.ndarray], b
         return [*rows, texts | {"bucket": number % buckets, "message": number, "part": -1}]
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = tuple(table.astype(np.float32) for table in tables)
         held, size, number = [], 0, TaskContext.get().partitionId() << 33
         for batch, first, last, tokens in _runs(batches):
             ids, out, train = (
@@ -661,7 +663,7 @@ def _sent(classes: Classes, tree: Tree, tables: tuple[np.ndarray, np.ndarray], b
             logs = -np.log10(tree.masses[cells])
             for start in range(0, len(kinds), MINIBATCH):
                 part = slice(start, start + MINIBATCH)
-                logs[part] += _chosen(tables, tree, contexts[part], kinds[part], cells[part])
+                logs[part] += _chosen(wide, tree, contexts[part], kinds[part], cells[part])
             owner = np.repeat(np.arange(last - first), np.diff(tokens.first))
             held.append(
                 {
