@@ -134,4 +134,91 @@ SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, cast(coalesce(len(places),
 FROM docs LEFT JOIN gone USING (row_id) LEFT JOIN kept USING (row_id)
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op4_preference": OP4, "op8_mixing": OP8, "op9_substring": OP9}
+# crc32 of a word, bit by bit: each byte comes with seven zeros behind it, and every element is a step.
+OP11 = r"""
+WITH features AS (
+  SELECT 'd' AS side, row_id, doc_id, unnest(words) AS word FROM (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents)
+  UNION ALL
+  SELECT 'b', 0, 0, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), hashed AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+      range(0, length(digits) // 2),
+      lambda i: [cast('0x' || substr(digits, 2 * i + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS digits FROM features)
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM features JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, cast(floor(1000 * ln((t + 1) * (s_all + 10000)::DOUBLE / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM counted, (SELECT cast(sum(s) AS BIGINT) AS s_all, cast(sum(t) AS BIGINT) AS t_all FROM counted)
+), weights AS (
+  SELECT row_id, count(*) AS n_features, cast(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM features JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(
+      sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM (SELECT row_number() OVER () AS row_id, doc_id FROM documents) LEFT JOIN weights USING (row_id)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100
+    THEN place END AS rank
+FROM ranked
+"""
+
+OP12 = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS} AS words FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS least FROM docs GROUP BY text
+), marked AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part,
+    (len(words) < 200)::INT
+      + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+      + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+      + 8 * regexp_matches(text, '[#$%&*|]')::INT
+      + 16 * coalesce(doc_id > least, false)::INT AS mask,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM docs JOIN firsts USING (text) LEFT JOIN marked USING (doc_id) GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+    [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), measured AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & bit > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM measured
+"""
+
+ORACLE = {
+    "op1_quality_rules": OP1,
+    "op4_preference": OP4,
+    "op8_mixing": OP8,
+    "op9_substring": OP9,
+    "op11_resampling": OP11,
+    "op12_filter_audit": OP12,
+}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import (
+    audit,
+    chosen_path,
     hamming,
     jaccard,
     language,
@@ -14,6 +16,7 @@ from codestrata.llm import (
     packing,
     preference,
     quality,
+    resample,
     substring,
     toxicity,
 )
@@ -76,6 +79,21 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resample.importance(documents, benchmark).drop("n_words")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.similar_classes(_table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -87,4 +105,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_lm_scores": op10_lm_scores,
+    "op11_resampling": op11_resampling,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_chosen_path": op13_chosen_path,
 }
