@@ -87,34 +87,74 @@ def lines(text: Column) -> Column:
     )
 
 
-PAGE = 64
+# Items of a page of a fold.
+PAGE = 256
 
 
-def paged(kind: str) -> Column:
-    """An empty list of ``kind`` that a fold can add to without copying all of it each time."""
-    return F.struct(
-        F.array().cast(f"array<array<{kind}>>").alias("full"),
-        F.array().cast(f"array<{kind}>").alias("page"),
-    )
+def found_in_order(
+    items: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    kind: str,
+    rest: Callable[[Column], Column] | None = None,
+) -> Column:
+    """What a pass over ``items`` finds, as an array, in time that grows with their number.
 
+    ``step(state, item)`` gives the next state, a struct whose field ``found`` is what the item
+    completes, of type ``kind``, or null.  ``rest(state)`` is an array of what the last state adds.
 
-def add_to(pages: Column, items: Column) -> Column:
-    """``pages`` with the array ``items`` behind it; a full page is put away whole."""
-    return let(
-        F.concat(pages.page, items),
-        lambda page: F.when(
-            F.size(page) < PAGE, F.struct(pages.full.alias("full"), page.alias("page"))
-        ).otherwise(
-            F.struct(
-                F.concat(pages.full, F.array(page)).alias("full"),
-                F.slice(page, 1, 0).alias("page"),
+    A fold copies its state at every step, so a list in it would cost its length each time.  The
+    first pass holds the state alone and notes it at the head of every page of items; then each page
+    is folded by itself from the state noted for it, with a list no longer than the page.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    none_left = F.array().cast("array<int>")
+
+    def of_items(items: Column, n: Column) -> Column:
+        last_page = F.floor((n - 1) / PAGE).cast("int")
+
+        def places(page: Column) -> Column:
+            return F.sequence(page * PAGE, F.least((page + 1) * PAGE, n) - 1)
+
+        def state_behind(state: Column, page: Column) -> Column:
+            return F.aggregate(places(page), state, lambda s, k: step(s, F.get(items, k)))
+
+        heads = F.aggregate(
+            F.when(last_page > 0, F.sequence(F.lit(0), last_page - 1)).otherwise(none_left),
+            F.array(start),
+            lambda states, page: F.concat(
+                states, F.array(state_behind(F.element_at(states, -1), page))
+            ),
+        )
+
+        def with_item(held: Column, k: Column) -> Column:
+            return let(
+                step(held.state, F.get(items, k)),
+                lambda state: F.struct(
+                    state.alias("state"),
+                    F.when(state.found.isNull(), held.out)
+                    .otherwise(F.concat(held.out, F.array(state.found)))
+                    .alias("out"),
+                ),
             )
-        ),
-    )
 
+        pages = F.transform(
+            heads,
+            lambda state, page: F.aggregate(
+                places(page), F.struct(state.alias("state"), none.alias("out")), with_item
+            ),
+        )
+
+        def joined(pages: Column) -> Column:
+            found = F.flatten(F.transform(pages, lambda page: page.out))
+            return F.concat(found, rest(F.element_at(pages, -1).state)) if rest else found
+
+        return let(pages, joined) if rest else joined(pages)
+
+    def of_some(items: Column) -> Column:
+        return let(F.size(items), lambda n: F.when(n > 0, of_items(items, n)).otherwise(none))
 
-def all_of(pages: Column) -> Column:
-    return F.concat(F.flatten(pages.full), pages.page)
+    return let(items, of_some)
 
 
 def plain_spaces(text: Column) -> Column:

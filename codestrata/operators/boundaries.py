@@ -10,10 +10,8 @@ from codestrata.functions.text import (
     NON_SPACE,
     RE_BLANK,
     SPACE,
-    add_to,
-    all_of,
+    found_in_order,
     lines,
-    paged,
     trim_space,
 )
 from codestrata.scale import unnest
@@ -32,29 +30,24 @@ def _go_imports(text_lines: Column) -> Column:
         opens = line == "import ("
         closes = state.inside & (line == ")")
         single = ~state.inside & line.startswith('import "')
-        listed = state.inside & ~closes & (line != "") & ~line.startswith("//")
+        listed = state.inside & ~opens & ~closes & (line != "") & ~line.startswith("//")
         word = F.btrim(
             F.regexp_extract(line, f"(?<!{NON_SPACE}){NON_SPACE}++$", 0), F.lit('"')
         )
         quoted = F.regexp_replace(F.substring(line, 9, 2**31 - 1), r'"\z', "")
         return F.struct(
             (opens | (state.inside & ~closes)).alias("inside"),
-            F.when(opens, state.out)
-            .when(single, add_to(state.out, F.array(quoted)))
-            .when(listed & (word != ""), add_to(state.out, F.array(word)))
-            .otherwise(state.out)
-            .alias("out"),
+            F.when(single, quoted).when(listed & (word != ""), word).alias("found"),
         )
 
     def next_line(state: Column, raw: Column) -> Column:
-        moved = F.struct(state.inside.alias("inside"), state.out.alias("out"))
+        moved = F.struct(state.inside.alias("inside"), none.alias("found"))
         idle = ~state.inside & ~F.contains(raw, F.lit("import "))
         return F.when(idle, moved).otherwise(step(state, raw))
 
-    start = F.struct(
-        F.lit(False).alias("inside"), paged("string").alias("out")
-    )
-    return F.aggregate(text_lines, start, next_line, lambda state: all_of(state.out))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("inside"), none.alias("found"))
+    return found_in_order(text_lines, start, next_line, "string")
 
 
 def _python_imports(text_lines: Column) -> Column:

@@ -6,6 +6,8 @@ per line only what the pass looks at.  The fold then carries line indexes, never
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from codestrata.functions.text import (
     FUNCTION_WORDS,
     INDENT,
     MARK,
-    MARK_2,
     MARK_3,
     NON_SPACE,
     RE_BLANK,
@@ -21,14 +22,12 @@ from codestrata.functions.text import (
     WORD,
     WORD_END,
     WORD_START,
-    add_to,
-    all_of,
     block_hash,
     clear_marks,
     count_of,
+    found_in_order,
     let,
     normalize_text,
-    paged,
     preview,
     scanned_text,
     trim_space,
@@ -37,14 +36,55 @@ from codestrata.scale import unnest
 from codestrata.schema import BRACE_LANGUAGES
 
 
+_SPAN = "struct<start:int,n:int>"
+
+
 def _span(start: Column, n: Column) -> Column:
-    return F.array(F.struct(start.alias("start"), n.alias("n")))
+    return F.struct(start.alias("start"), n.alias("n"))
+
+
+def _outside() -> Column:
+    """The state before the first line: in no block, which starts at line -1."""
+    return F.struct(
+        F.lit(-1).alias("start"),
+        F.lit(0).alias("depth"),
+        F.lit(None).cast(_SPAN).alias("found"),
+    )
 
 
 def _brace_delta(skeleton_line: Column) -> Column:
     return count_of(skeleton_line, "{") - count_of(skeleton_line, "}")
 
 
+def _telling_lines(skeleton: Column, opens: Callable[[Column], Column]) -> Column:
+    """Numbers of the lines that can change a state.
+
+    Those are lines with something in them, and the line behind one that may open a block: it
+    ends a block that its first line left without depth.
+    """
+
+    def tells(n: Column) -> Column:
+        before = F.get(skeleton, n - 1)
+        return (F.get(skeleton, n) != "") | F.coalesce(opens(before), F.lit(False))
+
+    return F.filter(F.sequence(F.lit(0), F.size(skeleton) - 1), tells)
+
+
+def _in_skeleton(skeleton: Column, opens, step, rest=None) -> Column:
+    """Spans that ``step(state, n, line)`` finds in the lines that tell."""
+
+    def of_lines(lines: Column) -> Column:
+        return found_in_order(
+            _telling_lines(lines, opens),
+            _outside(),
+            lambda state, n: step(state, n, F.get(lines, n)),
+            _SPAN,
+            rest and (lambda state: rest(state, F.size(lines))),
+        )
+
+    return let(skeleton, of_lines)
+
+
 def brace_spans(scanned: Column, min_lines: int) -> Column:
     """Blocks of a brace language as ``array<struct<start,n>>``, 0-based start line.
 
@@ -56,43 +96,22 @@ def brace_spans(scanned: Column, min_lines: int) -> Column:
     )
     skeleton = F.split(F.regexp_replace(marked, f"[^{MARK}{{}}\n]++", ""), "\n", -1)
 
-    def step(state: Column, line: Column) -> Column:
+    def step(state: Column, n: Column, line: Column) -> Column:
         inside = state.start >= 0
         opens = ~inside & line.startswith(MARK)
-        depth = F.when(inside | opens, state.depth + _brace_delta(line)).otherwise(0)
-        closes = inside & (depth <= 0)
-        length = state.i - state.start + 1
-        return F.struct(
-            (state.i + 1).alias("i"),
-            F.when(closes, -1).when(opens, state.i).otherwise(state.start).alias("start"),
-            F.when(closes, 0).otherwise(depth).alias("depth"),
-            F.when(closes & (length >= min_lines), add_to(state.spans, _span(state.start, length)))
-            .otherwise(state.spans)
-            .alias("spans"),
-        )
+        length = n - state.start + 1
+
+        def with_depth(depth: Column) -> Column:
+            closes = inside & (depth <= 0)
+            return F.struct(
+                F.when(closes, -1).when(opens, n).otherwise(state.start).alias("start"),
+                F.when(closes, 0).otherwise(depth).alias("depth"),
+                F.when(closes & (length >= min_lines), _span(state.start, length)).alias("found"),
+            )
 
-    def next_line(state: Column, line: Column) -> Column:
-        # A line without braces changes nothing but the index, unless it ends a block that its
-        # first line left without depth.
-        idle = (line == "") & ((state.start < 0) | (state.depth > 0))
-        moved = F.struct(
-            (state.i + 1).alias("i"),
-            state.start.alias("start"),
-            state.depth.alias("depth"),
-            state.spans.alias("spans"),
-        )
-        return F.when(idle, moved).otherwise(step(state, line))
+        return let(F.when(inside | opens, state.depth + _brace_delta(line)).otherwise(0), with_depth)
 
-    return F.aggregate(skeleton, _start_state(), next_line, lambda state: all_of(state.spans))
-
-
-def _start_state() -> Column:
-    return F.struct(
-        F.lit(0).alias("i"),
-        F.lit(-1).alias("start"),
-        F.lit(0).alias("depth"),
-        paged("struct<start:int,n:int>").alias("spans"),
-    )
+    return _in_skeleton(skeleton, lambda line: line.startswith(MARK), step)
 
 
 def indent_spans(scanned: Column, min_lines: int) -> Column:
@@ -107,41 +126,28 @@ def indent_spans(scanned: Column, min_lines: int) -> Column:
     text = F.regexp_replace(
         text, rf"(?md)^([ \t]*+){SPACE}*+def (?=.*{NON_SPACE}).*$", f"$1{MARK}"
     )
-    text = F.regexp_replace(text, rf"(?md)^([ \t]*+){SPACE}*+[#)\]}}@].*$", f"$1{MARK_2}")
-    text = F.regexp_replace(text, rf"(?md)^([ \t]*+)[^ \t\n{MARK}{MARK_2}].*$", f"$1{MARK_3}")
+    text = F.regexp_replace(text, rf"(?md)^([ \t]*+){SPACE}*+[#)\]}}@].*$", "")
+    text = F.regexp_replace(text, rf"(?md)^([ \t]*+)[^ \t\n{MARK}].*$", f"$1{MARK_3}")
     skeleton = F.split(text, "\n", -1)
 
-    def step(state: Column, line: Column) -> Column:
+    def step(state: Column, n: Column, line: Column) -> Column:
         indent = F.length(line) - 1
-        ends = (state.start >= 0) & (indent <= state.depth) & ~line.endswith(MARK_2)
+        ends = (state.start >= 0) & (indent <= state.depth)
         opens = line.endswith(MARK) & (ends | (state.start < 0))
-        length = state.i - state.start
+        length = n - state.start
         return F.struct(
-            (state.i + 1).alias("i"),
-            F.when(opens, state.i).when(ends, -1).otherwise(state.start).alias("start"),
+            F.when(opens, n).when(ends, -1).otherwise(state.start).alias("start"),
             F.when(opens, indent).otherwise(state.depth).alias("depth"),
-            F.when(ends & (length >= min_lines), add_to(state.spans, _span(state.start, length)))
-            .otherwise(state.spans)
-            .alias("spans"),
+            F.when(ends & (length >= min_lines), _span(state.start, length)).alias("found"),
         )
 
-    def finish(state: Column) -> Column:
-        length = state.i - state.start
+    def rest(state: Column, n_lines: Column) -> Column:
+        length = n_lines - state.start
         return F.when(
-            (state.start >= 0) & (length >= min_lines),
-            F.concat(all_of(state.spans), _span(state.start, length)),
-        ).otherwise(all_of(state.spans))
-
-    def next_line(state: Column, line: Column) -> Column:
-        moved = F.struct(
-            (state.i + 1).alias("i"),
-            state.start.alias("start"),
-            state.depth.alias("depth"),
-            state.spans.alias("spans"),
-        )
-        return F.when(line == "", moved).otherwise(step(state, line))
+            (state.start >= 0) & (length >= min_lines), F.array(_span(state.start, length))
+        ).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return F.aggregate(skeleton, _start_state(), next_line, finish)
+    return _in_skeleton(skeleton, lambda line: F.lit(False), step, rest)
 
 
 _BLOCKS = "array<struct<line:int,line_count:int,hash:string,preview:string>>"
@@ -215,59 +221,47 @@ GOD_FUNCTION_STARTS = {
     rf"{WORD}{RE_BLANK}+({WORD}+){RE_BLANK}*\(",
 }
 
-_FIRST_LONG = "struct<start:int,n:int>"
-
-
-def _first_long_state() -> Column:
-    return F.struct(
-        F.lit(0).alias("i"),
-        F.lit(-1).alias("start"),
-        F.lit(0).alias("depth"),
-        F.lit(None).cast(_FIRST_LONG).alias("found"),
-    )
-
-
 def _first_long(skeleton: Column, ends, max_lines: int) -> Column:
-    """First function longer than ``max_lines``; ``ends(state, line, depth)`` closes one.
+    """First function longer than ``max_lines``; ``ends(state, n, line, depth)`` closes one.
 
     The line that closes a function never opens the next.
     """
 
-    def step(state: Column, line: Column) -> Column:
+    def step(state: Column, n: Column, line: Column) -> Column:
         inside = state.start >= 0
         opens = ~inside & F.contains(line, F.lit(MARK))
-        depth = F.when(inside | opens, state.depth + _brace_delta(line)).otherwise(0)
-        closes = inside & ends(state, line, depth)
-        length = state.i - state.start
-        return F.struct(
-            (state.i + 1).alias("i"),
-            F.when(closes, -1).when(opens, state.i).otherwise(state.start).alias("start"),
-            F.when(closes, 0).otherwise(depth).alias("depth"),
-            F.when(
-                state.found.isNull() & closes & (length > max_lines),
-                F.struct(state.start.alias("start"), length.alias("n")),
+        length = n - state.start
+
+        def with_depth(depth: Column) -> Column:
+            closes = inside & ends(state, n, line, depth)
+            return F.struct(
+                F.when(closes, -1).when(opens, n).otherwise(state.start).alias("start"),
+                F.when(closes, 0).otherwise(depth).alias("depth"),
+                F.when(
+                    state.found.isNull() & closes & (length > max_lines),
+                    _span(state.start, length),
+                )
+                .otherwise(state.found)
+                .alias("found"),
             )
-            .otherwise(state.found)
-            .alias("found"),
-        )
 
-    def next_line(state: Column, line: Column) -> Column:
-        idle = (line == "") & ((state.start < 0) | (state.depth > 0))
-        moved = F.struct(
-            (state.i + 1).alias("i"),
-            state.start.alias("start"),
-            state.depth.alias("depth"),
-            state.found.alias("found"),
+        return let(F.when(inside | opens, state.depth + _brace_delta(line)).otherwise(0), with_depth)
+
+    def of_lines(lines: Column) -> Column:
+        return F.aggregate(
+            _telling_lines(lines, lambda line: F.contains(line, F.lit(MARK))),
+            _outside(),
+            lambda state, n: step(state, n, F.get(lines, n)),
+            lambda state: state.found,
         )
-        return F.when(idle, moved).otherwise(step(state, line))
 
-    return F.aggregate(skeleton, _first_long_state(), next_line, lambda state: state.found)
+    return let(skeleton, of_lines)
 
 
 def _god_brace(scanned: Column, opening: str, max_lines: int) -> Column:
     marked = F.regexp_replace(clear_marks(scanned), opening, MARK)
     skeleton = F.split(F.regexp_replace(marked, f"[^{MARK}{{}}\n]++", ""), "\n", -1)
-    return _first_long(skeleton, lambda state, line, depth: depth <= 0, max_lines)
+    return _first_long(skeleton, lambda state, n, line, depth: depth <= 0, max_lines)
 
 
 def _god_indent(scanned: Column, max_lines: int) -> Column:
@@ -279,8 +273,8 @@ def _god_indent(scanned: Column, max_lines: int) -> Column:
     )
     skeleton = F.split(F.regexp_replace(text, f"[^{MARK}{MARK_3}\n]++", ""), "\n", -1)
 
-    def ends(state: Column, line: Column, depth: Column) -> Column:
-        return (state.i > state.start + 1) & F.contains(line, F.lit(MARK_3))
+    def ends(state: Column, n: Column, line: Column, depth: Column) -> Column:
+        return (n > state.start + 1) & F.contains(line, F.lit(MARK_3))
 
     return _first_long(skeleton, ends, max_lines)
 

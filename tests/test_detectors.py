@@ -336,3 +336,40 @@ def test_time_of_cutting_grows_with_the_length(code, lang, function):
         return min(took)
 
     assert seconds(20_000) < 25 * max(seconds(2_000), 0.2)
+
+
+def test_time_of_finding_imports_grows_with_the_length(code):
+    """Imports of one file: ten times as many take about ten times as long."""
+
+    def seconds(n):
+        frame = with_imports(code("Go", "import (\n" + "".join(f'\t"a/b{k}"\n' for k in range(n)) + ")\n"))
+        took = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert frame.select(F.size("imports").alias("n")).first().n == n
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(100_000) < 25 * max(seconds(10_000), 0.2)
+
+
+@pytest.mark.parametrize("page", [1, 2, 7])
+def test_pages_of_a_fold_change_nothing(code, page, monkeypatch):
+    """Blocks, imports and long functions that begin on one page and end on another."""
+    go = "".join(f"func f{k}() {{\n" + "  if x {\n  }\n" * (k % 6) + "}\n\n" for k in range(12))
+    go += "func a() {}\nfunc b() {\n" + "x\n" * 9 + "}\n" + 'import (\n"p"\n\n// c\n"q"\n)\nimport "r"\n'
+    python = "".join(f"@d\ndef f{k}():\n" + "    x\n" * k + "\n# c\n" for k in range(12)) + "z\n"
+
+    def found():
+        frame = code("Go", go, "", "func open() {\n" + "{\n" * 9)
+        both = frame.unionByName(code("Python", python, "\n", python + "def last():\n  x\n" * 3, repo="p"))
+        cut = blocks_of(with_blocks(both, 3)).drop("preview")
+        long = god_functions_of(with_god_function(both, 5))
+        return [sorted(map(tuple, x.collect())) for x in (cut, imports_of(with_imports(both)), long)]
+
+    whole = found()
+    assert len(whole[0]) > 20 and len(whole[1]) == 3 and whole[2]
+    from codestrata.functions import text
+
+    monkeypatch.setattr(text, "PAGE", page)
+    assert found() == whole

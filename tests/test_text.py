@@ -35,13 +35,29 @@ def test_lines_of_any_length(spark):
     assert found[0] == ["a", long, "b"]
 
 
-def test_pages_hold_what_was_added(spark):
-    listed = F.sequence(F.lit(1), F.length("x"))
-    folded = F.aggregate(
-        listed, T.paged("int"), lambda pages, n: T.add_to(pages, F.array(n)), T.all_of
+def test_a_fold_over_pages_finds_all_in_order(spark):
+    """Running sums that end at every third item, and what is left."""
+
+    def step(state, n):
+        over = state.n == 2
+        return F.struct(
+            F.when(over, 0).otherwise(state.n + 1).alias("n"),
+            F.when(over, 0).otherwise(state.total + n).alias("total"),
+            F.when(over, state.total + n).alias("found"),
+        )
+
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(None).cast("int").alias("found")
     )
-    found = apply(spark, lambda x: folded, ["z" * n for n in (1, 63, 64, 65, 1000)])
-    assert found == [list(range(1, n + 1)) for n in (1, 63, 64, 65, 1000)]
+    listed = F.filter(F.sequence(F.lit(1), F.length("x") + 1), lambda n: n <= F.length("x"))
+    found = apply(
+        spark,
+        lambda x: T.found_in_order(listed, start, step, "int", lambda state: F.array(state.total)),
+        ["z" * n for n in (0, 1, 255, 256, 257, 1000)],
+    )
+    for n, sums in zip((0, 1, 255, 256, 257, 1000), found):
+        assert sums[: n // 3] == [9 * k + 6 for k in range(n // 3)]
+        assert sums[n // 3 :] == ([sum(range(n - n % 3 + 1, n + 1))] if n else [])
 
 
 @pytest.mark.parametrize(
