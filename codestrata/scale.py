@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ HOT_KEYS = 1_000
 
 _local_folders: dict[str, str] = {}
 _stored: dict[str, list[str]] = {}
+_scopes = threading.local()
 
 
 def workspace(spark: SparkSession) -> str:
@@ -50,19 +54,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     target = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
-    _stored.setdefault(spark.sparkContext.applicationId, []).append(target)
+    scopes = getattr(_scopes, "open", [])
+    stored = scopes[-1] if scopes else _stored.setdefault(spark.sparkContext.applicationId, [])
+    stored.append(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
+def delete(spark: SparkSession, target: str) -> None:
+    """Delete a folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Folders and files whose paths match ``pattern``, in which ``*`` stands for any name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
 def drop_stored(spark: SparkSession) -> int:
     """Delete the tables that this session stored, when no DataFrame reads them any more."""
     targets = _stored.pop(spark.sparkContext.applicationId, [])
     for target in targets:
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, target)
     return len(targets)
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what `materialize` stores in this thread until the end of the block.
+
+    For work that leaves its results elsewhere, such as a batch of a stream.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for target in scopes.pop():
+            delete(spark, target)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that plus one."""
     bound = BROADCAST_ROWS if max_rows is None else max_rows

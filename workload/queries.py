@@ -545,7 +545,7 @@ def rescan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus(spark, sf_dir)
     older = materialize(_older(files), "older")
     folder = f"{workspace(spark)}/rescan-{uuid.uuid4().hex}"
-    store = watch.ScanStore(spark, f"{folder}/store", buckets=8, compact_every=2)
+    store = watch.ScanStore(spark, f"{folder}/store", buckets=8, merge_at=2)
     store.seed(older)
     now, before = (
         x.select("repo", "path", F.xxhash64("text").alias(name))
