@@ -10,12 +10,14 @@ same rows.
 
 Texts are encoded word by word with the spaces before it: the tokenizer's pattern never joins a
 character with white space behind it, so such parts are encoded on their own, and each different
-part only once per task.
+part only once per task.  The string of an added token is a part of its own, with one id.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,30 +40,35 @@ CAPACITY = 2048
 END_ID = 1
 SMALLEST_CUT = 128
 # Different parts whose ids a task keeps; it starts afresh beyond that.
-CACHED_PARTS = 1 << 20
-# Bytes of texts that are encoded at once.
-RUN_BYTES = 2 << 20
+CACHED_PARTS = 1 << 17
+# Bytes of texts that are encoded at once; the arrays of one step have some 50 times as many.
+RUN_BYTES = 1 << 19
 # Bytes of ids in one batch of the result.
 BATCH_BYTES = 8 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_level_vocabulary(ranks_path: str, pattern: str):
-    """A byte-level vocabulary from its rank file; special tokens in a text are ordinary text."""
+def byte_level_vocabulary(ranks_path: str, pattern: str, special: dict[str, int]):
+    """A byte-level vocabulary from its rank file, and the ids of strings that are one token."""
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def public_vocabulary():
-    """The vocabulary that gives the ids of ``byte_bpe_50k.json``, from its rank file."""
+    """The vocabulary that gives the ids of ``byte_bpe_50k.json``, from its rank file.
+
+    The added tokens of the JSON are found in texts before anything else, as it is done there.
+    """
     import public_tokenizers
 
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
     return byte_level_vocabulary(
-        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added
     )
 
 
@@ -75,6 +82,9 @@ class Encoder:
         self.widths = np.zeros(vocabulary.n_vocab, np.int64)
         for token in vocabulary.token_byte_values():
             self.widths[vocabulary.encode_single_token(token)] = len(token)
+        names = sorted(vocabulary.special_tokens_set, key=len, reverse=True)
+        self.special = {name.encode(): vocabulary.encode_single_token(name) for name in names}
+        self.pattern = re.compile(b"|".join(map(re.escape, self.special))) if names else None
         self._clear()
 
     def _clear(self) -> None:
@@ -83,7 +93,19 @@ class Encoder:
         self.places = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _special_parts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where strings that are one token begin and end in the texts."""
+        if self.pattern is None:
+            return np.zeros(0, np.int64)
+        spans = [match.span() for match in self.pattern.finditer(data.tobytes())]
+        spans = np.array(spans, np.int64).reshape(-1, 2)
+        # A string that reaches from one text into the next is none.
+        own = np.searchsorted(offsets, spans[:, 0], "right")
+        return spans[own == np.searchsorted(offsets, spans[:, 1] - 1, "right")].ravel()
+
     def _encode(self, data: np.ndarray) -> np.ndarray:
+        if (token := self.special.get(data.tobytes())) is not None:
+            return np.array([token], np.uint32)
         text = data.tobytes().decode("utf-8", "replace")
         return np.asarray(self.vocabulary.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
@@ -123,6 +145,9 @@ class Encoder:
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the place where each text's begin."""
         starts = part_starts(data, offsets)
+        special = self._special_parts(data, offsets)
+        if len(special):
+            starts = np.union1d(starts, special[special < len(data)])
         ends = np.append(starts[1:], len(data)).astype(np.int64)
         which, distinct = pd.factorize(span_hashes(self.table[data], starts, ends, self.powers))
         if len(self.known) + len(distinct) > CACHED_PARTS:

@@ -13,9 +13,7 @@ from codestrata.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_round_trip(docs, found, tokenizer):
@@ -69,7 +67,8 @@ def test_parts_are_encoded_as_in_the_whole_text(tokenizer):
     from codestrata.llm.words import text_bytes
 
     texts = ["a  b  \n c\x1c d\x85 e é é　 f ß ç", "  x", "x  ", "\n\n", "it's  'll 12 34!!", "",
-             "x  y", "  z 　\n", "<|endoftext|> a", "ünïcödé  wörds  here\n\n\n.", "😀 😀😀"]
+             "x  y", "  z 　\n", "<|endoftext|> a", "a <|endoftext|> b<|endoftext|><|endoftext|>", "a  <|endoftext|>  c <|endof", "text|> d",
+             "é<|endoftext|>é  ", "<|endoftext|", "<|endoftext|>", "ünïcödé  wörds  here\n\n\n.", "😀 😀😀"]
     encode = packing.Encoder(packing.public_vocabulary())
     for _ in range(2):  # the second time from what is kept
         ids, places = encode(*text_bytes(pa.array(texts)))
