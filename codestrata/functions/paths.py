@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -131,17 +133,37 @@ def is_excluded(path: Column, patterns: tuple[str, ...] | list[str]) -> Column:
     return reduce(lambda a, b: a | b, [_matches_pattern(path, p) for p in patterns], F.lit(False))
 
 
-def layer_of(name: Column) -> Column:
+# Layers and the words, as a pattern, that names of each hold; in order of priority.
+Layers = Sequence[tuple[str, str]]
+
+
+def layer_of(name: Column, layers: Layers = LAYERS) -> Column:
     """First layer, in priority order, with a word in ``name``; NULL if there is none."""
-    return reduce(
-        lambda chain, layer: chain.when(name.rlike(f"(?iu){layer[1]}"), layer[0]),
-        LAYERS[1:],
-        F.when(name.rlike(f"(?iu){LAYERS[0][1]}"), LAYERS[0][0]),
-    )
+    cases = [F.when(name.rlike(f"(?iu){words}"), layer) for layer, words in layers]
+    return F.coalesce(*cases) if cases else F.lit(None).cast("string")
 
 
-def layer_of_path(path: Column, root: str = "") -> Column:
+def layer_of_path(path: Column, root: str = "", layers: Layers = LAYERS) -> Column:
     """Layer of the outermost path component that belongs to any."""
     whole = F.concat(F.lit(root.rstrip("/") + "/"), path) if root else path
-    layers = F.transform(components(whole), layer_of)
-    return F.get(F.filter(layers, lambda layer: layer.isNotNull()), F.lit(0))
+    found = F.transform(components(whole), lambda part: layer_of(part, layers))
+    return F.get(F.filter(found, lambda layer: layer.isNotNull()), F.lit(0))
+
+
+def exclude_regexes(pattern: str) -> tuple[str | None, str | None]:
+    """An exclude pattern as a regex of the whole path, or as one of a single component.
+
+    Both are None for a pattern that hits nothing; an empty regex hits every path.
+    """
+    if pattern.startswith("**/") and pattern.endswith("/**"):
+        name = "".join(map(_literal, pattern[3:].removesuffix("/**")))
+        return f"(?:^|/){name}/", None
+    if not pattern.startswith("**/") and pattern.endswith("/"):
+        name = "".join(map(_literal, pattern[:-1]))
+        return ("" if pattern == "./" else rf"(?:^|/){name}/|^{name}\z"), None
+    glob = pattern.removeprefix("**/")
+    regex = None if "/" in glob else glob_regex(glob)
+    # The root is tested as ".", which Python's own engine can do for a glob of one component.
+    if regex is not None and re.match(regex.replace(r"\z", r"\Z"), "."):
+        return "", None
+    return None, regex

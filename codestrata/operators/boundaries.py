@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.functions.paths import layer_of, layer_of_path
+from codestrata.functions.paths import Layers, layer_of, layer_of_path
 from codestrata.functions.text import (
     NON_SPACE,
     RE_BLANK,
@@ -14,8 +14,11 @@ from codestrata.functions.text import (
     lines,
     trim_space,
 )
-from codestrata.scale import unnest
-from codestrata.schema import FORBIDDEN_PAIRS
+from codestrata.scale import fits_broadcast, unnest
+from codestrata.schema import FORBIDDEN_PAIRS, LAYERS
+
+# Most rows that a table of layers, or of pairs that may not be joined, may have.
+MOST_LAYERS = 1_000
 
 
 def forbidden_table(spark: SparkSession) -> DataFrame:
@@ -114,17 +117,38 @@ def imports_of(files_with_imports: DataFrame) -> DataFrame:
     return unnest(files_with_imports, ["repo", "path"], generator, "ord")
 
 
-def crossing_imports(files_with_imports: DataFrame, root: str = "") -> DataFrame:
+def given_layers(layers: DataFrame) -> list[tuple[str, str]]:
+    """Layers and patterns of a table ``(prio, layer, pattern)``, in order of priority.
+
+    They become literals of an expression, so that a pattern is compiled once in a task and no row
+    is shuffled to be classified; the table may have ``MOST_LAYERS`` rows.
+    """
+    if not fits_broadcast(layers, MOST_LAYERS):
+        raise ValueError(f"a table of layers has {MOST_LAYERS} rows at most")
+    rows = layers.orderBy("prio", "layer", "pattern").select("layer", "pattern").collect()
+    return [tuple(row) for row in rows]
+
+
+def crossing_imports(
+    files_with_imports: DataFrame,
+    root: str = "",
+    layers: Layers = LAYERS,
+    forbidden: DataFrame | None = None,
+) -> DataFrame:
     """Imports whose pair of layers is forbidden, one row per import.
 
-    A path is classified once per file; files outside all layers drop out before their imports
-    are looked at.
+    ``layers`` are those of `given_layers` or the fixed ones, and ``forbidden`` is a table
+    ``(from_layer, to_layer)``.  A path is classified once per file; files outside all layers drop
+    out before their imports are looked at.
     """
-    layer = layer_of_path(F.col("path"), root)
+    layer = layer_of_path(F.col("path"), root, layers)
     layered = files_with_imports.withColumn("from_layer", layer).filter("from_layer IS NOT NULL")
     generator = F.posexplode_outer("imports").alias("ord", "target")
     rows = unnest(layered, ["repo", "path", "from_layer"], generator, "ord")
-    pairs = F.broadcast(forbidden_table(rows.sparkSession))
-    return rows.withColumn("to_layer", layer_of(F.col("target"))).join(
-        pairs, ["from_layer", "to_layer"]
+    pairs = forbidden_table(rows.sparkSession) if forbidden is None else forbidden
+    pairs = pairs.select("from_layer", "to_layer").distinct()
+    if not fits_broadcast(pairs, MOST_LAYERS**2):
+        raise ValueError(f"there are more than {MOST_LAYERS**2} pairs of layers")
+    return rows.withColumn("to_layer", layer_of(F.col("target"), layers)).join(
+        F.broadcast(pairs), ["from_layer", "to_layer"]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import RE_BLANK, let, lines, scanned_text
-from codestrata.scale import unnest
+from codestrata.scale import fits_broadcast, materialize, unnest
 
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 
@@ -107,10 +107,24 @@ def first_k_per_repo(rows: DataFrame, k: int, order: list) -> DataFrame:
 def dead_code(files_with_names: DataFrame) -> DataFrame:
     """``(repo, path, line, name)`` of all definitions whose name occurs once in the repository.
 
-    Reads the names of stored facts, not texts.  A name that a file has twice is not dead.
+    Reads the names of stored facts, not texts.  A name that a file has twice is not dead.  Only
+    names that are defined once can be; where these are few enough to broadcast, occurrences of
+    other names are left out before the shuffle.
     """
     found = may_be_dead(definitions_of(files_with_names)).withColumn("n", F.lit(0))
     names = unnest(files_with_names, ["repo"], F.inline_outer("names"), "name")
+    once = found.groupBy("repo", "name").agg(
+        F.count(F.lit(1)).alias("defined"), F.min("path").alias("path"), F.min("line").alias("line")
+    )
+    once = materialize(once.filter("defined = 1").drop("defined"), "defined-once")
+    if fits_broadcast(once):
+        wanted = F.broadcast(once.select(F.col("repo").alias("r"), F.col("name").alias("d")))
+        same = names.repo.eqNullSafe(wanted.r) & (names.name == wanted.d)
+        uses = names.join(wanted, same, "left_semi").groupBy("repo", "name")
+        single = uses.agg(F.sum("n").alias("n")).filter("n = 1")
+        single = single.select(F.col("repo").alias("r"), F.col("name").alias("d"))
+        same = once.repo.eqNullSafe(single.r) & (once.name == single.d)
+        return once.join(single, same, "left_semi").select("repo", "path", "line", "name")
     blank = [F.lit(None).cast(kind).alias(name) for name, kind in (("path", "string"), ("line", "int"))]
     # Definitions and occurrences meet in one aggregation, combined in each task.
     rows = found.select("repo", "name", "path", "line", "n").unionByName(

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.functions import paths
 from codestrata.functions.paths import (
     components,
+    exclude_regexes,
     extension,
     in_skipped_directory,
     is_excluded,
 )
 from codestrata.options import ScanOptions
-from codestrata.scale import attach
+from codestrata.scale import attach, materialize
 from codestrata.schema import DETECTED_EXTENSIONS, SOURCE_EXTENSIONS, UNKNOWN
 
+# Patterns are translated in tasks, whose machines need no copy of this package.
+cloudpickle.register_pickle_by_value(paths)
+
 
 def language_of(extension_: Column, known: dict[str, str]) -> Column:
     pairs = [F.lit(value) for pair in known.items() for value in pair]
@@ -29,6 +38,43 @@ def drop_excluded(files: DataFrame, patterns: tuple[str, ...] | list[str]) -> Da
     return files.filter(~is_excluded(F.col("path"), patterns)) if patterns else files
 
 
+def compiled_excludes(excludes: DataFrame) -> DataFrame:
+    """``(repo, whole, part)`` of ``(repo, pattern)``: a regex of paths, and one of components.
+
+    A row for each repository that has patterns, with all of its own as alternatives, so that a
+    task compiles them once while it sees files of that repository.
+    """
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = [exclude_regexes(pattern) for pattern in batch["pattern"]]
+            wholes, parts = zip(*pairs) if pairs else ((), ())
+            yield pd.DataFrame({"repo": batch["repo"], "whole": wholes, "part": parts}, dtype=object)
+
+    given = excludes.filter("pattern IS NOT NULL").select("repo", "pattern").distinct()
+    rows = given.mapInPandas(compiled, "repo string, whole string, part string")
+    either = (F.array_join(F.collect_list(name), "|").alias(name) for name in ("whole", "part"))
+    some = (F.count(name).alias(f"{name}s") for name in ("whole", "part"))
+    found = rows.groupBy("repo").agg(*either, *some)
+    whole, part = (F.when(F.col(f"{name}s") > 0, F.col(name)) for name in ("whole", "part"))
+    return found.select("repo", whole.alias("whole"), part.alias("part"))
+
+
+def drop_excluded_by_repo(files: DataFrame, excludes: DataFrame) -> DataFrame:
+    """Files that no exclude pattern of their own repository hits.
+
+    ``excludes`` is ``(repo, pattern)``, a row for each pattern; patterns mean what they mean in
+    `drop_excluded`.  Repositories without patterns keep all files; only hot ones are treated apart
+    where there are too many to broadcast.
+    """
+    counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("n_paths"))
+    known = counts.join(compiled_excludes(excludes), "repo", "left")
+    joined = attach(files, materialize(known, "excludes"), ["repo"], "n_paths")
+    whole = F.coalesce(F.rlike(F.col("path"), F.col("whole")), F.lit(False))
+    inside = F.exists(components(F.col("path")), lambda part: F.rlike(part, F.col("part")))
+    return joined.filter(~whole & ~F.coalesce(inside, F.lit(False))).select(*files.columns)
+
+
 def _directories_with_extension(files: DataFrame) -> DataFrame:
     """Directories whose own name ends like a source file, one row each."""
     parts = components(F.col("path"))

@@ -14,6 +14,7 @@ from codestrata.operators.duplicates import duplicate_blocks, severity_of_copies
 from codestrata.operators.languages import (
     candidate_files,
     detect_language,
+    drop_excluded_by_repo,
     in_language,
     source_files,
 )
@@ -291,12 +292,19 @@ def count_sources(languages: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, options: ScanOptions = ScanOptions()) -> Scan:
+def scan(
+    files: DataFrame,
+    options: ScanOptions = ScanOptions(),
+    excludes: DataFrame | None = None,
+) -> Scan:
     """Scan a corpus ``(repo, path, text)`` of any number of repositories.
 
-    Stored on the way: the languages, and the file facts, which replace the texts.
+    ``excludes`` is a table ``(repo, pattern)`` of what single repositories leave out, on top of the
+    patterns of ``options``; languages are detected from all files.  Stored on the way: the languages, and the file facts, which replace the texts.
     """
     languages = materialize(detect_language(files), "languages")
+    if excludes is not None:
+        files = drop_excluded_by_repo(files, excludes)
     sources = source_files(files, languages, options)
     if fits_broadcast(languages):
         facts = materialize(file_facts(sources, options), "facts")

@@ -628,6 +628,12 @@ ORACLE: dict[str, str] = {
     WHERE coalesce(prefix, '') NOT IN ('x/migrations/', 'gen/')
       AND NOT regexp_matches(path, '(^|/)f[^/]*7_0\\.[^/]*(/|$)')
       AND NOT regexp_matches(path, '(^|/)f[^/]_[0-9]\\.py(/|$)')""",
+    "exclude_by_repo": _BASE
+    + """SELECT repo, path FROM corpus
+    WHERE CASE WHEN regexp_matches(repo, '[02468]$')
+      THEN coalesce(prefix, '') <> 'x/migrations/'
+        AND NOT regexp_matches(path, '(^|/)f[^/]*7_0\\.[^/]*(/|$)')
+      ELSE coalesce(prefix, '') <> 'gen/' AND NOT regexp_matches(path, '(^|/)f[^/]_[0-9]\\.py(/|$)') END""",
     "detect_language": _BASE + "SELECT repo, language, n_files FROM languages",
     "source_files": _BASE + "SELECT repo, path, lang FROM sources",
     "text_prefix": """
@@ -720,6 +726,25 @@ ORACLE: dict[str, str] = {
     FROM links JOIN placed USING (path)
     WHERE (from_layer, {_layer("target")}) IN (('presentation', 'infrastructure'),
       ('presentation', 'domain'), ('application', 'infrastructure'))""",
+    "custom_layers": f"""
+    WITH links AS (
+      SELECT url AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target,
+        generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS ord
+      FROM pages
+    ),
+    parts AS (
+      SELECT path, unnest(string_split(path, '/')) AS part,
+        generate_subscripts(string_split(path, '/'), 1) AS nth
+      FROM (SELECT DISTINCT path FROM links)
+    ),
+    placed AS (
+      SELECT path, arg_min(layer, nth) AS from_layer
+      FROM (SELECT path, nth, CASE WHEN regexp_matches(part, '(?i)www|//') THEN 'top' WHEN regexp_matches(part, '[0-9]{{2}}') THEN 'deep' WHEN regexp_matches(part, '(?i)[a-z]') THEN 'rest' END AS layer FROM parts)
+      WHERE layer IS NOT NULL GROUP BY path
+    )
+    SELECT path, ord, target, from_layer, CASE WHEN regexp_matches(target, '(?i)www|//') THEN 'top' WHEN regexp_matches(target, '[0-9]{{2}}') THEN 'deep' WHEN regexp_matches(target, '(?i)[a-z]') THEN 'rest' END AS to_layer
+    FROM links JOIN placed USING (path)
+    WHERE (from_layer, CASE WHEN regexp_matches(target, '(?i)www|//') THEN 'top' WHEN regexp_matches(target, '[0-9]{{2}}') THEN 'deep' WHEN regexp_matches(target, '(?i)[a-z]') THEN 'rest' END) IN (('rest', 'top'), ('deep', 'top'), ('deep', 'rest'), ('rest', 'deep'))""",
     "definitions": _BASE + "SELECT repo, path, line, name FROM defs",
     "identifier_frequency": """
     SELECT lang AS repo, name, count(*) AS n FROM (

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.functions.paths import layer_of, layer_of_path
 from codestrata.operators import deadcode, duplicates, naming, results
-from codestrata.operators.boundaries import crossing_imports, imports_of, with_imports
+from codestrata.operators.boundaries import (
+    crossing_imports,
+    given_layers,
+    imports_of,
+    with_imports,
+)
 from codestrata.operators.languages import (
     detect_language,
     drop_excluded,
+    drop_excluded_by_repo,
     drop_skipped,
     source_files,
 )
@@ -204,14 +210,32 @@ def identifier_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadcode.identifier_frequency(deadcode.with_names(files))
 
 
-def page_link_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files and their links as imports."""
-    pages = table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").select(
         F.lit("web").alias("repo"),
         F.col("url").alias("path"),
         F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("imports"),
     )
-    return crossing_imports(pages).select("path", "ord", "target", "from_layer", "to_layer")
+
+
+def page_link_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crossing_imports(_page_links(spark, sf_dir))
+    return found.select("path", "ord", "target", "from_layer", "to_layer")
+
+
+# Layers of a site of one's own, by priority, and links that they may not have.
+SITE_LAYERS = [(2, "deep", "[0-9]{2}"), (1, "top", "www|//"), (3, "rest", "[a-z]")]
+SITE_PAIRS = [("rest", "top"), ("deep", "top"), ("deep", "rest"), ("rest", "deep")]
+
+
+def custom_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tables of layers and of forbidden pairs."""
+    layers = spark.createDataFrame(SITE_LAYERS, "prio int, layer string, pattern string")
+    pairs = spark.createDataFrame(SITE_PAIRS, "from_layer string, to_layer string")
+    links = _page_links(spark, sf_dir)
+    found = crossing_imports(links, layers=given_layers(layers), forbidden=pairs)
+    return found.select("path", "ord", "target", "from_layer", "to_layer")
 
 
 # The derived code corpus -----------------------------------------------------------------------
@@ -255,6 +279,20 @@ def exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_excluded(corpus(spark, sf_dir), EXCLUDES).select("repo", "path")
 
 
+def excludes_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the patterns for repositories that end in an even digit, the others for the rest."""
+    even = F.substring("repo", -1, 1).isin(*"02468")
+    first, second = (F.array(*map(F.lit, some)) for some in (EXCLUDES[:2], EXCLUDES[2:]))
+    repos = corpus(spark, sf_dir).select("repo").distinct()
+    return repos.select("repo", F.explode(F.when(even, first).otherwise(second)).alias("pattern"))
+
+
+def exclude_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the patterns of their own repository leave."""
+    patterns = excludes_by_repo(spark, sf_dir)
+    return drop_excluded_by_repo(corpus(spark, sf_dir), patterns).select("repo", "path")
+
+
 def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_language(corpus(spark, sf_dir))
 
@@ -582,6 +620,7 @@ QUERIES: dict[str, Query] = {
     "read_corpus": read_tree,
     "skip_dirs": skip_dirs,
     "exclude": exclude,
+    "exclude_by_repo": exclude_by_repo,
     "detect_language": detect,
     "source_files": source_paths,
     "text_prefix": text_prefix,
@@ -607,6 +646,7 @@ QUERIES: dict[str, Query] = {
     "import_layers": import_layers,
     "boundary_violations": boundary_violations,
     "page_link_boundaries": page_link_boundaries,
+    "custom_layers": custom_layers,
     "definitions": definitions,
     "identifier_frequency": identifier_frequency,
     "code_identifier_frequency": code_identifier_frequency,
