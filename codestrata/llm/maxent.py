@@ -465,7 +465,9 @@ def _sub_features(
         at, node, child = tree.choices(cells, level)
         name = mix(node.astype(np.uint64) * np.uint64(LEVELS) + np.uint64(level))
         owners.append(at)
-        rows.append((mix(contexts.take(at, axis=0) + name[:, None]) % np.uint64(n_rows)).astype(np.int64))
+        # The number of rows is a power of two.
+        found = mix(contexts.take(at, axis=0) + name[:, None]) & np.uint64(n_rows - 1)
+        rows.append(found.view(np.int64))
         wanted.append(child)
         logs.append(tree.logs[level].take(node, axis=0))
     return tuple(np.concatenate(x) for x in (owners, rows, wanted, logs))
@@ -511,15 +513,22 @@ class Table:
     def step(self, rows: np.ndarray, wanted: np.ndarray, offsets: np.ndarray) -> None:
         if not len(wanted):
             return
-        off = _logits(self.weights, rows, offsets)
+        # Each row with the place it is met at, sorted as one number: the table is read in order, once.
+        packed = rows.ravel() << 32
+        packed |= np.arange(rows.size)
+        packed.sort()
+        places = packed & 0xFFFFFFFF
+        packed >>= 32
+        starts, lengths = run_lengths(packed)
+        met = packed[starts]
+        own = self.weights.take(met, axis=0)
+        row_of = np.empty(rows.size, np.int64)
+        row_of[places] = np.repeat(np.arange(len(met)), lengths)
+        off = _logits(own, row_of.reshape(rows.shape), offsets)
         np.exp(off, out=off)
         off /= _sums(off)[:, None]
         off[np.arange(len(wanted)), wanted] -= 1
-        # Each row with the number of its token, sorted as one number.
-        packed = np.sort(((rows << 32) | np.arange(len(rows))[:, None]).ravel())
-        flat = packed >> 32
-        starts, lengths = run_lengths(flat)
-        owners = packed & 0xFFFFFFFF
+        owners = places // rows.shape[1]
         slope = off.take(owners[starts], axis=0)
         more = np.flatnonzero(lengths > 1)
         if len(more):
@@ -528,12 +537,11 @@ class Table:
                 np.cumsum(lengths[more]) - lengths[more],
                 axis=0,
             )
-        met = flat[starts]
-        own = self.weights.take(met, axis=0)
         slope += own * (PENALTY * lengths).astype(np.float32)[:, None]
         squares = self.squares[met] + np.einsum("ij,ij->i", slope, slope) / slope.shape[1]
         self.squares[met] = squares
-        own -= slope * (self.rate / np.sqrt(squares))[:, None]
+        slope *= (self.rate / np.sqrt(squares))[:, None]
+        own -= slope
         self.weights[met] = own
         self.counts[met] += lengths
 
