@@ -377,13 +377,15 @@ def keep_identified(
     id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
-    least_share: float = 0.5,
     modulus: int = 4,
     remainder: int = 2,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language in ``least_share`` of its words.
+    """The rows of ``docs``, all columns, whose text has a language.
 
-    Texts that `identify` finds to be ``und`` go.
+    Texts that `identify` finds to be ``und`` go: null ones and those without a letter.  A text in
+    several languages stays, whatever their shares.  Without a labelled row to learn from there is
+    nothing to judge by, and all rows stay.  Rows that share an id are judged one by one; texts of
+    any length are read whole; an empty table gives no rows.
     """
     field = fit(
         docs.select(
@@ -395,7 +397,7 @@ def keep_identified(
         remainder,
     )
     if not field.languages:
-        return docs.limit(0)
+        return docs
     carried = docs.select(docs[text_column].alias("text"), F.struct("*").alias("row"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,8 +405,8 @@ def keep_identified(
         for batch in batches:
             texts, rows = batch.column(0), batch.column(1)
             for first, last, words in text_runs(batch, "text", lower=True):
-                languages, score, _ = label(words, texts.slice(first, last - first))
-                keep = pa.array((languages != NO_LANGUAGE) & (score >= least_share))
+                languages, _, _ = label(words, texts.slice(first, last - first))
+                keep = pa.array(languages != NO_LANGUAGE)
                 own = rows.slice(first, last - first).filter(keep)
                 yield pa.RecordBatch.from_arrays([own], ["row"])
 

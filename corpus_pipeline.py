@@ -14,7 +14,7 @@ from codestrata.scale import materialize
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without one in half of their words go."""
+    """Documents in a language: null ones and those without a letter go."""
     return language.keep_identified(docs)
 
 

@@ -71,3 +71,15 @@ def test_nothing_to_learn_from(spark, no_docs, found):
     assert language.keep_identified(no_docs).collect() == []
     unlabelled = corpus.table(spark, [(1, "some words", None, *found[0][3:])])
     assert [tuple(r) for r in language.identify(unlabelled).collect()] == [(1, False, "und", 0.0)]
+
+
+def test_a_text_in_three_languages_stays(spark, found):
+    rng = random.Random(9)
+    text = " ".join(corpus.prose(rng, 40, lang) for lang in ("en", "de", "fr"))
+    mixed = corpus.table(spark, [*found, (900, text, "en", *found[0][3:])])
+    assert 900 in {row["doc_id"] for row in language.keep_identified(mixed).collect()}
+
+
+def test_all_rows_stay_without_labels(spark, found):
+    unlabelled = corpus.table(spark, [(*r[:2], None, *r[3:]) for r in found])
+    assert language.keep_identified(unlabelled).count() == len(found)
