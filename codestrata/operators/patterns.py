@@ -13,6 +13,10 @@ from codestrata.scale import unnest
 from codestrata.schema import CRITICAL, INFO, WARNING
 
 
+# One text for all rules, with the rule's identifier.
+WHAT_TO_DO = "Rework what %s points at, or exclude the path."
+
+
 @dataclass(frozen=True)
 class Rule:
     """A rule; ``pattern`` is None for a rule with an operator of its own."""
@@ -23,10 +27,13 @@ class Rule:
     pattern: str | None
     title: str
     description: str
-    suggestion: str
     # Every match holds one of these literals; texts without them are not searched.
     literals: tuple[str, ...] = ()
 
+    @property
+    def suggestion(self) -> str:
+        return WHAT_TO_DO % self.rule_id
+
 
 _ALL = ("Go", "Python", "Java", "TypeScript", "JavaScript")
 
@@ -41,7 +48,6 @@ RULES = [
         rf"_(?<!{WORD}_){RE_SPACE}*={RE_SPACE}*{WORD}+\.{WORD}+\(",
         "Result of a call thrown away",
         "A call's result is assigned to the blank name, so a failure leaves no trace.",
-        "Check the returned error and log, wrap or return it.",
     ),
     Rule(
         "bare-panic",
@@ -50,7 +56,6 @@ RULES = [
         rf"p(?<!{WORD}p)anic\(",
         "Panic instead of an error value",
         "The code stops the process where a caller could have handled an error.",
-        "Return an error and let the caller decide.",
         ("panic(",),
     ),
     Rule(
@@ -60,7 +65,6 @@ RULES = [
         rf"except({RE_SPACE}+Exception)?{RE_SPACE}*:",
         "Handler that catches everything",
         "An except clause without a specific type hides faults that nobody expected.",
-        "Name the exception types this code can deal with.",
         ("except",),
     ),
     Rule(
@@ -70,7 +74,6 @@ RULES = [
         rf"(?=[fpS]){WORD_START}(fmt\.Println|fmt\.Printf|print\(|System\.out\.print)",
         "Output by print statement",
         "Text goes straight to standard output and bypasses the logger.",
-        "Write through the project's logger at a fitting level.",
         ("fmt.Print", "print(", "System.out.print"),
     ),
     Rule(
@@ -81,7 +84,6 @@ RULES = [
         rf"[\"'][A-Za-z0-9+/=_\-]{{10,}}[\"'])",
         "Secret written into the source",
         "A literal next to a credential's name looks like a real key or password.",
-        "Load it from a secret store or the environment, and revoke the old one.",
     ),
     Rule(
         "todo-fixme-critical",
@@ -90,7 +92,6 @@ RULES = [
         rf"(?iu:(?=[tfhx])){WORD_START}(?iu:TODO|FIXME|HACK|XXX){WORD_END}",
         "Open marker comment",
         "A marker for unfinished work was left in the code.",
-        "Move it to the issue tracker and delete the marker.",
     ),
     Rule(
         "god-function",
@@ -99,7 +100,6 @@ RULES = [
         None,
         "Function too long",
         "A function is longer than the limit and likely does several things.",
-        "Split it into functions with one task each.",
     ),
 ]
 RULE_NO = {rule.rule_id: n for n, rule in enumerate(RULES)}

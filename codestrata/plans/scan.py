@@ -19,7 +19,7 @@ from codestrata.operators.languages import (
     source_files,
 )
 from codestrata.operators.naming import naming_go, naming_python
-from codestrata.operators.patterns import RULE_NO, RULES, all_refs, hits_of
+from codestrata.operators.patterns import RULE_NO, RULES, WHAT_TO_DO, all_refs, hits_of
 from codestrata.operators.segment import god_functions_of
 from codestrata.options import ScanOptions
 from codestrata.plans.facts import file_facts
@@ -222,10 +222,7 @@ def detect_boundaries(facts: DataFrame, options: ScanOptions) -> Found:
             "from_layer",
             "to_layer",
         ),
-        suggestion=F.format_string(
-            "Declare an interface in the %s layer and have the implementation passed in.",
-            "from_layer",
-        ),
+        suggestion=F.lit(WHAT_TO_DO % "layer-boundary"),
     )
     return _with_refs(found, F.array("path"))
 

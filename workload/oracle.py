@@ -35,7 +35,7 @@ _RULES = [
         ('Go',),
         'Result of a call thrown away',
         "A call's result is assigned to the blank name, so a failure leaves no trace.",
-        'Check the returned error and log, wrap or return it.',
+        'Rework what silent-error points at, or exclude the path.',
     ),
     (
         'bare-panic',
@@ -43,7 +43,7 @@ _RULES = [
         ('Go',),
         'Panic instead of an error value',
         'The code stops the process where a caller could have handled an error.',
-        'Return an error and let the caller decide.',
+        'Rework what bare-panic points at, or exclude the path.',
     ),
     (
         'broad-except',
@@ -51,7 +51,7 @@ _RULES = [
         ('Python',),
         'Handler that catches everything',
         'An except clause without a specific type hides faults that nobody expected.',
-        'Name the exception types this code can deal with.',
+        'Rework what broad-except points at, or exclude the path.',
     ),
     (
         'print-debug',
@@ -59,7 +59,7 @@ _RULES = [
         ('Go', 'Python', 'Java'),
         'Output by print statement',
         'Text goes straight to standard output and bypasses the logger.',
-        "Write through the project's logger at a fitting level.",
+        'Rework what print-debug points at, or exclude the path.',
     ),
     (
         'hardcoded-secret',
@@ -67,7 +67,7 @@ _RULES = [
         ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
         'Secret written into the source',
         "A literal next to a credential's name looks like a real key or password.",
-        'Load it from a secret store or the environment, and revoke the old one.',
+        'Rework what hardcoded-secret points at, or exclude the path.',
     ),
     (
         'todo-fixme-critical',
@@ -75,7 +75,7 @@ _RULES = [
         ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
         'Open marker comment',
         'A marker for unfinished work was left in the code.',
-        'Move it to the issue tracker and delete the marker.',
+        'Rework what todo-fixme-critical points at, or exclude the path.',
     ),
     (
         'god-function',
@@ -83,7 +83,7 @@ _RULES = [
         ('Go', 'Python', 'Java', 'TypeScript', 'JavaScript'),
         'Function too long',
         'A function is longer than the limit and likely does several things.',
-        'Split it into functions with one task each.',
+        'Rework what god-function points at, or exclude the path.',
     ),
 ]
 _FIELDS = ["rule_id", "severity", "languages", "title", "description", "suggestion"]
@@ -340,8 +340,7 @@ v AS (
     'BoundaryViolation', 'Import from ' || to_layer || ' into ' || from_layer,
     '`' || path || '` is in the ' || from_layer || ' layer and imports straight from the '
       || to_layer || ' layer.' || chr(10) || 'The layers in between are skipped.',
-    'Declare an interface in the ' || from_layer
-      || ' layer and have the implementation passed in.', 1
+    'Rework what layer-boundary points at, or exclude the path.', 1
   FROM crossing
 ),
 refs AS (
