@@ -129,6 +129,14 @@ def given_layers(layers: DataFrame) -> list[tuple[str, str]]:
     return [tuple(row) for row in rows]
 
 
+def given_pairs(pairs: DataFrame) -> list[tuple[str, str]]:
+    """Forbidden pairs of a table ``(from_layer, to_layer)``, which has a bounded number of rows."""
+    pairs = pairs.select("from_layer", "to_layer").distinct()
+    if not fits_broadcast(pairs, MOST_LAYERS**2):
+        raise ValueError(f"there are more than {MOST_LAYERS**2} pairs of layers")
+    return sorted(tuple(row) for row in pairs.dropna().collect())
+
+
 def crossing_imports(
     files_with_imports: DataFrame,
     root: str = "",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import RE_SPACE, WORD, WORD_END, WORD_START, line_of_matches
-from codestrata.scale import unnest
+from codestrata.scale import fits_broadcast, unnest
 from codestrata.schema import CRITICAL, INFO, WARNING
 
 
 # One text for all rules, with the rule's identifier.
 WHAT_TO_DO = "Rework what %s points at, or exclude the path."
+# Rows a table of rules may have.
+MOST_RULES = 200
 
 
 @dataclass(frozen=True)
@@ -29,10 +33,11 @@ class Rule:
     description: str
     # Every match holds one of these literals; texts without them are not searched.
     literals: tuple[str, ...] = ()
+    advice: str | None = None
 
     @property
     def suggestion(self) -> str:
-        return WHAT_TO_DO % self.rule_id
+        return self.advice or WHAT_TO_DO % self.rule_id
 
 
 _ALL = ("Go", "Python", "Java", "TypeScript", "JavaScript")
@@ -106,6 +111,42 @@ RULE_NO = {rule.rule_id: n for n, rule in enumerate(RULES)}
 PATTERN_RULES = [rule for rule in RULES if rule.pattern]
 
 
+def given_rules(rules: DataFrame) -> tuple[Rule, ...]:
+    """Rules of a table ``(rule_id, severity, languages, pattern, title, description, suggestion)``.
+
+    They become literals of an expression, so that a pattern is compiled once in a task and no text
+    is shuffled or read again for a rule; the table may have ``MOST_RULES`` rows.  They stand by
+    identifier.  Null languages are all, a null title or description is the identifier, a null
+    suggestion the common one.  Raises where an identifier is null, there twice or a fixed one's,
+    where a severity is unknown, and where a pattern is null, matches an empty text, or refers to
+    its groups.
+    """
+    if not fits_broadcast(rules, MOST_RULES):
+        raise ValueError(f"a table of rules has {MOST_RULES} rows at most")
+    columns = ["rule_id", "severity", "languages", "pattern", "title", "description", "suggestion"]
+    empty = F.expr("regexp_like('', pattern)").alias("empty")
+    found, taken = [], set(RULE_NO) | {None}
+    for row in rules.select(*columns, empty).orderBy("rule_id").collect():
+        rule_id, severity, languages, pattern, title, description, advice, matches_empty = row
+        if rule_id in taken:
+            raise ValueError(f"rule identifier {rule_id} is null or taken")
+        if severity not in (CRITICAL, WARNING, INFO):
+            raise ValueError(f"rule {rule_id} has no known severity")
+        if matches_empty is not False or re.search(r"\\[1-9]|\\k<", pattern):
+            raise ValueError(f"the pattern of rule {rule_id} is null, matches nothing or refers to a group")
+        taken.add(rule_id)
+        languages = _ALL if languages is None else tuple(languages)
+        texts = (title or rule_id, description or rule_id)
+        found.append(Rule(rule_id, severity, languages, pattern, *texts, advice=advice))
+    return tuple(found)
+
+
+def rule_numbers(rules: Sequence[Rule]) -> dict[str, int]:
+    """Number of each rule: the fixed ones' own, and behind them those of further ``rules``."""
+    further = [rule.rule_id for rule in rules if rule.rule_id not in RULE_NO]
+    return RULE_NO | {rule_id: len(RULES) + n for n, rule_id in enumerate(further)}
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
     """The rules as a table: ``(rule_no, rule_id, title, severity, languages, pattern)``."""
     return spark.createDataFrame(
@@ -136,14 +177,14 @@ def cap_locations(refs: Column, n: int = 5) -> Column:
 
 
 def rule_hits(
-    text: Column, lang: Column | None, rules: list[Rule] = PATTERN_RULES
+    text: Column, lang: Column | None, rules: Sequence[Rule] = PATTERN_RULES
 ) -> Column:
     """Rules with a match, and the lines of all matches: ``array<struct<rule_no,lines>>``.
 
     Each rule reads a text once, and only texts in one of its languages; without ``lang`` it
     reads all.
     """
-    hits = []
+    hits, numbers = [], rule_numbers(rules)
     for rule in rules:
         found = line_of_matches(text, rule.pattern)
         applies = F.lit(True) if lang is None else lang.isin(*rule.languages)
@@ -152,7 +193,7 @@ def rule_hits(
             applies = applies & reduce(lambda a, b: a | b, held)
         hits.append(
             F.struct(
-                F.lit(RULE_NO[rule.rule_id]).alias("rule_no"),
+                F.lit(numbers[rule.rule_id]).alias("rule_no"),
                 F.when(applies, found).alias("lines"),
             )
         )
@@ -160,7 +201,7 @@ def rule_hits(
 
 
 def with_hits(
-    files: DataFrame, rules: list[Rule] = PATTERN_RULES, any_language: bool = False
+    files: DataFrame, rules: Sequence[Rule] = PATTERN_RULES, any_language: bool = False
 ) -> DataFrame:
     """Add ``hits``; with ``any_language`` the files need no ``lang``."""
     lang = None if any_language else F.col("lang")

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class ScanOptions:
-    """Thresholds, toggles and path filters of one scan.
+    """Thresholds, toggles, path filters and own rules of one scan.
 
-    ``dead_code`` is off by default: the default scan runs the four standard detectors.
+    ``dead_code`` is off by default: the default scan runs the four standard detectors.  ``rules``
+    come on top of the fixed ones (`given_rules` reads them from a table); ``layers`` and
+    ``forbidden`` replace the fixed layers and pairs (`given_layers`, `given_pairs`).
     """
 
     exclude: tuple[str, ...] = field(default_factory=tuple)
@@ -22,6 +24,10 @@ class ScanOptions:
     naming: bool = True
     boundaries: bool = True
     dead_code: bool = False
+    rules: tuple = ()
+    layers: tuple[tuple[str, str], ...] = ()
+    forbidden: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "exclude", tuple(self.exclude))
+        for name in ("exclude", "rules", "layers", "forbidden"):
+            object.__setattr__(self, name, tuple(getattr(self, name)))

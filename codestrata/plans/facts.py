@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codestrata.operators.boundaries import import_targets
 from codestrata.operators.deadcode import definition_names, name_counts
 from codestrata.operators.naming import naming_styles
-from codestrata.operators.patterns import rule_hits
+from codestrata.operators.patterns import PATTERN_RULES, rule_hits
 from codestrata.operators.segment import function_blocks, god_functions
 from codestrata.options import ScanOptions
 
@@ -23,7 +23,7 @@ def _fact_columns(application: str, options: ScanOptions) -> tuple[Column, ...]:
     names = [definition_names(text, lang).alias("definitions"), name_counts(text).alias("names")]
     return (
         function_blocks(text, lang, options.duplicate_min_lines).alias("blocks"),
-        rule_hits(text, lang).alias("hits"),
+        rule_hits(text, lang, (*PATTERN_RULES, *options.rules)).alias("hits"),
         god_functions(text, lang, options.god_function_lines).alias("god"),
         import_targets(text, lang).alias("imports"),
         naming_styles(text, lang).alias("naming"),

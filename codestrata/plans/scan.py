@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,7 @@ from codestrata.schema import (
     DEAD_CODE,
     DETECTORS,
     DUPLICATION,
+    LAYERS,
     NAMING,
     REF_COLUMNS,
     REFS,
@@ -114,7 +115,7 @@ def detect_patterns(facts: DataFrame, options: ScanOptions) -> Found:
     """One violation per file and rule."""
 
     def text_of(field: str) -> Column:
-        values = [F.lit(getattr(rule, field)) for rule in RULES]
+        values = [F.lit(getattr(rule, field)) for rule in (*RULES, *options.rules)]
         return F.get(F.array(*values), F.col("rule_no"))
 
     rows = hits_of(facts)
@@ -206,7 +207,11 @@ def detect_naming(facts: DataFrame, options: ScanOptions) -> Found:
 
 def detect_boundaries(facts: DataFrame, options: ScanOptions) -> Found:
     """One violation per forbidden import."""
-    rows = crossing_imports(facts, options.root)
+    forbidden = None
+    if options.forbidden:
+        schema = "from_layer string, to_layer string"
+        forbidden = facts.sparkSession.createDataFrame(list(options.forbidden), schema)
+    rows = crossing_imports(facts, options.root, options.layers or LAYERS, forbidden)
     found = _violations(
         rows,
         BOUNDARY,
@@ -268,13 +273,19 @@ def detectors(options: ScanOptions) -> list[Detector]:
 
 
 def scan_facts(
-    facts: DataFrame, repos: DataFrame, options: ScanOptions = ScanOptions()
+    facts: DataFrame,
+    repos: DataFrame,
+    options: ScanOptions = ScanOptions(),
+    further: Sequence[Detector] = (),
 ) -> Scan:
-    """Run the detectors over stored facts and unite what they find, which may be nothing."""
+    """Run the detectors over stored facts and unite what they find, which may be nothing.
+
+    ``further`` detectors run behind those of ``options``.
+    """
     spark = facts.sparkSession
     violations = spark.createDataFrame([], VIOLATIONS)
     refs = spark.createDataFrame([], REFS)
-    for detect in detectors(options):
+    for detect in (*detectors(options), *further):
         more_violations, more_refs = detect(facts, options)
         violations = violations.unionByName(more_violations)
         refs = refs.unionByName(more_refs)
@@ -293,6 +304,7 @@ def scan(
     files: DataFrame,
     options: ScanOptions = ScanOptions(),
     excludes: DataFrame | None = None,
+    further: Sequence[Detector] = (),
 ) -> Scan:
     """Scan a corpus ``(repo, path, text)`` of any number of repositories.
 
@@ -310,4 +322,4 @@ def scan(
         candidates = file_facts(candidate_files(files, options), options)
         facts = in_language(materialize(candidates, "candidate-facts"), languages)
         facts = materialize(facts, "facts")
-    return scan_facts(facts, count_sources(languages, facts), options)
+    return scan_facts(facts, count_sources(languages, facts), options, further)

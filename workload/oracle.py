@@ -294,6 +294,12 @@ py_names AS (
 """
 )
 
+# What the patterns of its own repository leave.
+_KEPT_BY_REPO = """CASE WHEN regexp_matches(repo, '[02468]$')
+      THEN coalesce(prefix, '') <> 'x/migrations/'
+        AND NOT regexp_matches(path, '(^|/)f[^/]*7_0\\.[^/]*(/|$)')
+      ELSE coalesce(prefix, '') <> 'gen/' AND NOT regexp_matches(path, '(^|/)f[^/]_[0-9]\\.py(/|$)') END"""
+
 _SCAN = (
     _BASE
     + f""",
@@ -627,12 +633,7 @@ ORACLE: dict[str, str] = {
     WHERE coalesce(prefix, '') NOT IN ('x/migrations/', 'gen/')
       AND NOT regexp_matches(path, '(^|/)f[^/]*7_0\\.[^/]*(/|$)')
       AND NOT regexp_matches(path, '(^|/)f[^/]_[0-9]\\.py(/|$)')""",
-    "exclude_by_repo": _BASE
-    + """SELECT repo, path FROM corpus
-    WHERE CASE WHEN regexp_matches(repo, '[02468]$')
-      THEN coalesce(prefix, '') <> 'x/migrations/'
-        AND NOT regexp_matches(path, '(^|/)f[^/]*7_0\\.[^/]*(/|$)')
-      ELSE coalesce(prefix, '') <> 'gen/' AND NOT regexp_matches(path, '(^|/)f[^/]_[0-9]\\.py(/|$)') END""",
+    "exclude_by_repo": _BASE + f"SELECT repo, path FROM corpus WHERE {_KEPT_BY_REPO}",
     "detect_language": _BASE + "SELECT repo, language, n_files FROM languages",
     "source_files": _BASE + "SELECT repo, path, lang FROM sources",
     "text_prefix": """
@@ -774,6 +775,31 @@ ORACLE: dict[str, str] = {
     + """SELECT l.repo, count(s.path) AS total_files, 0 AS violation_count, 0 AS duplicate_sets,
       0 AS broken_boundaries, 0 AS anti_patterns
     FROM languages l LEFT JOIN sources s USING (repo) GROUP BY l.repo""",
+    "scan_with_options": _SCAN.replace("END = language\n", f"END = language AND {_KEPT_BY_REPO}\n")
+    .replace("n_inner + 1 > 80", "n_inner + 1 > 60")
+    .replace("THEN 1 ELSE 2 END >= 8", "THEN 1 ELSE 2 END >= 12")
+    + """SELECT repo, vkey, rule_id, severity, category, path, line, title, n_refs FROM v
+      WHERE category <> 'BoundaryViolation' OR title = 'Import from infrastructure into presentation'
+      UNION ALL SELECT repo, 'go-marker:' || path, 'go-marker', 'CRITICAL', 'AntiPattern', path, 0,
+        'Marker in Go', any_value(h.n)
+      FROM hits h JOIN (SELECT repo, path FROM sources WHERE lang = 'Go') USING (repo, path)
+      WHERE rule_no = 5 GROUP BY repo, path""",
+    "custom_rules": """
+    WITH lines AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
+        generate_subscripts(string_split(text, chr(10)), 1) AS line
+      FROM documents
+    ),
+    found AS (
+      SELECT doc_id, line, 'address' AS rule_id, 'WARNING' AS severity,
+        len(regexp_extract_all(t, '[A-Za-z0-9.]+@[A-Za-z0-9]+')) AS n_hits FROM lines
+      UNION ALL SELECT doc_id, line, 'licence', 'INFO',
+        len(regexp_extract_all(t, '(?i)licen[cs]e')) FROM lines
+      UNION ALL SELECT doc_id, line, 'number', 'CRITICAL',
+        len(regexp_extract_all(t, '[0-9]{3}[-. ][0-9]{4}')) FROM lines
+    )
+    SELECT CAST(doc_id AS VARCHAR) AS path, rule_id, severity, line, n_hits FROM found
+    WHERE n_hits > 0""",
     "stats": _SCAN
     + """SELECT repo, total_files, violation_count, duplicate_sets, broken_boundaries,
       anti_patterns FROM totals""",

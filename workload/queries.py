@@ -14,6 +14,7 @@ from codestrata.operators import deadcode, duplicates, naming, results
 from codestrata.operators.boundaries import (
     crossing_imports,
     given_layers,
+    given_pairs,
     imports_of,
     with_imports,
 )
@@ -29,6 +30,7 @@ from codestrata.operators.patterns import (
     RULES,
     capped_refs,
     hits_of,
+    given_rules,
     rules_for,
     rules_table,
     with_hits,
@@ -359,6 +361,30 @@ def rule_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied.select("repo", "language", "rule_id", "severity")
 
 
+# Rules for documents of one's own.
+DOCUMENT_RULES = [
+    ("address", "WARNING", None, "[A-Za-z0-9.]+@[A-Za-z0-9]+", "Mail address", None, None),
+    ("licence", "INFO", None, "(?i)licen[cs]e", "Words of a licence", None, None),
+    ("number", "CRITICAL", None, "[0-9]{3}[-. ][0-9]{4}", None, None, "Remove the number."),
+]
+RULE_COLUMNS = (
+    "rule_id string, severity string, languages array<string>, pattern string, title string,"
+    " description string, suggestion string"
+)
+
+
+def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a table of rules in all documents, by line."""
+    rules = given_rules(spark.createDataFrame(DOCUMENT_RULES, RULE_COLUMNS))
+    hits = hits_of(with_hits(documents(spark, sf_dir), rules, any_language=True))
+    rule = F.get(F.array(*[F.lit(r.rule_id) for r in rules]), F.col("rule_no") - len(RULES))
+    severity = F.get(F.array(*[F.lit(r.severity) for r in rules]), F.col("rule_no") - len(RULES))
+    lines = hits.select(
+        "path", rule.alias("rule_id"), severity.alias("severity"), F.explode("lines").alias("line")
+    )
+    return lines.groupBy("path", "rule_id", "severity", "line").agg(F.count(F.lit(1)).alias("n_hits"))
+
+
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = duplicates.duplicate_groups(blocks_of(facts(spark, sf_dir), ["hash", "preview"]))
     return groups.withColumn("severity", duplicates.severity_of_copies(F.col("n")))
@@ -445,6 +471,27 @@ def scan_with_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.violations.select("repo", "vkey", "category", "severity", "path", "line")
 
 
+# A marker that no ASCII letter, digit or underscore is next to.
+MARKER = "(?<![A-Za-z0-9_])(?i:TODO|FIXME|HACK|XXX)(?![A-Za-z0-9_])"
+# A rule for Go, and the one pair of layers that is forbidden.
+GO_RULES = [
+    ("go-marker", "CRITICAL", ["Go"], MARKER, "Marker in Go", None, None)
+]
+ONE_PAIR = [("presentation", "infrastructure")]
+
+
+def scan_with_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan with other limits, a rule and a forbidden pair from tables, and each repository's patterns."""
+    options = ScanOptions(
+        god_function_lines=60,
+        duplicate_min_lines=12,
+        rules=given_rules(spark.createDataFrame(GO_RULES, RULE_COLUMNS)),
+        forbidden=given_pairs(spark.createDataFrame(ONE_PAIR, "from_layer string, to_layer string")),
+    )
+    found = full_scan(corpus(spark, sf_dir), options, excludes_by_repo(spark, sf_dir))
+    return found.violations.select(*_LISTED)
+
+
 def scan_without_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a scan that looks for nothing."""
     off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
@@ -616,6 +663,8 @@ QUERIES: dict[str, Query] = {
     "line_shapes": line_shapes,
     "python_names": python_names,
     "scan_without_detectors": scan_without_detectors,
+    "scan_with_options": scan_with_options,
+    "custom_rules": custom_rules,
     "flagship": flagship,
     "read_corpus": read_tree,
     "skip_dirs": skip_dirs,
