@@ -398,17 +398,19 @@ def keep_identified(
     )
     if not field.languages:
         return docs
-    carried = docs.select(docs[text_column].alias("text"), F.struct("*").alias("row"))
+    # Rows with their texts go to the tasks once; the text is read out of the row.
+    carried = docs.select(F.struct("*").alias("row"))
+    place = docs.columns.index(docs.select(docs[text_column]).columns[0])
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(field)
         for batch in batches:
-            texts, rows = batch.column(0), batch.column(1)
-            for first, last, words in text_runs(batch, "text", lower=True):
+            rows = batch.column(0)
+            texts = rows.field(place)
+            for first, last, words in text_runs(pa.RecordBatch.from_arrays([texts], ["text"]), "text", lower=True):
                 languages, _, _ = label(words, texts.slice(first, last - first))
                 keep = pa.array(languages != NO_LANGUAGE)
                 own = rows.slice(first, last - first).filter(keep)
                 yield pa.RecordBatch.from_arrays([own], ["row"])
 
-    schema = carried.select("row").schema
-    return carried.mapInArrow(kept, schema).select("row.*")
+    return carried.mapInArrow(kept, carried.schema).select("row.*")
