@@ -92,6 +92,7 @@ def read_corpus(
     Without ``repo`` the first directory below ``root`` is the repository.  With ``extensions``
     only files that end in one of them are read; the others keep their row, with a NULL text.
     Files that are gone or may not be read are left out; bytes that are not UTF-8 become U+FFFD.
+    A file whose name ends like a compressed one, as in ``.zst``, is read as what it holds.
     """
     listed = materialize(list_tree(spark, root), "tree")
     n_files, n_bytes = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
