@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import boundaries, segment
+from codestrata.operators import boundaries, naming, segment
 
 
 def _normal(line: str) -> str:
@@ -49,3 +49,20 @@ def test_passes_look_at_few_lines(spark):
     row = frame.select(*[F.size(x).alias(n) for n, x in listed.items()], told.alias("told")).first()
     assert (row.go, row.open, row.py, row.none) == (3, 53, 1, 0)
     assert row.told == [3, 4, 5004]
+
+
+def test_few_names_of_a_file_are_ordered(spark):
+    def file(name: str, lang: str = "Python"):
+        styles = (None, None, [f"{name}C{n}" for n in range(9)], [f"{name}_s{n}" for n in range(9)])
+        return ("r", name, lang, styles)
+
+    schema = (
+        "repo string, path string, lang string, naming struct<caps: boolean, camel: boolean,"
+        " camel_functions: array<string>, snake_functions: array<string>>"
+    )
+    facts = spark.createDataFrame([file(name) for name in "bacde"], schema)
+    assert naming.python_names(facts).count() == 90
+    assert naming.python_names(facts, 3).count() == 30
+    row = naming.naming_python(facts).first()
+    assert (row.camel, row.snake) == (45, 45)
+    assert (row.camel_examples, row.snake_examples) == ("aC0, aC1, aC2", "a_s0, a_s1, a_s2")
