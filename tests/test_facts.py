@@ -66,3 +66,13 @@ def test_few_names_of_a_file_are_ordered(spark):
     row = naming.naming_python(facts).first()
     assert (row.camel, row.snake) == (45, 45)
     assert (row.camel_examples, row.snake_examples) == ("aC0, aC1, aC2", "a_s0, a_s1, a_s2")
+
+
+def test_function_words_are_searched_for_in_few_lines(spark):
+    words = ["func", "def", "function", "public", "private", "protected", "static", "async"]
+    lines = [f"\xa0 {word} x" for word in words] + [f"{word} " for word in words] + ["x = 1", "", "define x"]
+    frame = spark.createDataFrame([(line,) for line in lines], "line string")
+    opens = T.is_func_start(F.col("line"))
+    assert [row[0] for row in frame.select(opens).collect()] == [True] * 8 + [False] * 11
+    plan = frame.filter(opens)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Contains(line") < plan.index("RLIKE")
