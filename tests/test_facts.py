@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators import boundaries, naming, segment
+from codestrata.operators.patterns import PATTERN_RULES
 
 
 def _normal(line: str) -> str:
@@ -76,3 +78,64 @@ def test_function_words_are_searched_for_in_few_lines(spark):
     assert [row[0] for row in frame.select(opens).collect()] == [True] * 8 + [False] * 11
     plan = frame.filter(opens)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Contains(line") < plan.index("RLIKE")
+
+
+def _cut_by_hand(text: str, indented: bool) -> list[tuple[int, int]]:
+    """Blocks of two lines and more as first line and number of lines, line by line."""
+    lines, found, start, depth = text.removesuffix("\n").split("\n"), [], None, 0
+    for n, line in enumerate(lines):
+        bare = line.strip(" \t\r\x0b\xa0")
+        if indented:
+            indent = len(line) - len(line.lstrip(" \t"))
+            if not bare or bare[0] in "#)]}@" or (start is not None and indent > depth):
+                continue
+            if start is not None:
+                found.append((start + 1, n - start))
+            start, depth = (n, indent) if bare.startswith("def ") else (None, 0)
+        elif start is not None:
+            depth += line.count("{") - line.count("}")
+            if depth <= 0:
+                found.append((start + 1, n - start + 1))
+                start = None
+        elif "{" in line and bare.startswith(("func ", "static ", "def ")):
+            start, depth = n, line.count("{") - line.count("}")
+    if indented and start is not None:
+        found.append((start + 1, len(lines) - start))
+    return [(line, n) for line, n in found if n >= 2]
+
+
+def test_blocks_of_odd_texts_are_cut_in_arrow_batches(spark):
+    dice = random.Random(7)
+    parts = ["{", "}", "{ }", "func a() {", "\xa0static b", "def f(x):", "  def g():", "x = 1"]
+    parts += ["é", " ", "\t", "\r", "\xa0", "#", "//", ")", "@"] + ["\n"] * 12
+    texts = ["".join(dice.choices(parts, k=dice.randrange(90))) for _ in range(1500)]
+    rows = [(text, lang) for text in texts for lang in ("Go", "Python")]
+    frame = segment.with_blocks(spark.createDataFrame(rows, "text string, lang string"), 2)
+    # No lambda of Spark's looks at lines or words: those cost most of a pass over the texts.
+    shown = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in shown and "lambda" not in shown
+    for row in frame.collect():
+        cut = [(block.line, block.line_count) for block in row.blocks]
+        assert cut == _cut_by_hand(row.text, row.lang == "Python"), (row.text, row.lang)
+        lines = [_normal(x) for x in row.text.replace("\t", " ").replace("\r", " ").split("\n")]
+        for block in row.blocks:
+            body = lines[block.line - 1 :][: block.line_count]
+            shown = "\n    ".join([line for line in body if line][:4])
+            assert block.preview == f"    {shown}\n    ..."
+            assert block.hash == hashlib.sha256("\n".join(body).encode()).hexdigest()[:24]
+
+
+def test_rules_fold_the_case_of_whole_words(spark):
+    given = {
+        "todo-fixme-critical": ["ToDo xTODO _todo fIXme", "haK", "haCK. XxX xxxx"],
+        "hardcoded-secret": ['ſecRet="' + "ſ" * 10 + '"', "aPi_key: 'abcKdefghij'", 'passwd="short"'],
+        "print-debug": ["fmt.Println fmt.Print fmt.Printf", "_print( print(", "xSystem.out.print System.out.print"],
+    }
+    counts = {"todo-fixme-critical": [2, 0, 2], "hardcoded-secret": [1, 1, 0], "print-debug": [2, 1, 1]}
+    for rule in PATTERN_RULES:
+        if rule.rule_id in given:
+            # A search that begins with a look-around does it at every place of a text.
+            assert not rule.pattern.startswith("(?")
+            frame = spark.createDataFrame([(x,) for x in given[rule.rule_id]], "text string")
+            lines = T.line_of_matches(F.col("text"), rule.pattern)
+            assert [len(row[0]) for row in frame.select(lines).collect()] == counts[rule.rule_id]
