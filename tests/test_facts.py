@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators import boundaries, naming, segment
+from codestrata.operators.deadcode import name_counts
 from codestrata.operators.patterns import PATTERN_RULES
 
 
@@ -125,6 +126,14 @@ def test_blocks_of_odd_texts_are_cut_in_arrow_batches(spark):
             assert block.hash == hashlib.sha256("\n".join(body).encode()).hexdigest()[:24]
 
 
+def test_names_are_counted_in_arrow_batches(spark):
+    frame = spark.createDataFrame([("b a_1 2c é1x b\nB",), ("",), (None,)], "text string")
+    counted = frame.select(name_counts(F.col("text")).alias("names"))
+    assert "ArrowEvalPython" in counted._jdf.queryExecution().executedPlan().toString()
+    found = [row.names and [tuple(name) for name in row.names] for row in counted.collect()]
+    assert found == [[("B", 1), ("a_1", 1), ("b", 2), ("c", 1), ("x", 1)], [], None]
+
+
 def test_rules_fold_the_case_of_whole_words(spark):
     given = {
         "todo-fixme-critical": ["ToDo xTODO _todo fIXme", "haK", "haCK. XxX xxxx"],
