@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
-from codestrata.operators import boundaries, naming, segment
+from codestrata.operators import boundaries, naming, patterns, segment
 from codestrata.operators.deadcode import name_counts
 from codestrata.operators.patterns import PATTERN_RULES
 
@@ -148,3 +149,71 @@ def test_rules_fold_the_case_of_whole_words(spark):
             frame = spark.createDataFrame([(x,) for x in given[rule.rule_id]], "text string")
             lines = T.line_of_matches(F.col("text"), rule.pattern)
             assert [len(row[0]) for row in frame.select(lines).collect()] == counts[rule.rule_id]
+
+
+def test_rules_find_in_bytes_what_they_find_in_texts(spark):
+    dice = random.Random(11)
+    words = ["_", "=", " ", "a.b(", "panic(", "except", " Exception", ":", "fmt.Print", "fmt.Println"]
+    words += ["print(", "System.out.print", "api_key", "ApIkEy", "SECRET", "ſecret", "Password", "passwd"]
+    words += ["Token", "toKen", "'", '"', "abcdefghij", "0123456ſKİı", "TODO", "todo", "Fİxme"]
+    words += ["hack", "HACK", "xXx", "x", "é", "\x01", "\x02", " ", "\r", "\n", "\n", "\n", "="]
+    texts = ["".join(dice.choices(words, k=dice.randrange(40))) for _ in range(3000)]
+    texts += ["token='" + chr(n) * 10 + "' TOD" + chr(n) + "O " + chr(n) + "TODO" + chr(n) for n in range(1, 0x2200)]
+    texts += ["", None, "token='abcdefghijsecret='abcdefghij'"]
+    frame = spark.createDataFrame([(text,) for text in texts], "text string")
+    found = patterns.rule_hits(F.col("text"), None).alias("hits")
+    # No rule's regex reads a text in Spark, nor does a lambda look at its lines.
+    plan = frame.select(found)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    lines = [T.line_of_matches(F.col("text"), rule.pattern).alias(f"r{n}") for n, rule in enumerate(PATTERN_RULES)]
+    n_hits = 0
+    for row in frame.select("text", found, *lines).collect():
+        by_rule = {hit.rule_no: hit.lines for hit in row.hits}
+        plain = {n: row[f"r{n}"] for n in range(len(PATTERN_RULES)) if row[f"r{n}"]}
+        assert by_rule == plain, row.text
+        n_hits += len(by_rule)
+    assert n_hits > 3000
+
+
+def _long_by_hand(text: str, lang: str, most: int) -> list[tuple[int, int, str]]:
+    lines = text.removesuffix("\n").split("\n")
+    opening = {
+        "Go": r"[ \t\x0b\f\r\xa0]*func[\t\f\r ]+([A-Za-z0-9_]+)",
+        "Python": r"[ \t\x0b\f\r\xa0]*def[\t\f\r ]+([A-Za-z0-9_]+)",
+        "Java": r".*?(?<![A-Za-z0-9_])static(?![A-Za-z0-9_]).*[A-Za-z0-9_][\t\f\r ]+([A-Za-z0-9_]+)[\t\f\r ]*\(",
+    }[lang]
+    start, depth = None, 0
+    for n, line in enumerate(lines):
+        change = line.count("{") - line.count("}")
+        if start is None:
+            name = re.match(opening, line)
+            if name:
+                start, depth = n, change
+            continue
+        depth += change
+        margin = line[:1] not in ("", " ", "\t") and line.strip(" \t\r\x0b\f\xa0")
+        # A line without braces changes nothing, but for the one behind an opening.
+        telling = change or "{" in line or n == start + 1 or re.match(opening, line)
+        ends = n > start + 1 and margin if lang == "Python" else telling and depth <= 0
+        if ends:
+            if n - start > most:
+                return [(start + 1, n - start, re.match(opening, lines[start])[1])]
+            start = None
+    return []
+
+
+def test_long_functions_of_odd_texts_are_found_in_arrow_batches(spark):
+    dice = random.Random(13)
+    parts = ["{", "}", "{ }", "func a() {", "\xa0func\tb", "def f(x):", "  def g():", "x = 1", "static int c (x) {"]
+    parts += ["é", " ", "\t", "\r", "\xa0", "\x0bz", "(", "func "] + ["\n"] * 12
+    texts = ["".join(dice.choices(parts, k=dice.randrange(90))) for _ in range(2000)]
+    rows = [(text, lang) for text in texts for lang in ("Go", "Python", "Java")] + [(None, "Go"), ("func a()\n\n\n", "Rust")]
+    frame = segment.with_god_function(spark.createDataFrame(rows, "text string, lang string"), 2)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
+    n_found = 0
+    for row in frame.collect():
+        by_hand = _long_by_hand(row.text, row.lang, 2) if row.text is not None and row.lang != "Rust" else []
+        assert [tuple(found) for found in row.god] == by_hand, (row.text, row.lang)
+        n_found += len(by_hand)
+    assert n_found > 300
