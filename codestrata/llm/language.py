@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm.exchange import run_lengths
 from codestrata.llm.maxent import held_out
-from codestrata.llm.words import Hasher, Powers, Words, mix, ranges, span_hashes, text_runs
+from codestrata.llm.words import STEP_BYTES, Hasher, Powers, Words, mix, ranges, span_hashes, text_runs
 
 STRETCH = 64
 # Training texts of each language, about, and rounds over them.
@@ -264,7 +264,7 @@ def _labelled(field: Field, spans: bool):
             texts = batch.column(batch.schema.get_field_index("text"))
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             out = batch.column(batch.schema.get_field_index("held_out"))
-            for first, last, words in text_runs(batch, "text", lower=True):
+            for first, last, words in text_runs(batch, "text", lower=True, limit=STEP_BYTES):
                 languages, score, best = label(words, texts.slice(first, last - first))
                 columns = [
                     ids.slice(first, last - first),
@@ -407,7 +407,8 @@ def keep_identified(
         for batch in batches:
             rows = batch.column(0)
             texts = rows.field(place)
-            for first, last, words in text_runs(pa.RecordBatch.from_arrays([texts], ["text"]), "text", lower=True):
+            alone = pa.RecordBatch.from_arrays([texts], ["text"])
+            for first, last, words in text_runs(alone, "text", lower=True, limit=STEP_BYTES):
                 languages, _, _ = label(words, texts.slice(first, last - first))
                 keep = pa.array(languages != NO_LANGUAGE)
                 own = rows.slice(first, last - first).filter(keep)

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import random
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
 import corpus
+from codestrata.llm import jaccard, language
 from codestrata.llm.words import Hasher, Words, runs, text_bytes
 
 
@@ -36,3 +40,22 @@ def test_no_texts():
     data, offsets = text_bytes(pa.array([], pa.string()))
     assert len(data) == 0 and list(runs(offsets)) == []
     assert len(Words(*text_bytes(pa.array([None, ""], pa.string())))) == 0
+
+
+def test_steps_on_words_hold_little_at_once():
+    """What a task of the language and Jaccard operators holds, apart from its batch."""
+    dice = random.Random(3)
+    words = ["".join(dice.choices("abcdefghij", k=dice.randrange(2, 8))) for _ in range(20_000)]
+    texts = [" ".join(dice.choices(words, k=300)) for _ in range(1200)]
+    sample = pa.table({"text": texts[:40], "lang": ["a", "b"] * 20})
+    field = language.train(sample, ["a", "b"])
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array(texts), pa.array([False] * n)], ["doc_id", "text", "held_out"]
+    )
+    for task, most in ((language._labelled(field, False), 40), (jaccard._signatures(5), 30)):
+        tracemalloc.start()
+        assert sum(len(found) for found in task(iter([batch]))) == n
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert peak < most, peak
