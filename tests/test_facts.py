@@ -217,3 +217,25 @@ def test_long_functions_of_odd_texts_are_found_in_arrow_batches(spark):
         assert [tuple(found) for found in row.god] == by_hand, (row.text, row.lang)
         n_found += len(by_hand)
     assert n_found > 300
+
+
+def test_lines_to_the_last_import_are_found_in_arrow_batches(spark):
+    dice = random.Random(17)
+    parts = ["import (", "import ", "from", "import", "a b", ")", "\xa0)", "é", "\t", " ", "　"] + ["\n"] * 6
+    texts = ["".join(dice.choices(parts, k=dice.randrange(30))) for _ in range(2000)] + ["", None]
+    frame = spark.createDataFrame([(text,) for text in texts], "text string")
+    text = F.col("text")
+    go = boundaries._lines_to_last(text, "import ", list_end=boundaries._LIST_END)
+    found = frame.select("text", go.alias("go"), boundaries._lines_to_last(text, "from", "import").alias("py"))
+    # Spark splits no whole text to find its last import.
+    shown = boundaries.with_imports(frame.withColumn("lang", F.lit("Go")))
+    for plan in (found, shown):
+        assert "ArrowEvalPython" in plan._jdf.queryExecution().executedPlan().toString()
+    end = re.compile("\n[ \t\xa0　]*\\)[ \t\xa0　]*(?=\n|$(?!\n))")
+    for row in found.collect():
+        held = row.text or ""
+        at = max(held.rfind("from") + 4 if "from" in held else 0, held.rfind("import") + 6 if "import" in held else 0)
+        assert row.py == ((held[:at] + held[at:].split("\n")[0]).split("\n") if at else []), row.text
+        at = held.rfind("import ") + 7 if "import " in held else 0
+        match = end.search(held, at)
+        assert row.go == (held[: match.end() if match else None].split("\n") if at else []), row.text
