@@ -158,6 +158,16 @@ def test_markdown_documents(found):
     assert notes.count("* Import from") == 2 and "Open marker" not in notes
 
 
+def test_markdown_tells_categories_and_that_nothing_was_found(found):
+    shop = text_of(report.report_markdown(found), "shop")
+    listed = [text for text in shop if text.startswith("Category: ")]
+    n_boundaries = listed.count("Category: BoundaryViolation")
+    assert (len(listed), n_boundaries, "Nothing was found" in shop[0]) == (6, 2, False)
+    title = next(n for n, text in enumerate(shop) if text.startswith("\n### "))
+    assert shop[title + 1] in listed and shop[title + 3] == "Where:" and shop[title + 4][:2] == "* "
+    assert text_of(report.report_markdown(found), "clean")[0].endswith("|\n\nNothing was found.")
+
+
 def test_nothing_to_look_for(files):
     off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
     result = scan(files(CORPUS), ScanOptions(**off))

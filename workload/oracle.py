@@ -461,7 +461,8 @@ _MARKDOWN = _document(
         _doc_row(
             "concat('# ', repo, chr(10), chr(10), '| | |', chr(10), '|-|-|', chr(10), "
             "'| language | ', language, ' |', chr(10), '| files scanned | ', total_files, ' |', "
-            "chr(10), '| findings | ', violation_count, ' |', chr(10), '| score | ', score, ' |')",
+            "chr(10), '| findings | ', violation_count, ' |', chr(10), '| score | ', score, ' |', "
+            "CASE WHEN violation_count = 0 THEN concat(chr(10), chr(10), 'Nothing was found.') END)",
             "totals",
             0,
         ),
@@ -476,9 +477,10 @@ _MARKDOWN = _document(
             _doc_row(text, "v JOIN ranks USING (severity)", 1, "sev", _PLACE, item)
             for item, text in [
                 (0, "concat(chr(10), '### ', title, ' (`', rule_id, '`)')"),
-                (10, "description"),
-                (20, "'Where:'"),
-                (30, "'To do: ' || suggestion"),
+                (10, "'Category: ' || category"),
+                (20, "description"),
+                (30, "'Where:'"),
+                (40, "'To do: ' || suggestion"),
             ]
         ],
         _doc_row(
@@ -487,7 +489,7 @@ _MARKDOWN = _document(
             1,
             "sev",
             _PLACE,
-            21,
+            31,
             "ref_at, ref_no",
         ),
         _doc_row(
