@@ -145,6 +145,26 @@ def test_json_document(found):
     assert clean["Violations"] is None and clean["Suggestions"] is None
 
 
+# What there is to do about the findings of ``shop``, in detection order behind the copies.
+REMEDIES = [
+    "Return an error and let the caller decide.",
+    "Check the returned error and log, wrap or return it.",
+    "Move it to the issue tracker and delete the marker.",
+    *["Declare an interface in the presentation layer and have the implementation passed in."] * 2,
+]
+
+
+def test_json_tells_the_remedy_of_each_rule(found):
+    shop = json.loads("".join(text_of(report.report_json(found), "shop")))
+    assert [row["Suggestion"] for row in shop["Violations"]][1:] == REMEDIES
+
+
+def test_remedy_of_suggestions_that_are_not_the_common_text(found):
+    violations = found.violations.filter("rule_id = 'silent-error'")
+    other = violations.withColumn("suggestion", F.lit("Ask the owner."))
+    assert other.select(results.remedy_of()).first()[0] == "Ask the owner."
+
+
 def test_markdown_documents(found):
     shop = "\n".join(text_of(report.report_markdown(found), "shop"))
     assert shop.index("## 3 critical") < shop.index("## 2 warning") < shop.index("## 1 info")

@@ -456,6 +456,29 @@ def _j(value: str) -> str:
     return f"CAST(to_json({value}) AS VARCHAR)"
 
 
+# What the documents tell to do, in place of the text that rules have in common.
+_REMEDIES = {
+    "silent-error": "'Check the returned error and log, wrap or return it.'",
+    "bare-panic": "'Return an error and let the caller decide.'",
+    "broad-except": "'Name the exception types this code can deal with.'",
+    "print-debug": "'Write through the project''s logger at a fitting level.'",
+    "hardcoded-secret":
+        "'Load it from a secret store or the environment, and revoke the old one.'",
+    "todo-fixme-critical": "'Move it to the issue tracker and delete the marker.'",
+    "god-function": "'Split it into functions with one task each.'",
+    "layer-boundary": "'Declare an interface in the ' || split_part(title, ' into ', 2) || "
+        "' layer and have the implementation passed in.'",
+}
+_REMEDY = (
+    "CASE suggestion "
+    + " ".join(
+        f"WHEN 'Rework what {rule_id} points at, or exclude the path.' THEN {text}"
+        for rule_id, text in _REMEDIES.items()
+    )
+    + " ELSE suggestion END"
+)
+
+
 _MARKDOWN = _document(
     [
         _doc_row(
@@ -524,7 +547,7 @@ _JSON = _document(
             at=_PLACE,
         ),
         _doc_row(
-            f"'],\"Suggestion\":' || {_j('suggestion')} || '}}'", "v", 1, at=_PLACE, item=20
+            f"'],\"Suggestion\":' || {_j(_REMEDY)} || '}}'", "v", 1, at=_PLACE, item=20
         ),
         _doc_row(
             f"CASE WHEN nth = 1 THEN '' ELSE ',' END || {_j('ref')}",
