@@ -188,6 +188,12 @@ def test_markdown_tells_categories_and_that_nothing_was_found(found):
     assert text_of(report.report_markdown(found), "clean")[0].endswith("|\n\nNothing was found.")
 
 
+def test_markdown_tells_the_remedy_of_each_rule(found):
+    shop = text_of(report.report_markdown(found), "shop")
+    listed = [text.removeprefix("To do: ") for text in shop if text.startswith("To do: ")]
+    assert sorted(listed) == sorted([*REMEDIES, "Keep one copy in a shared place and call it."])
+
+
 def test_nothing_to_look_for(files):
     off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
     result = scan(files(CORPUS), ScanOptions(**off))

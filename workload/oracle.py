@@ -503,7 +503,7 @@ _MARKDOWN = _document(
                 (10, "'Category: ' || category"),
                 (20, "description"),
                 (30, "'Where:'"),
-                (40, "'To do: ' || suggestion"),
+                (40, f"'To do: ' || {_REMEDY}"),
             ]
         ],
         _doc_row(
