@@ -194,6 +194,16 @@ def test_markdown_tells_the_remedy_of_each_rule(found):
     assert sorted(listed) == sorted([*REMEDIES, "Keep one copy in a shared place and call it."])
 
 
+def test_notes_tell_remedies_conventions_and_a_checklist(found):
+    given = found.repos.sparkSession.createDataFrame([("Go", "Run gofmt.")], "language string, text string")
+    document = report.context_document(found, given)
+    notes = text_of(document, "shop")
+    assert sum(text.endswith(f": {REMEDIES[-1]}") for text in notes) == 2
+    assert notes[1] == "\nRun gofmt." and notes[-1].startswith("\n## Before writing code\n\n1. ")
+    clean = text_of(document, "clean")
+    assert clean[1] == "\n" + report.DEFAULT_CONVENTIONS and clean[2:] == notes[-1:]
+
+
 def test_nothing_to_look_for(files):
     off = dict.fromkeys(("duplication", "anti_patterns", "naming", "boundaries"), False)
     result = scan(files(CORPUS), ScanOptions(**off))

@@ -596,7 +596,11 @@ _CONTEXT_DOCUMENT = _document(
             0,
         ),
         _doc_row(
-            f"chr(10) || {_CONVENTIONS}", f"totals WHERE {_CONVENTIONS} IS NOT NULL", 0, item=10
+            f"chr(10) || coalesce({_CONVENTIONS}, "
+            "'Keep to the conventions that the existing code follows.')",
+            "totals",
+            0,
+            item=10,
         ),
         *[
             _doc_row(
@@ -614,12 +618,21 @@ _CONTEXT_DOCUMENT = _document(
         _doc_row(
             "'* ' || title || CASE WHEN severity = 'CRITICAL' THEN ' (' || "
             + _first_sentence("description")
-            + " || '): ' ELSE ': ' END || suggestion",
+            + f" || '): ' ELSE ': ' END || {_REMEDY}",
             "v JOIN ranks USING (severity) WHERE severity <> 'INFO'",
             1,
             "sev",
             _PLACE,
         ),
+        _doc_row(
+            "concat(chr(10), '## Before writing code', chr(10), chr(10), "
+            "'1. Search for code that does the same', chr(10), "
+            "'2. Make sure the code goes into the right layer', chr(10), "
+            "'3. Use the naming of the existing code', chr(10), "
+            "'4. Handle every error', chr(10), '5. Keep functions at 80 lines or fewer')",
+            "totals",
+            2,
+        ),
     ]
 )
 
